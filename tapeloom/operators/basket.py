@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +38,26 @@ def vol_target_weight(signal: Column, vol: Column, target: Column, kelly: Column
     return F.greatest(-cap, F.least(cap, raw))
 
 
-def basket(weighted: DataFrame, by: list[str]) -> DataFrame:
-    """Mean over active symbols of yesterday's weight times today's return."""
-    w = Window.partitionBy(*[k for k in by if k != "session"], "symbol").orderBy("session")
-    d = weighted.withColumn("_w", F.lag("weight").over(w))
-    active = F.col("_w").isNotNull() & (F.col("_w") != 0) & F.col("r").isNotNull()
-    return d.groupBy(*by).agg(
-        F.coalesce(F.avg(F.when(active, F.col("_w") * F.col("r"))), F.lit(0.0)).alias("ret"),
-        F.count_if(active).alias("active"))
+def session_index(returns: DataFrame) -> DataFrame:
+    """Running number of each session that any symbol has (one row per day)."""
+    days = returns.select("session").distinct()
+    return days.withColumn("day", F.row_number().over(Window.orderBy("session")))
+
+
+def basket(weighted: DataFrame, days: DataFrame, cell: list[str]) -> DataFrame:
+    """Mean over the symbols of a day of yesterday's weight times today's return.
+
+    A weight counts only if it is from the session just before; the first return
+    of a symbol is 0.
+    """
+    d = weighted.join(F.broadcast(days), "session")
+    w = Window.partitionBy(*cell, "symbol").orderBy("day")
+    held = F.when(F.lag("day").over(w) == F.col("day") - 1, F.lag("weight").over(w)).otherwise(0.0)
+    d = d.withColumn("_x", held * F.coalesce("r", F.lit(0.0)))
+    return d.groupBy(*cell, "session", "day").agg(
+        F.avg("_x").alias("ret"), F.count(F.lit(1)).alias("active"))
 
 
 def equal_weight(returns: DataFrame) -> DataFrame:
-    return returns.filter(F.col("r").isNotNull()).groupBy("session").agg(
-        F.avg("r").alias("ret"), F.count(F.lit(1)).alias("active"))
+    return returns.groupBy("session").agg(
+        F.avg(F.coalesce("r", F.lit(0.0))).alias("ret"), F.count(F.lit(1)).alias("active"))

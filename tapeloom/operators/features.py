@@ -222,3 +222,41 @@ def first_touch_sign(bars: DataFrame, session: Column, start: Column) -> DataFra
     return bars.groupBy("symbol", session.alias("session")).agg(
         F.signum(F.log(F.min_by("close", F.when(start, F.col("bar_ts"))) / F.min_by("open", "bar_ts"))
                  ).alias("first_sign"))
+
+
+def session_entry_features(
+    bars: DataFrame, n: int, session: Column, entry: Column, pre: Column, per_year: float = 252 * 390
+) -> DataFrame:
+    """Per session: sign of open to entry, gap and pre-session return against the last
+    close of the session before, and annualised volatility at the entry bar."""
+    from pyspark.sql import Window
+
+    d = rv_realized(bars, n, "_rv").withColumn("_vol", F.sqrt(F.col("_rv") / n) * math.sqrt(per_year))
+    first = F.when(entry, F.col("bar_ts"))
+    s = d.groupBy("symbol", session.alias("session")).agg(
+        F.min_by("open", "bar_ts").alias("_f"), F.max_by("close", "bar_ts").alias("_l"),
+        F.min_by("close", first).alias("_e"), F.min_by("_vol", first).alias("vol"),
+        F.min(first).alias("entry_ts"), F.max_by("close", F.when(pre, F.col("bar_ts"))).alias("_p"))
+    w = Window.partitionBy("symbol").orderBy("session")
+    last = F.lag("_l").over(w)
+    return s.select("symbol", "session", F.signum(F.log(F.col("_e") / F.col("_f"))).alias("first_sign"),
+                    F.log(F.col("_f") / last).alias("gap"), F.log(F.col("_p") / last).alias("pre_ret"),
+                    "vol", "entry_ts")
+
+
+def forecast_error_std(monthly: DataFrame, n: int) -> DataFrame:
+    """Rolling deviation of the change of x (one row per indicator and month)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("indicator").orderBy("month")
+    f = w.rowsBetween(-(n - 1), 0)
+    need = max(4, n // 4)
+    d = monthly.withColumn("_d", F.col("x") - F.lag("x").over(w))
+    return d.select("indicator", "month",
+                    F.when(F.count("_d").over(f) >= need, F.stddev_samp("_d").over(f)).alias("dispersion"))
+
+
+def lag1_benchmark(d: DataFrame, y: str, keys=KEYS) -> DataFrame:
+    """Return of following the sign of the value before; flat where there is none."""
+    return rolling(d, keys, 1, lambda x, w: x.withColumn(
+        "bench", F.signum(F.coalesce(F.lag(y).over(w), F.lit(0.0))) * F.col(y)))

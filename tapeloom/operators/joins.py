@@ -114,7 +114,8 @@ def regular_grid(bars: DataFrame, step_minutes: int, ts: str, fill: Sequence[str
     start = F.greatest(F.col("lo"), F.col("lo") + F.ceil((F.col("d") * day - F.col("lo")) / step) * step)
     stop = F.least(F.col("hi"), (F.col("d") + 1) * day - 1)
     grid = days.withColumn("_s", start).withColumn("_t", stop).filter(F.col("_s") <= F.col("_t")).select(
-        "symbol", F.timestamp_micros(F.explode(F.sequence(F.col("_s"), F.col("_t"), F.lit(step)))).alias(ts))
+        "symbol", F.explode(F.sequence(F.col("_s"), F.col("_t"), F.lit(step))).alias("_u")).select(
+        "symbol", F.timestamp_micros("_u").alias(ts))
     d = grid.join(bars, ["symbol", ts], "left")
     d = number_rows(d, ["symbol"], [ts], chunk=F.trunc(ts, "MM"))
     return prefix(d, ["symbol"], {f"{c}_filled": ("last", F.col(c)) for c in fill})

@@ -14,14 +14,14 @@ ROOT = ["root"]
 
 def trailing_volume(volume: DataFrame, sessions: int) -> DataFrame:
     w = Window.partitionBy("root", "contract_id").orderBy("session").rowsBetween(-(sessions - 1), 0)
-    return volume.withColumn("trailing", F.sum("volume").over(w))
+    return volume.withColumn("trail", F.sum("volume").over(w))
 
 
 def raw_front(volume: DataFrame, sessions: int) -> DataFrame:
     """Contract with the highest trailing volume of each session; ties to the smallest id."""
     t = trailing_volume(volume, sessions)
     return t.groupBy("root", "session").agg(
-        F.min_by("contract_id", F.struct(-F.col("trailing"), F.col("contract_id"))).alias("front"))
+        F.min_by("contract_id", F.struct(-F.col("trail"), F.col("contract_id"))).alias("front"))
 
 
 def persistence_guard(front: DataFrame, sessions: int) -> DataFrame:

@@ -76,9 +76,17 @@ def number_rows(
         *keys, "_part", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
     joined = spread.join(starts, [*keys, "_part"])
-    return joined.withColumn(pos, F.col("_start") + F.col("_at") - F.col("_first")).drop(
+    out = joined.withColumn(pos, F.col("_start") + F.col("_at") - F.col("_first")).drop(
         "_part", "_at", "_first", "_start"
     )
+    out._stored = True
+    return out
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as a stored frame: two-level scans read their input twice, and chained
+    scans would otherwise double the work at every step."""
+    return df if getattr(df, "_stored", False) else cut_lineage(df)
 
 
 def _block_of(pos: str, block: int) -> Column:
@@ -157,7 +165,7 @@ def prefix(
     ``inclusive=False`` the current row is left out; with ``reverse`` the scan
     runs from the end of the series.
     """
-    keys = list(keys)
+    keys, df = list(keys), _stored(df)
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     w = Window.partitionBy(*keys, "_blk").orderBy(direction(pos))
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -207,7 +215,7 @@ def recurrence(
     is near 1e-13: the scaling stays far from overflow, and the ends of the two
     blocks before give the carry to full double precision.
     """
-    keys = list(keys)
+    keys, df = list(keys), _stored(df)
     slowest = max(a for a, _ in specs.values())
     fastest = min(a for a, _ in specs.values())
     block = max(8, math.ceil(math.log(1e-13) / math.log(slowest)))

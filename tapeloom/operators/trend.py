@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import cut_lineage
 from tapeloom.operators.scan import POS, full, prefix, recurrence, rolling
 
 KEYS = ["symbol"]
@@ -54,21 +55,22 @@ def true_range(bars: DataFrame) -> DataFrame:
     return rolling(bars, KEYS, 1, build)
 
 
-def _seeded(d: DataFrame, n: int, col: str, first: int) -> DataFrame:
-    """Wilder input: 0 before the seed, the mean of the first n values at it, then x/n."""
+def wilder(d: DataFrame, n: int, cols: list[str], first: int = 0) -> DataFrame:
+    """Wilder smoothing of ``cols``, seeded with the mean of their first n values.
+
+    As a recurrence its input is 0 before the seed, the mean at it, then x/n.
+    """
     seed_at = first + n - 1
-    return rolling(d, KEYS, n - 1, lambda x, w: x.withColumn(
-        f"_w_{col}", F.when(F.col(POS) < seed_at, 0.0)
-        .when(F.col(POS) == seed_at, F.avg(col).over(w.rowsBetween(-(n - 1), 0)))
-        .otherwise(F.col(col) / n)))
 
+    def seeded(x, w):
+        f = w.rowsBetween(-(n - 1), 0)
+        return x.withColumns({
+            f"_w_{c}": F.when(F.col(POS) < seed_at, 0.0).when(F.col(POS) == seed_at, F.avg(c).over(f))
+            .otherwise(F.col(c) / n) for c in cols})
 
-def wilder(d: DataFrame, n: int, cols: list[str], first: int = 0) -> DataFrame:
-    """Wilder smoothing of ``cols``, seeded with the mean of their first n values."""
-    for c in cols:
-        d = _seeded(d, n, c, first)
+    d = rolling(d, KEYS, n - 1, seeded)
     d = recurrence(d, KEYS, {f"{c}_w": ((n - 1) / n, F.col(f"_w_{c}")) for c in cols})
-    keep = F.col(POS) >= first + n - 1
+    keep = F.col(POS) >= seed_at
     return d.withColumns({f"{c}_w": F.when(keep, F.col(f"{c}_w")) for c in cols}).drop(
         *[f"_w_{c}" for c in cols])
 
@@ -86,7 +88,7 @@ def adx_side(bars: DataFrame, n: int, tau: float, out: str = "side_b") -> DataFr
             "_pdm": F.when((up > dn) & (up > 0), up).otherwise(F.when(up.isNotNull(), 0.0)),
             "_mdm": F.when((dn > up) & (dn > 0), dn).otherwise(F.when(dn.isNotNull(), 0.0)),
         })
-    d = wilder(rolling(true_range(bars), KEYS, 1, moves), n, ["_pdm", "_mdm", "tr"], first=1)
+    d = cut_lineage(wilder(rolling(true_range(bars), KEYS, 1, moves), n, ["_pdm", "_mdm", "tr"], first=1))
     ok = F.col("tr_w") > 0
     d = d.withColumns({"_pdi": F.when(ok, 100 * F.col("_pdm_w") / F.col("tr_w")),
                        "_mdi": F.when(ok, 100 * F.col("_mdm_w") / F.col("tr_w"))})
