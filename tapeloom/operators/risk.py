@@ -19,3 +19,91 @@ def floored_equity(df: DataFrame, keys: Sequence[str], order: Sequence[str], pnl
     d = d.withColumn("_s", F.col("_s") + F.lit(start))
     d = prefix(d, keys, {"_low": ("min", F.col("_s"))})
     return d.withColumn("equity", F.col("_s") - F.least(F.lit(0.0), "_low")).drop("_s", "_low", POS)
+
+
+def stop_breaches(trades: DataFrame, stop_tol: float = 1.05, gap_tol: float = 3.0) -> DataFrame:
+    """Stops that lost more than they should: R below -1.05, or -3 for gaps."""
+    r = F.col("r_multiple")
+    return trades.filter(((F.col("exit_reason") == "stop_hit") & (r < -stop_tol))
+                         | ((F.col("exit_reason") == "gap_through_stop") & (r < -gap_tol)))
+
+
+def time_stop_breaches(trades: DataFrame, limit_minutes: float, tolerance_s: float = 60.0) -> DataFrame:
+    """Losing trades held longer than the limit."""
+    held = F.unix_micros("exit_ts") - F.unix_micros("entry_ts")
+    return trades.filter((F.col("r_multiple") < 0) & (held > int((limit_minutes * 60 + tolerance_s) * 1e6)))
+
+
+def same_side_overlaps(trades: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Entries while an earlier trade of the same symbol and side is still open."""
+    keys = ["symbol", "side"]
+    d = prefix(number_rows(trades, keys, order), keys, {"_open_to": ("max", F.col("exit_ts"))}, inclusive=False)
+    return d.filter(F.col("_open_to") > F.col("entry_ts")).drop("_open_to", POS)
+
+
+def inventory_breaches(trades: DataFrame, keys: Sequence[str], amount: Column, cap: Column, key_cols: Sequence[str]
+                       ) -> DataFrame:
+    """Entries that lift the running open amount of a key above its cap.
+
+    Exits come before entries of the same instant. ``cap`` may use the key columns.
+    """
+    ends = trades.withColumn("_amt", amount).select(*keys, *key_cols, "_amt", F.explode(F.array(
+        F.struct(F.col("exit_ts").alias("t"), F.lit(0).alias("k")),
+        F.struct(F.col("entry_ts").alias("t"), F.lit(1).alias("k")))).alias("_e"))
+    ev = ends.select(*keys, *key_cols, F.col("_e.t").alias("_t"), F.col("_e.k").alias("_k"),
+                     F.when(F.col("_e.k") == 1, F.col("_amt")).otherwise(-F.col("_amt")).alias("_d"))
+    d = prefix(number_rows(ev, keys, ["_t", "_k", *key_cols]), keys, {"open_amount": ("sum", F.col("_d"))})
+    return d.filter((F.col("_k") == 1) & (F.col("open_amount") > cap)).select(*keys, *key_cols, "open_amount")
+
+
+def circuit_breaker(trades: DataFrame, period: Column, order: Sequence[str], threshold: float, start: float,
+                    ratchet: bool = True) -> DataFrame:
+    """Entries after the P&L of their period fell below ``threshold`` of its opening equity.
+
+    One account holds all trades, so the running sum is a scan over all of them.
+    """
+    d = trades.withColumn("_p", period)
+    run = prefix(number_rows(d, [], order), [], {"_before": ("sum", F.col("pnl"))}, inclusive=False)
+    from pyspark.sql import Window
+
+    # One row per period: a calendar bounds this window.
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    opening = d.groupBy("_p").agg(F.sum("pnl").alias("_s")).select(
+        "_p", F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_earlier"))
+    j = run.join(F.broadcast(opening), "_p")
+    lost = F.coalesce("_before", F.lit(0.0)) - F.col("_earlier")
+    base = F.lit(start) + F.col("_earlier") if ratchet else F.lit(start)
+    return j.filter(lost < threshold * base).drop("_p", "_before", "_earlier", POS)
+
+
+def adverse_entries(trades: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Entries against the higher trend after an adverse move of more than ``threshold`` ATRs."""
+    moved = (F.col("fill_price") - F.col("bar_open")) * F.col("side") / F.col("atr")
+    return trades.filter(F.col("trend_sign").isNotNull() & (F.col("atr") > 0)
+                         & (F.col("trend_sign") * F.col("side") <= 0) & (moved < -threshold))
+
+
+def correlated_pairs(symbols: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of the (fixed, small) list that both trade in this universe."""
+    s = symbols.select(F.upper("symbol").alias("symbol")).distinct()
+    a = pairs.join(s.withColumnRenamed("symbol", "full"), "full")
+    return a.join(s.withColumnRenamed("symbol", "micro"), "micro").select("full", "micro")
+
+
+def rule_report(checked: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
+    """Violations by rule with a pass flag; rules without violations are listed too."""
+    n = checked.agg(F.count(F.lit(1)).alias("n_checked"))
+    out = None
+    for name, v in rules.items():
+        one = v.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("rule"), "n_violations")
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(F.broadcast(n)).withColumn("passed", F.col("n_violations") == 0)
+
+
+def rule_violations(rules: dict[str, DataFrame], key_cols: Sequence[str]) -> DataFrame:
+    """Keys of the violating trades, one row each (a list per rule could be any length)."""
+    out = None
+    for name, v in rules.items():
+        one = v.select(F.lit(name).alias("rule"), *key_cols).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
