@@ -37,7 +37,7 @@ def triple_barrier(bars: DataFrame, pt: float, sl: float, horizon_minutes: int,
         ok = F.coalesce(F.col("volatility") > 0, F.lit(False))
         up, dn = F.col("_h.high") >= F.col("_up"), F.col("_h.low") <= F.col("_dn")
         label = F.when(~ok | F.col("_h").isNull() | (up & dn), 0).when(up, 1).otherwise(-1)
-        last = F.coalesce(F.element_at(F.transform("_f", lambda b: b["bar_ts"]), -1), F.col("bar_ts"))
+        last = F.coalesce(F.array_max(F.transform("_f", lambda b: b["bar_ts"])), F.col("bar_ts"))
         return x.withColumns({
             "label": label,
             "horizon_end_ts": F.when(~ok, F.col("bar_ts")).otherwise(F.coalesce(F.col("_h.bar_ts"), last)),
