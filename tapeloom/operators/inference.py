@@ -346,7 +346,7 @@ def required_n(s: Column, skew: Column, kurt: Column, rho: Column, alpha: float
 def minimum_effect(df: DataFrame, keys: Sequence[str], n: str, skew: str, kurt: str, rho: str, grid: int = 2000,
                    step: float = 0.0005, power: float = 0.8) -> DataFrame:
     """Smallest effect of a grid that reaches the power (rows: keys x grid)."""
-    g = df.withColumn("effect", F.explode(F.sequence(F.lit(1), F.lit(grid))) * step)
+    g = df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(grid)))).withColumn("effect", F.col("_i") * step)
     ok = power_at(F.col("effect"), F.col(n).cast("double"), F.col(skew), F.col(kurt), F.col(rho)) >= power
     return g.groupBy(*keys).agg(F.min(F.when(ok, F.col("effect"))).alias("mde"))
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tapeloom.plans import joining, outcomes, projections, resampling, windows  # noqa: F401
+from tapeloom.plans import checks, joining, outcomes, projections, resampling, statistics, windows  # noqa: F401
 from tapeloom.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "d1_resample_ohlcv"
