@@ -18,7 +18,7 @@ from tapeloom.operators.inference import (
     EPS, YEAR, autocovariances, long_run_variance, nw_bandwidth, nw_first_lags, profit_factor, with_nw_bandwidth,
 )
 from tapeloom.operators.scan import POS
-from tapeloom.session import broadcast_if_small
+from tapeloom.session import broadcast_if_small, cut_lineage
 
 
 def stationary_indices(sizes: DataFrame, keys: Sequence[str], reps: int, block: float, seed: int,
@@ -121,7 +121,8 @@ def _delta_se(d: DataFrame, by: Sequence[str], a: str, b: str, bandwidth: int |
     x, y = F.col(a), F.col(b)
     j = d.join(g, by) if by else d.crossJoin(F.broadcast(g))
     j = j.withColumn("_z", F.col("_w1") * x + F.col("_w2") * x * x + F.col("_w3") * y + F.col("_w4") * y * y)
-    j = j.withColumn("_diff", x - y)
+    # Read by the bandwidth and by the variance pass.
+    j = cut_lineage(j.select(*by, POS, "_z", (x - y).alias("_diff"), "_ok"))
     if bandwidth is None:
         m = nw_first_lags(longest)
         bw = autocovariances(j, by, "_diff", m, small=True).select(*by, nw_bandwidth().alias("_bw"))
@@ -145,11 +146,12 @@ def sharpe_difference_ci(paired: DataFrame, a: str, b: str, reps: int, block: fl
     ``paired`` is a numbered series of both returns. A replicate without variance
     counts as t = 0 and is reported.
     """
+    paired = cut_lineage(paired)
     n = paired.count()
     point = _delta_se(paired, [], a, b, bandwidth, n)
     p = point.select(F.col("_delta").alias("point"), F.col("_se").alias("se"), F.col("_bw").alias("bandwidth"))
     fixed = bandwidth if per_replicate or bandwidth is not None else p.first()["bandwidth"]
-    boot = stationary_bootstrap(paired, [], [a, b], reps, block, seed).withColumn(POS, F.col("t"))
+    boot = cut_lineage(stationary_bootstrap(paired, [], [a, b], reps, block, seed).withColumn(POS, F.col("t")))
     s = _delta_se(boot, ["rep"], a, b, fixed, n).crossJoin(F.broadcast(p))
     t = F.coalesce(math.sqrt(n) * (F.col("_delta") - F.col("point")) / F.col("_se"), F.lit(0.0))
     q = s.agg(F.percentile(t, F.lit(alpha / 2)).alias("q_lo"), F.percentile(t, F.lit(1 - alpha / 2)).alias("q_hi"),

@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.hashing import counter_hash
 from tapeloom.operators import features as feat
@@ -175,7 +176,7 @@ def y3(spark, sf):
     return raw.unionByName(new).crossJoin(reliability_slope(cal, "calibrated", "d", 10))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def iqr(v: pd.Series) -> float:
     v = v.dropna()
     return float(v.quantile(0.75) - v.quantile(0.25)) if len(v) else None
@@ -189,7 +190,7 @@ def y4(spark, sf):
 
 
 @query("y5_fold_callbacks", WF_SQL + """
-SELECT fold_id, idx, (SELECT avg(t.y) FROM mem t WHERE t.fold_id = m.fold_id AND t.role = 'train') AS yhat, y FROM mem m WHERE role = 'test' AND fold_id < 4""", f8="yhat y")
+SELECT fold_id, idx, (SELECT avg(t.y) FROM mem t WHERE t.fold_id = m.fold_id AND t.role = 'train') AS yhat, y FROM mem m WHERE role = 'test' AND fold_id < 4""", f8="yhat y", digits=9)
 def y5(spark, sf):
     def fit(train):
         return train.agg(F.avg("y").alias("yhat"))
