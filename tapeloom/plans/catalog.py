@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tapeloom.plans import checks, joining, live, outcomes, projections, resampling, statistics, windows  # noqa: F401
+from tapeloom.plans import checks, flagship, joining, live, loading, outcomes, projections, resampling, statistics, windows  # noqa: F401
 from tapeloom.plans.registry import ORACLE, QUERIES  # noqa: F401
 
-FLAGSHIP = "d1_resample_ohlcv"
+FLAGSHIP = "flagship_trend_basket"
