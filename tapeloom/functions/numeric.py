@@ -23,6 +23,12 @@ def arithmetic_to_log(r) -> Column:
     return F.log1p(_c(r))
 
 
+def log_ratio(a, b) -> Column:
+    """log(a / b) of two positive values, else null (prices may be zero or negative)."""
+    a, b = _c(a), _c(b)
+    return F.when((a > 0) & (b > 0), F.log(F.try_divide(a, b)))
+
+
 def is_finite(c) -> Column:
     c = _c(c)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
@@ -81,7 +87,7 @@ def round_trip_cost(size, fixed, slip, slip_scale=1.0, override=None) -> Column:
 
 def cost_log_drag(cost, notional) -> Column:
     """Log-return equivalent of a cost."""
-    return F.when(_c(cost) == 0, 0.0).otherwise(F.log1p(-_c(cost) / _c(notional)))
+    return F.when(_c(cost) == 0, 0.0).otherwise(F.log1p(-F.try_divide(_c(cost), _c(notional))))
 
 
 def equity_for_sizing(policy: str, current, start, floor_fraction: float = 0.0) -> Column:
@@ -100,8 +106,8 @@ def position_size(equity, atr, mult, price, kelly, cap, k_atr=2.0, risk_pct=0.01
                   kelly_mult=1.0) -> Column:
     """Whole contracts: the least of the risk budget, the clamped bet fraction, the cap."""
     eq, px = _c(equity), _c(price)
-    by_risk = _c(risk_pct) * eq / (_c(k_atr) * _c(atr) * _c(mult))
-    by_kelly = clip(_c(kelly) * _c(kelly_mult), 0.0, 2.5) * eq / (px * _c(mult))
+    by_risk = F.try_divide(_c(risk_pct) * eq, _c(k_atr) * _c(atr) * _c(mult))
+    by_kelly = F.try_divide(clip(_c(kelly) * _c(kelly_mult), 0.0, 2.5) * eq, px * _c(mult))
     return F.floor(F.least(by_risk, by_kelly, _c(cap).cast("double")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.clock import session_date
+from tapeloom.functions.numeric import log_ratio
 
 
 def bucket_end(ts: str, minutes: int) -> Column:
@@ -83,8 +84,8 @@ def mediator_block(bars: DataFrame, block: Column, per_block: int) -> DataFrame:
     ``bars`` carries ``sign`` (see ``tick_sign``); blocks with another number
     of bars than ``per_block`` are dropped.
     """
-    ret = F.log(F.max_by("close", "bar_ts") / F.min_by("open", "bar_ts"))
-    span = F.log(F.max("high") / F.min("low"))
+    ret = log_ratio(F.max_by("close", "bar_ts"), F.min_by("open", "bar_ts"))
+    span = log_ratio(F.max("high"), F.min("low"))
     return (
         bars.groupBy("symbol", block.alias("block"))
         .agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.numeric import log_ratio
 from tapeloom.operators import trend
 from tapeloom.operators.scan import number_rows
 
@@ -13,7 +14,7 @@ YEAR = 252
 
 def daily_returns(closes: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("session")
-    return closes.withColumn("r", F.log(F.col("close") / F.lag("close").over(w)))
+    return closes.withColumn("r", log_ratio("close", F.lag("close").over(w)))
 
 
 def tsmom(returns: DataFrame, lookback: int, out: str = "signal") -> DataFrame:
@@ -34,7 +35,7 @@ def ex_ante_vol(returns: DataFrame, com: float) -> DataFrame:
 
 
 def vol_target_weight(signal: Column, vol: Column, target: Column, kelly: Column, cap: Column) -> Column:
-    raw = F.when(vol > 0, target / vol * signal * kelly).otherwise(0.0)
+    raw = F.when(vol > 0, F.try_divide(target, vol) * signal * kelly).otherwise(0.0)
     return F.greatest(-cap, F.least(cap, raw))
 
 

@@ -17,7 +17,7 @@ from tapeloom.functions.hashing import counter_hash, counter_uniform
 from tapeloom.operators.inference import (
     EPS, YEAR, autocovariances, long_run_variance, nw_bandwidth, nw_first_lags, profit_factor, with_nw_bandwidth,
 )
-from tapeloom.operators.scan import POS
+from tapeloom.operators.scan import POS, stored
 from tapeloom.session import broadcast_if_small, cut_lineage
 
 
@@ -26,23 +26,27 @@ def stationary_indices(sizes: DataFrame, keys: Sequence[str], reps: int, block:
     """(keys, rep, t, idx): each replicate restarts with probability 1/block, else the
     next position modulo n. ``sizes`` has one row (keys, n); ``length`` overrides the
     replicate length."""
-    n = F.col("n")
-    last = (n - 1) if length is None else F.lit(length - 1)
-    grid = sizes.select(*keys, "n").crossJoin(
-        F.broadcast(sizes.sparkSession.range(reps).select(F.col("id").alias("rep"))))
-    g = grid.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    fresh = (F.col("t") == 0) | (counter_uniform(F.col("rep"), F.col("t"), seed) < 1.0 / block)
-    draw = counter_hash(F.col("rep"), F.col("t"), seed + 1) % n
-    w = Window.partitionBy(*keys, "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(fresh, F.struct(F.col("t").alias("t0"), draw.alias("i0"))), ignorenulls=True).over(w)
-    g = g.withColumn("_s", at)
-    return g.select(*keys, "n", "rep", "t", F.pmod(F.col("_s.i0") + F.col("t") - F.col("_s.t0"), n).alias("idx"))
+    spark = sizes.sparkSession
+    last = (F.col("n") - 1) if length is None else F.lit(length - 1)
+    # One short row per replicate, spread before it is unrolled.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(
+        broadcast_if_small(sizes.select(*keys, "n"))).repartition(tasks, *keys, "rep")
+    first = F.filter(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda t: (t == 0) | (
+        counter_uniform(F.col("rep"), t, seed) < 1.0 / block))
+    g = grid.withColumn("_a", first)
+    ends = F.concat(F.slice("_a", F.lit(2), F.size("_a")), F.array((last + 1).cast("long")))
+    g = g.withColumn("_b", F.explode(F.arrays_zip(F.col("_a").alias("a"), ends.alias("e")))).select(
+        *keys, "n", "rep", F.col("_b.a").alias("_t0"), (F.col("_b.e") - 1).alias("_t1"))
+    draw = counter_hash(F.col("rep"), F.col("_t0"), seed + 1) % F.col("n")
+    g = g.withColumn("_i0", draw).withColumn("t", F.explode(F.sequence("_t0", "_t1")))
+    return g.select(*keys, "n", "rep", "t", F.pmod(F.col("_i0") + F.col("t") - F.col("_t0"), F.col("n")).alias("idx"))
 
 
 def stationary_bootstrap(series: DataFrame, keys: Sequence[str], cols: Sequence[str], reps: int, block: float,
                          seed: int, length: int | None = None) -> DataFrame:
     """Replicates (keys, rep, t, cols) of a numbered series; the columns stay paired."""
-    keys = list(keys)
+    keys, series = list(keys), stored(series)
     sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     idx = stationary_indices(sizes, keys, reps, block, seed, length)
     values = series.select(*keys, F.col(POS).alias("idx"), *cols)
@@ -59,6 +63,7 @@ def percentile_ci(stats: DataFrame, keys: Sequence[str], cols: Sequence[str], co
 def metric_ci(series: DataFrame, keys: Sequence[str], cols: Sequence[str], metrics: dict[str, Column], reps: int,
               block: float, seed: int, confidence: float = 0.95) -> DataFrame:
     """Intervals of aggregates: the same aggregate with ``rep`` in the key, then quantiles."""
+    series = stored(series)
     boot = stationary_bootstrap(series, keys, cols, reps, block, seed)
     stats = boot.groupBy(*keys, "rep").agg(*[c.alias(k) for k, c in metrics.items()])
     ci = percentile_ci(stats, keys, list(metrics), confidence)
@@ -89,8 +94,8 @@ def l_skew_ci(series: DataFrame, keys: Sequence[str], x: str, reps: int, block:
     n, i = F.col("n").cast("double"), F.col("_i").cast("double")
     d = boot.withColumn("_i", F.row_number().over(w))
     m = d.groupBy(*keys, "rep").agg(
-        F.avg(x).alias("b0"), F.avg(F.col(x) * (i - 1) / (n - 1)).alias("b1"),
-        F.avg(F.col(x) * (i - 1) * (i - 2) / ((n - 1) * (n - 2))).alias("b2"))
+        F.avg(x).alias("b0"), F.avg(F.col(x) * F.try_divide(i - 1, n - 1)).alias("b1"),
+        F.avg(F.col(x) * F.try_divide((i - 1) * (i - 2), (n - 1) * (n - 2))).alias("b2"))
     m = m.withColumn("tau3", F.try_divide(6 * F.col("b2") - 6 * F.col("b1") + F.col("b0"),
                                           2 * F.col("b1") - F.col("b0")))
     return percentile_ci(m, keys, ["tau3"])
@@ -146,7 +151,7 @@ def sharpe_difference_ci(paired: DataFrame, a: str, b: str, reps: int, block: fl
     ``paired`` is a numbered series of both returns. A replicate without variance
     counts as t = 0 and is reported.
     """
-    paired = cut_lineage(paired)
+    paired = stored(paired)
     n = paired.count()
     point = _delta_se(paired, [], a, b, bandwidth, n)
     p = point.select(F.col("_delta").alias("point"), F.col("_se").alias("se"), F.col("_bw").alias("bandwidth"))
@@ -169,6 +174,7 @@ def spa_test(panel: DataFrame, strategies: Sequence[str], reps: int, block: floa
     ``panel`` is numbered, one column of loss differentials per strategy; one draw
     of indices serves them all.
     """
+    panel = stored(panel)
     n = panel.count()
     long = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(k).alias("d")) for k in strategies]))
     mean = panel.select(long.alias("_s")).select("_s.*").groupBy("strategy").agg(F.avg("d").alias("d_bar"))
@@ -204,6 +210,7 @@ def project_paths(trades: DataFrame, keys: Sequence[str], r: str, paths: int, se
     """
     keys = list(keys)
     f = F.lit(float(fraction)) if isinstance(fraction, (int, float)) else fraction
+    trades = stored(trades)
     sizes = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     idx = stationary_indices(sizes, keys, paths, block, seed, sessions)
     d = trades.select(*keys, F.col(POS).alias("idx"), F.col(r).alias("_r")).join(
@@ -248,7 +255,7 @@ def log_optimal_fraction(trades: DataFrame, keys: Sequence[str], r: str, steps:
     keys = list(keys)
     d = trades.filter(F.col(r).isNotNull()).groupBy(*keys, F.col(r).alias("_r")).agg(F.count(F.lit(1)).alias("_k"))
     s = d.groupBy(*keys).agg((F.sum(F.col("_r") * F.col("_k")) / F.sum("_k")).alias("_m"), F.min("_r").alias("_lo"))
-    hi = F.least(F.lit(1.0), 1 / F.abs(F.col("_lo")) * (1 - 1e-9))
+    hi = F.least(F.lit(1.0), F.try_divide(F.lit(1 - 1e-9), F.abs(F.col("_lo"))))
 
     def best(bounds):
         g = bounds.withColumn("_f", F.explode(F.transform(

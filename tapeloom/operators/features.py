@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from tapeloom.functions.numeric import log_ratio
 from tapeloom.operators.scan import POS, full, number_rows, prefix, rolling
 
 KEYS = ["symbol"]
@@ -23,7 +24,7 @@ def _last(w: WindowSpec, n: int) -> WindowSpec:
 
 
 def log_return(w: WindowSpec, close: str = "close") -> Column:
-    return F.log(F.col(close) / F.lag(close).over(w))
+    return log_ratio(close, F.lag(close).over(w))
 
 
 def with_log_return(bars: DataFrame, keys=KEYS) -> DataFrame:
@@ -42,7 +43,7 @@ def rv_realized(bars: DataFrame, n: int, out: str = "rv_v1") -> DataFrame:
 def rv_parkinson(bars: DataFrame, n: int, out: str = "parkinson_v1") -> DataFrame:
     """Mean squared log range over 4 ln 2."""
     def build(d, w):
-        x = F.pow(F.log(F.col("high") / F.col("low")), 2)
+        x = F.pow(log_ratio("high", "low"), 2)
         f = _last(w, n)
         return d.withColumn(out, full(F.avg(x).over(f), n, x, f) / (4 * math.log(2)))
     return rolling(bars, KEYS, n - 1, build)
@@ -85,7 +86,7 @@ def sma_distance(bars: DataFrame, n: int, out: str | None = None) -> DataFrame:
     def build(d, w):
         f = _last(w, n)
         return d.withColumn(out or f"sma_dist_{n}",
-                            F.log(F.col("close") / full(F.avg("close").over(f), n, F.col("close"), f)))
+                            log_ratio("close", full(F.avg("close").over(f), n, F.col("close"), f)))
     return rolling(bars, KEYS, n - 1, build)
 
 
@@ -93,8 +94,8 @@ def rolling_garman_klass(bars: DataFrame, n: int, out: str = "gk_v1") -> DataFra
     """Range variance of the window seen as one bar."""
     def build(d, w):
         f = _last(w, n)
-        hl = F.log(F.max("high").over(f) / F.min("low").over(f))
-        co = F.log(F.col("close") / F.lag("open", n - 1).over(w))
+        hl = log_ratio(F.max("high").over(f), F.min("low").over(f))
+        co = log_ratio("close", F.lag("open", n - 1).over(w))
         gk = 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co
         return d.withColumn(out, full(gk, n, F.col("close"), f))
     return rolling(bars, KEYS, n - 1, build)
@@ -119,9 +120,9 @@ def yang_zhang(bars: DataFrame, n: int, out: str = "yz_v1") -> DataFrame:
         f = _last(w, n)
         o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
         d = d.withColumns({
-            "_on": F.log(o / F.lag("close").over(w)),
-            "_oc": F.log(c / o),
-            "_rs": F.log(h / c) * F.log(h / o) + F.log(lo / c) * F.log(lo / o),
+            "_on": log_ratio(o, F.lag("close").over(w)),
+            "_oc": log_ratio(c, o),
+            "_rs": log_ratio(h, c) * log_ratio(h, o) + log_ratio(lo, c) * log_ratio(lo, o),
         })
         var = (F.var_samp("_on").over(f) + k * F.var_samp("_oc").over(f)
                + (1 - k) * F.avg("_rs").over(f))
@@ -139,7 +140,7 @@ def gap_aware_block(bars: DataFrame, n: int, step_minutes: int) -> DataFrame:
         d = d.withColumn(
             "_r", F.when(gap > step_minutes * 60_000_000, 0.0).otherwise(log_return(w)))
         f, r = _last(w, n), F.col("_r")
-        hl2 = F.pow(F.log(F.col("high") / F.col("low")), 2)
+        hl2 = F.pow(log_ratio("high", "low"), 2)
         s1, s2, s3 = (F.sum(F.pow(r, k)).over(f) for k in (1, 2, 3))
         m1, m2, m3 = s1 / n, s2 / n, s3 / n
         var = m2 - m1 * m1
@@ -210,17 +211,17 @@ def session_anchors(bars: DataFrame, session: Column, anchor: Column, close_at:
     w = Window.partitionBy("symbol").orderBy("session")
     return s.withColumns({"prev_close": F.lag("last_px").over(w), "prev_vwap": F.lag("vwap").over(w)}).select(
         "symbol", "session",
-        F.log(F.col("last_px") / F.col("vwap")).alias("vwap_dev"),
-        F.log(F.col("anchor_px") / F.col("prev_close")).alias("overnight"),
-        F.log(F.col("anchor_px") / F.col("first_px")).alias("pre_open"),
-        F.log(F.col("close_px") / F.col("prev_vwap")).alias("close_vs_prev_vwap"),
+        log_ratio("last_px", "vwap").alias("vwap_dev"),
+        log_ratio("anchor_px", "prev_close").alias("overnight"),
+        log_ratio("anchor_px", "first_px").alias("pre_open"),
+        log_ratio("close_px", "prev_vwap").alias("close_vs_prev_vwap"),
     )
 
 
 def first_touch_sign(bars: DataFrame, session: Column, start: Column) -> DataFrame:
     """Sign of the move from the session open to its first bar at or after ``start``."""
     return bars.groupBy("symbol", session.alias("session")).agg(
-        F.signum(F.log(F.min_by("close", F.when(start, F.col("bar_ts"))) / F.min_by("open", "bar_ts"))
+        F.signum(log_ratio(F.min_by("close", F.when(start, F.col("bar_ts"))), F.min_by("open", "bar_ts"))
                  ).alias("first_sign"))
 
 
@@ -239,8 +240,8 @@ def session_entry_features(
         F.min(first).alias("entry_ts"), F.max_by("close", F.when(pre, F.col("bar_ts"))).alias("_p"))
     w = Window.partitionBy("symbol").orderBy("session")
     last = F.lag("_l").over(w)
-    return s.select("symbol", "session", F.signum(F.log(F.col("_e") / F.col("_f"))).alias("first_sign"),
-                    F.log(F.col("_f") / last).alias("gap"), F.log(F.col("_p") / last).alias("pre_ret"),
+    return s.select("symbol", "session", F.signum(log_ratio("_e", "_f")).alias("first_sign"),
+                    log_ratio("_f", last).alias("gap"), log_ratio("_p", last).alias("pre_ret"),
                     "vol", "entry_ts")
 
 

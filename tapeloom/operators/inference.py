@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.numeric import normal_cdf, normal_quantile
-from tapeloom.operators.scan import POS, number_rows, prefix, rolling
+from tapeloom.operators.scan import POS, number_rows, prefix, rolling, stored
 
 YEAR = 252
 EPS = 2.220446049250313e-16
@@ -65,8 +65,8 @@ def profit_factor(pnl: str) -> Column:
 
 def l_moment_sums(x: str, i: Column, n: Column) -> dict[str, Column]:
     """First probability-weighted moments from the 1-based rank i of n."""
-    w1 = (i - 1) / (n - 1)
-    w2 = (i - 1) * (i - 2) / ((n - 1) * (n - 2))
+    w1 = F.try_divide(i - 1, n - 1)
+    w2 = F.try_divide((i - 1) * (i - 2), (n - 1) * (n - 2))
     v = F.col(x)
     return {"b0": F.avg(v), "b1": F.avg(v * w1), "b2": F.avg(v * w2)}
 
@@ -152,6 +152,7 @@ def with_nw_bandwidth(series: DataFrame, keys: Sequence[str], r: str, extra_lags
 
     Two scalars reach the driver: the longest series and the widest bandwidth.
     """
+    series = stored(series)
     longest = series.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     lags = max(nw_first_lags(longest), extra_lags)
     a = autocovariances(series, keys, r, min(lags, max(longest - 1, 1))).withColumn("bw", nw_bandwidth())
@@ -163,6 +164,7 @@ def with_nw_bandwidth(series: DataFrame, keys: Sequence[str], r: str, extra_lags
 
 def hac_variances(series: DataFrame, keys: Sequence[str], r: str, fixed: int) -> DataFrame:
     """Long-run variance with the automatic, the AR(1) plug-in and a fixed bandwidth."""
+    series = stored(series)
     a = with_nw_bandwidth(series, keys, r, fixed)
     # The plug-in regression leaves the last value out of its denominator.
     end = series.groupBy(*keys).agg(F.max_by(r, POS).alias("_end"))
@@ -181,13 +183,14 @@ def hac_variances(series: DataFrame, keys: Sequence[str], r: str, fixed: int) ->
 def sharpe_intervals(series: DataFrame, keys: Sequence[str], r: str, confidence: float = 0.95) -> DataFrame:
     """Four intervals of the per-period Sharpe ratio: iid, HAC ratio, eta(q) and
     higher moments (with the iid form where its variance is not positive)."""
-    a = with_nw_bandwidth(series, keys, r)
+    series = stored(series)
+    a = stored(with_nw_bandwidth(series, keys, r))
     m = series.join(F.broadcast(a.select(*keys, F.col("mean").alias("_m"))), list(keys)).groupBy(*keys).agg(
         F.stddev_samp(r).alias("_sd"), F.avg(F.pow(F.col(r) - F.col("_m"), 3)).alias("_m3"),
         F.avg(F.pow(F.col(r) - F.col("_m"), 4)).alias("_m4"))
     d = a.join(m, list(keys)).withColumn("lrv", long_run_variance(F.col("bw")))
-    n, s = F.col("n").cast("double"), F.col("mean") / F.col("_sd")
-    var0 = _g(0)
+    n, s = F.col("n").cast("double"), F.try_divide("mean", "_sd")
+    var0 = F.nullif(_g(0), F.lit(0.0))
     base = (1 + s * s / 2) / n
     q = F.greatest(F.lit(2), F.col("bw") + 1)
     eta = F.greatest(F.lit(0.0), 1 + 2 * _total(F.transform(
@@ -207,6 +210,7 @@ def sharpe_intervals(series: DataFrame, keys: Sequence[str], r: str, confidence:
 
 def block_length(series: DataFrame, keys: Sequence[str], r: str, circular: bool = False) -> DataFrame:
     """Flat-top automatic block length (Politis and White 2004) per key."""
+    series = stored(series)
     longest = series.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     k_n = lambda n: max(5, math.ceil(math.sqrt(math.log10(max(n, 10)))))
     lags = min(max(math.ceil(math.sqrt(longest)) + 2 * k_n(longest), k_n(longest) + 1), max(longest - 1, 1))
@@ -245,8 +249,8 @@ def ks_two_sample(df: DataFrame, cols: Sequence[str], second: Column, threshold:
     long = df.select(second.alias("_b"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_s")
     ).select("_b", "_s.*").filter(F.col("v").isNotNull())
-    cells = long.groupBy("column", "v").agg(
-        F.count_if(~F.col("_b")).alias("a"), F.count_if(F.col("_b")).alias("b"))
+    cells = stored(long.groupBy("column", "v").agg(
+        F.count_if(~F.col("_b")).alias("a"), F.count_if(F.col("_b")).alias("b")))
     n = cells.groupBy("column").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     run = prefix(number_rows(cells, ["column"], ["v"]), ["column"], {
         "fa": ("sum", F.col("a")), "fb": ("sum", F.col("b"))})
@@ -339,7 +343,7 @@ def required_n(s: Column, skew: Column, kurt: Column, rho: Column, alpha: float
     one = F.lit(1.0)
     a0 = F.sqrt(sharpe_variance(F.lit(0.0), one, skew, kurt, rho))
     a1 = F.sqrt(sharpe_variance(s, one, skew, kurt, rho))
-    root = (normal_quantile(1 - alpha) * a0 + normal_quantile(power) * a1) / s
+    root = F.try_divide(normal_quantile(1 - alpha) * a0 + normal_quantile(power) * a1, s)
     return F.when(s > 0, F.greatest(F.lit(3.0), F.ceil(root * root).cast("double")))
 
 
@@ -355,12 +359,13 @@ def minimum_effect(df: DataFrame, keys: Sequence[str], n: str, skew: str, kurt:
 
 def glr_scan(series: DataFrame, keys: Sequence[str], x: str, alpha: float = 0.05) -> DataFrame:
     """Largest mean-shift statistic over all cuts, against log(3 n^1.5 / alpha)."""
+    series = stored(series)
     tot = series.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("_m"), F.var_pop(x).alias("_v"))
     run = prefix(series, keys, {"_s": ("sum", F.col(x))}).join(F.broadcast(tot), list(keys))
     k, n = (F.col(POS) + 1).cast("double"), F.col("n").cast("double")
     left = F.col("_s") / k
-    right = (F.col("_m") * n - F.col("_s")) / (n - k)
-    g = 0.5 * (k * F.pow(left - F.col("_m"), 2) + (n - k) * F.pow(right - F.col("_m"), 2)) / F.col("_v")
+    right = F.try_divide(F.col("_m") * n - F.col("_s"), n - k)
+    g = 0.5 * (k * F.pow(left - F.col("_m"), 2) + (n - k) * F.pow(right - F.col("_m"), 2)) / F.nullif(F.col("_v"), F.lit(0.0))
     ok = (k >= 2) & (k <= n - 2) & (F.col("_v") > 1e-12)
     out = run.groupBy(*keys, "n").agg(
         F.coalesce(F.max(F.when(ok, g)), F.lit(0.0)).alias("glr"),
@@ -407,6 +412,7 @@ def pareto(df: DataFrame, x: str, y: str) -> DataFrame:
 
     One scan from the best x downwards keeps the best y so far; no pairs are formed.
     """
+    df = stored(df)
     best = df.groupBy(x).agg(F.max(y).alias("_top"))
     run = prefix(number_rows(best, [], [x]), [], {"_above": ("max", F.col("_top"))}, inclusive=False, reverse=True)
     j = df.join(run.select(x, "_top", "_above"), x)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.functions.numeric import log_ratio
 from tapeloom.operators.features import KEYS, log_return, yang_zhang
 from tapeloom.operators.scan import POS, full, rolling
 
@@ -111,12 +112,12 @@ def opening_range(bars: DataFrame, session: Column, hhmm: Column, entry: str, ti
         F.when(F.col("_ok"), F.coalesce(F.col("_x.t"), F.col("_close_ts"))).otherwise(F.col("_first")).alias("exit_ts"),
         px.alias("exit_price"),
         F.when(~F.col("_ok"), "no_data").otherwise(F.coalesce(F.col("_x.w"), F.lit("hardclose"))).alias("exit_reason"),
-        F.when(F.col("_ok"), F.log(px / F.col("entry_price"))).otherwise(0.0).alias("pnl_log"))
+        F.when(F.col("_ok"), log_ratio(px, "entry_price")).otherwise(0.0).alias("pnl_log"))
 
 
 def forward_return(bars: DataFrame, h: int) -> DataFrame:
     def build(x, w):
-        r = F.log(F.lead("close", h).over(w) / F.col("close"))
+        r = log_ratio(F.lead("close", h).over(w), "close")
         return x.withColumns({"fwd_ret": r, "fwd_sign": F.coalesce(F.signum(r), F.lit(0.0)).cast("int")})
     return rolling(bars, KEYS, 0, build, lookahead=h)
 

@@ -78,7 +78,7 @@ def circuit_breaker(trades: DataFrame, period: Column, order: Sequence[str], thr
 
 def adverse_entries(trades: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Entries against the higher trend after an adverse move of more than ``threshold`` ATRs."""
-    moved = (F.col("fill_price") - F.col("bar_open")) * F.col("side") / F.col("atr")
+    moved = F.try_divide((F.col("fill_price") - F.col("bar_open")) * F.col("side"), "atr")
     return trades.filter(F.col("trend_sign").isNotNull() & (F.col("atr") > 0)
                          & (F.col("trend_sign") * F.col("side") <= 0) & (moved < -threshold))
 

@@ -83,10 +83,17 @@ def number_rows(
     return out
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` as a stored frame: two-level scans read their input twice, and chained
-    scans would otherwise double the work at every step."""
-    return df if getattr(df, "_stored", False) else cut_lineage(df)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a stored frame, unless it is one already.
+
+    Two-level scans read their input twice; without this, chained scans would double
+    the work at every step, and a small series would repeat the join it comes from.
+    """
+    if getattr(df, "_stored", False):
+        return df
+    out = cut_lineage(df)
+    out._stored = True
+    return out
 
 
 def _block_of(pos: str, block: int) -> Column:
@@ -165,7 +172,7 @@ def prefix(
     ``inclusive=False`` the current row is left out; with ``reverse`` the scan
     runs from the end of the series.
     """
-    keys, df = list(keys), _stored(df)
+    keys, df = list(keys), stored(df)
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     w = Window.partitionBy(*keys, "_blk").orderBy(direction(pos))
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -215,7 +222,7 @@ def recurrence(
     is near 1e-13: the scaling stays far from overflow, and the ends of the two
     blocks before give the carry to full double precision.
     """
-    keys, df = list(keys), _stored(df)
+    keys, df = list(keys), stored(df)
     slowest = max(a for a, _ in specs.values())
     fastest = min(a for a, _ in specs.values())
     block = max(8, math.ceil(math.log(1e-13) / math.log(slowest)))

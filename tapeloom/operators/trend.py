@@ -219,15 +219,15 @@ def wick_reversals(levels: DataFrame, theta: float, body_floor: float = 1e-9) ->
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     body = F.abs(c - o)
     down, up = F.least(o, c) - lo, h - F.greatest(o, c)
-    long_ok = (lo < F.col("swing_low")) & (c >= F.col("swing_low")) & (down > 0) & (down / body >= theta)
-    short_ok = (h > F.col("swing_high")) & (c <= F.col("swing_high")) & (up > 0) & (up / body >= theta)
+    long_ok = (lo < F.col("swing_low")) & (c >= F.col("swing_low")) & (down > 0) & (down >= theta * body)
+    short_ok = (h > F.col("swing_high")) & (c <= F.col("swing_high")) & (up > 0) & (up >= theta * body)
     real = levels.filter(body >= body_floor)
     one = real.filter(long_ok).select(
         *KEYS, POS, F.lit(1).alias("side"), F.col("swing_low").alias("level"),
-        lo.alias("limit_price"), (down / body).alias("ratio"))
+        lo.alias("limit_price"), F.try_divide(down, body).alias("ratio"))
     two = real.filter(short_ok).select(
         *KEYS, POS, F.lit(-1).alias("side"), F.col("swing_high").alias("level"),
-        h.alias("limit_price"), (up / body).alias("ratio"))
+        h.alias("limit_price"), F.try_divide(up, body).alias("ratio"))
     return one.unionByName(two)
 
 

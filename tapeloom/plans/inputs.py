@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators.bars import resample_ohlcv
-from tapeloom.operators.scan import number_rows
+from tapeloom.operators.scan import number_rows, stored
 from tapeloom.session import load
 
 # The unique key of a trade.
@@ -34,6 +34,11 @@ def numbered_bars(spark: SparkSession, sf: str, minutes: int = 60) -> DataFrame:
                        chunk=F.trunc("bar_ts", "MM"))
 
 
+def stored_bars(spark: SparkSession, sf: str, minutes: int = 60) -> DataFrame:
+    """Numbered bars as a stored frame, for queries that read them several times."""
+    return stored(numbered_bars(spark, sf, minutes))
+
+
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     li, od = load(spark, sf, "lineitem"), load(spark, sf, "orders")
     edge = F.col("l_discount") - F.col("l_tax")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions import clock
 from tapeloom.operators import features as feat
 from tapeloom.operators import labels, risk, splits, trend
-from tapeloom.operators.scan import number_rows
-from tapeloom.plans.inputs import TRADE_KEY, ledger, numbered_bars, returns
+from tapeloom.operators.scan import number_rows, stored
+from tapeloom.plans.inputs import TRADE_KEY, ledger, numbered_bars, returns, stored_bars
 from tapeloom.plans.registry import cte, query
 from tapeloom.plans.windows import ATR_SQL, DONCHIAN, SWING_SQL, W, _win
 from tapeloom.session import load
@@ -94,10 +94,11 @@ SELECT symbol, side, swing_pos, confirm_pos, CAST(fill_pos AS DOUBLE) AS fill_po
 
 @query("l5_bracket_outcomes", L5_SQL, f8="fill_pos exit_pos exit_price pnl r_multiple", i8="side")
 def l5(spark, sf):
-    b = trend.atr(numbered_bars(spark, sf), 14)
+    raw = stored_bars(spark, sf)
+    b = trend.atr(raw, 14)
     at = b.filter(F.col("atr").isNotNull()).select("symbol", F.col("pos").alias("confirm_pos"), "atr")
-    setups = trend.pivot_setups(numbered_bars(spark, sf), 5).join(at, ["symbol", "confirm_pos"])
-    return labels.bracket_outcomes(setups, numbered_bars(spark, sf), K5, 1.5, 1.0, ["side", "swing_pos"])
+    setups = stored(trend.pivot_setups(raw, 5).join(at, ["symbol", "confirm_pos"]))
+    return labels.bracket_outcomes(setups, raw, K5, 1.5, 1.0, ["side", "swing_pos"])
 
 
 @query("l6_breakout_outcomes", ATR_SQL + f""", ch AS (SELECT *, CASE WHEN count(*) OVER a = 20 THEN max(close) OVER a END AS upper,
@@ -117,7 +118,7 @@ SELECT e.symbol, e.pos AS event_pos, e.event AS side, e.eo AS entry_price, exit_
 FROM en e JOIN f ON f.symbol = e.symbol AND f.event_pos = e.pos""", f8="entry_price exit_price r_multiple", i8="side")
 def l6(spark, sf):
     b = feat.donchian(trend.atr(numbered_bars(spark, sf), 14), 20)
-    return labels.breakout_outcomes(b, 0.2, 12, F.to_date("bar_ts"))
+    return labels.breakout_outcomes(stored(b), 0.2, 12, F.to_date("bar_ts"))
 
 
 @query("l7_strategy_returns", cte("returns", d="SELECT *, lag(ret) OVER (PARTITION BY symbol ORDER BY session) AS yhat FROM returns",
@@ -155,6 +156,11 @@ def sessions(spark, sf):
     return number_rows(d, [], ["session"], chunk=F.trunc("session", "year"), pos="idx")
 
 
+def stored_sessions(spark, sf):
+    """Sessions as a stored frame: they are counted, and then joined."""
+    return stored(sessions(spark, sf))
+
+
 def wf_segments(spark, sf):
     return splits.walk_forward_split(spark, sessions(spark, sf).count(), **WF)
 
@@ -192,7 +198,7 @@ CPCV_SQL = BLOCK_SQL.format(k=6) + """,
 SELECT fold_id, CASE WHEN is_test = 1 THEN 'test' ELSE 'train' END AS role, count(*) AS days, min(idx) AS first_idx, max(idx) AS last_idx, avg(y) AS mean_y
 FROM d WHERE is_test = 1 OR banned = 0 GROUP BY 1, 2""", f8="mean_y")
 def p3(spark, sf):
-    obs = sessions(spark, sf)
+    obs = stored_sessions(spark, sf)
     seg = splits.cpcv_split(spark, obs.count(), 6, 2, 5, 10)
     return splits.members(obs, seg).groupBy("fold_id", "role").agg(
         F.count(F.lit(1)).alias("days"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.avg("y").alias("mean_y"))
@@ -212,7 +218,7 @@ def p4(spark, sf):
 SELECT fold_id, role, min(session) AS first_day, max(session) AS last_day, count(*) AS days FROM s JOIN obs ON idx >= lo AND idx < hi GROUP BY 1, 2""",
        dt="first_day last_day")
 def p4_folds(spark, sf):
-    obs = sessions(spark, sf)
+    obs = stored_sessions(spark, sf)
     return splits.members(obs, splits.session_folds(spark, obs.count(), 252, 60, 1)).groupBy("fold_id", "role").agg(
         F.min("session").alias("first_day"), F.max("session").alias("last_day"), F.count(F.lit(1)).alias("days"))
 
@@ -362,10 +368,10 @@ def r8(spark, sf):
     f"SELECT '{r}' AS rule, (SELECT count(*) FROM ({s.format(k='k1')})) AS n_violations, n_checked, (SELECT count(*) FROM ({s.format(k='k1')})) = 0 AS passed FROM n"
     for r, s in RULE_SQL.items()))
 def r9(spark, sf):
-    t = trades(spark, sf)
+    t = stored(trades(spark, sf))
     return risk.rule_report(t, rules(t))
 
 
 @query("r9_rule_violations", TRADE_SQL + " UNION ALL ".join(f"SELECT '{r}' AS rule, {TK} FROM ({s.format(k=TK)})" for r, s in RULE_SQL.items()))
 def r9_rows(spark, sf):
-    return risk.rule_violations(rules(trades(spark, sf)), TRADE_KEY)
+    return risk.rule_violations(rules(stored(trades(spark, sf))), TRADE_KEY)

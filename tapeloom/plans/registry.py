@@ -67,7 +67,8 @@ CTES = {
                ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS bar_ts FROM ticks)
   GROUP BY symbol, bar_ts""",
     "rets": """
-  SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_ts)) AS r,
+  SELECT *, CASE WHEN close > 0 AND lag(close) OVER (PARTITION BY symbol ORDER BY bar_ts) > 0
+           THEN ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_ts)) END AS r,
          row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS pos FROM bars""",
     "ledger": """
   SELECT concat(l_returnflag, l_linestatus) AS symbol, CAST(o_orderdate AS DATE) AS session,

@@ -9,7 +9,7 @@ from tapeloom.functions import numeric
 from tapeloom.operators import bootstrap as bs
 from tapeloom.operators import inference as inf
 from tapeloom.operators import metrics, splits
-from tapeloom.operators.scan import POS, exact_quantiles, number_rows
+from tapeloom.operators.scan import POS, exact_quantiles, number_rows, stored
 from tapeloom.plans.inputs import TRADE_KEY, ledger, returns
 from tapeloom.plans.outcomes import OBS_SQL, sessions
 from tapeloom.plans.registry import cte, query
@@ -298,7 +298,7 @@ E_MAX = ((1 - 0.5772156649015329) * numeric.normal_quantile(1 - 1 / PATHS)
 SELECT count(*) AS n, quantile_cont(s, 0.5) AS median, avg(s) AS mean, stddev_samp(s) AS std, quantile_cont(s, 0.05) AS q05, quantile_cont(s, 0.95) AS q95,
   quantile_cont(s, 0.5) - stddev_samp(s) * """ + repr(E_MAX) + """ AS deflated, any_value(ks) AS ks, any_value(ks) <= 0.05 AS monotone FROM sh, ks""", f8="median mean std q05 q95 deflated ks", digits=5)
 def q15(spark, sf):
-    obs = sessions(spark, sf).withColumn("y", F.col("y") - 230)
+    obs = stored(sessions(spark, sf).withColumn("y", F.col("y") - 230))
     seg = splits.cpcv_split(spark, obs.count(), 9, 2, 5, 10)
     return inf.path_summary(inf.cpcv_sharpes(obs, seg, "y"))
 

@@ -11,7 +11,7 @@ from tapeloom.operators import rolls, trend
 from tapeloom.operators.joins import nearest_within
 from tapeloom.operators.metrics import equity_curve
 from tapeloom.operators.scan import POS, number_rows, prefix, rolling
-from tapeloom.plans.inputs import bars, daily, numbered_bars, returns, ticks
+from tapeloom.plans.inputs import bars, daily, numbered_bars, returns, stored_bars, ticks
 from tapeloom.plans.registry import cte, query
 from tapeloom.plans.resampling import CONTRACT_SQL, SIGNED_SQL, contracts
 from tapeloom.session import load
@@ -307,7 +307,7 @@ UNION ALL SELECT symbol, pos, -1, swing_high, high, (high - greatest(open, close
 WHERE abs(close - open) >= 1e-9 AND high > swing_high AND close <= swing_high AND high > greatest(open, close) AND (high - greatest(open, close)) / abs(close - open) >= 0.5""",
        f8="level limit_price ratio", i8="side")
 def e25(spark, sf):
-    return trend.wick_reversals(trend.with_swing_levels(numbered_bars(spark, sf), 5), 0.5)
+    return trend.wick_reversals(trend.with_swing_levels(stored_bars(spark, sf), 5), 0.5)
 
 
 TOUCH_SQL = """SELECT user_id AS level, event_type AS fold, event_id, ts,
@@ -340,9 +340,10 @@ def e26(spark, sf):
 SELECT symbol, side, swing_pos, confirm_pos, trend, rho, news, trend = side AND rho <= 0.5 AND NOT news AS passed FROM nw""",
        f8="rho", i8="side trend")
 def e27(spark, sf):
-    b = trend.ma_cross(trend.body_overlap(numbered_bars(spark, sf), 5), 10, 50, 0.001)
+    raw = stored_bars(spark, sf)
+    b = trend.ma_cross(trend.body_overlap(raw, 5), 10, 50, 0.001)
     at = b.select("symbol", F.col(POS).alias("confirm_pos"), F.col("bar_ts").alias("ts"), F.col("side_d").alias("trend"), "rho")
-    setups = trend.pivot_setups(numbered_bars(spark, sf), 5).join(at, ["symbol", "confirm_pos"])
+    setups = trend.pivot_setups(raw, 5).join(at, ["symbol", "confirm_pos"])
     news = load(spark, sf, "events").filter("event_type = 'signup' AND value > 100").select("ts", "event_id")
     d = nearest_within(setups, news, [], "ts", "swing_pos", ["event_id"], 15 * 60 * 1_000_000)
     near = F.col("event_id").isNotNull()
