@@ -107,7 +107,7 @@ def rolling(
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     lookahead: int = 0,
     pos: str = POS,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Run ``build(rows, window)`` on overlapping blocks of a numbered frame.
 
@@ -115,7 +115,7 @@ def rolling(
     ``build``. Frames at the start of a series are short, as in Spark; guard
     them with ``full``.
     """
-    block = max(block, 4 * (lookback + lookahead), 1)
+    block = max(block or BLOCK, 4 * (lookback + lookahead), 1)
     own = _block_of(pos, block)
     at = F.col(pos) - own * F.lit(block)
     targets = [own]
@@ -162,7 +162,7 @@ def prefix(
     keys: Sequence[str],
     specs: Mapping[str, tuple[str, Column]],
     pos: str = POS,
-    block: int = BLOCK,
+    block: int | None = None,
     inclusive: bool = True,
     reverse: bool = False,
 ) -> DataFrame:
@@ -172,7 +172,7 @@ def prefix(
     ``inclusive=False`` the current row is left out; with ``reverse`` the scan
     runs from the end of the series.
     """
-    keys, df = list(keys), stored(df)
+    keys, df, block = list(keys), stored(df), block or BLOCK
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     w = Window.partitionBy(*keys, "_blk").orderBy(direction(pos))
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
