@@ -103,16 +103,32 @@ def session_of(ts, early_closes: dict[str, str] | None = None,
     )
 
 
-def _open_day(day: Column, holidays: list[str], reach: int = 10) -> Column:
-    """First open weekday from ``day`` on; ``reach`` days exceed any closure."""
-    days = F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: F.date_add(day, k))
-    closed = [F.lit(dt.date.fromisoformat(d)) for d in holidays]
-
-    def is_open(d):
-        shut = F.array_contains(F.array(*closed), d) if closed else F.lit(False)
-        return (F.weekday(d) < 5) & ~shut
-
-    return F.element_at(F.filter(days, is_open), 1)
+def longest_closure(holidays: list[str]) -> int:
+    """Most days in a row without trading, weekends included."""
+    shut = {dt.date.fromisoformat(d) for d in holidays}
+    longest = 2
+    for d in shut:
+        n, day = 0, d
+        while day in shut or day.weekday() >= 5:
+            n, day = n + 1, day + dt.timedelta(days=1)
+        day = d - dt.timedelta(days=1)
+        while day in shut or day.weekday() >= 5:
+            n, day = n + 1, day - dt.timedelta(days=1)
+        longest = max(longest, n)
+    return longest
+
+
+def _open_day(day: Column, holidays: list[str]) -> Column:
+    """First open weekday from ``day`` on; no closure is longer than the one looked for."""
+    closed = F.array(*[F.lit(dt.date.fromisoformat(d)) for d in holidays]) if holidays else None
+    out = None
+    for k in range(longest_closure(holidays), -1, -1):
+        d = F.date_add(day, k)
+        is_open = F.weekday(d) < 5
+        if closed is not None:
+            is_open = is_open & ~F.array_contains(closed, d)
+        out = F.when(is_open, d) if out is None else F.when(is_open, d).otherwise(out)
+    return out
 
 
 def trading_day(ts, holidays: list[str] | None = None) -> Column:

@@ -385,7 +385,8 @@ def regret(rewards: DataFrame, step: str, arm: str, reward: str, chosen: Column)
 
 def softmax(v: Column) -> Column:
     e = F.transform(v, lambda x: F.exp(x.cast("double")))
-    return F.transform(e, lambda x: x / _total(e))
+    # The total goes in as an array, so that it is summed once per row.
+    return F.zip_with(e, F.array_repeat(_total(e), F.size(e)), lambda x, t: x / t)
 
 
 def hellinger(p: Column, q: Column) -> Column:

@@ -37,7 +37,10 @@ def purged_grid_search(df: DataFrame, features: Sequence[str], y: str, block: Co
                        makers: dict[str, Callable[[], object]]) -> tuple[str, DataFrame]:
     """Mean squared error of every grid cell over contiguous blocks, with the blocks
     next to the test block left out of training; the best cell by name order on ties."""
-    d = cut_lineage(df.select(*features, y, block.alias("_b")))
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Every fit reads these rows again: spread over all tasks, and stored.
+    d = cut_lineage(df.select(*features, y, block.alias("_b")).repartition(tasks))
     score = RegressionEvaluator(labelCol=y, predictionCol="prediction", metricName="mse")
     rows = []
     for name, make in makers.items():
