@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.clock import session_date
 from tapeloom.functions.numeric import log_ratio
+from tapeloom.operators.scan import exact_quantiles
 
 
 def bucket_end(ts: str, minutes: int) -> Column:
@@ -24,8 +25,14 @@ def bucket_start(ts: str, minutes: int) -> Column:
     return F.timestamp_micros((F.floor(F.unix_micros(ts) / F.lit(width)) * width).cast("long"))
 
 
+def _when(tie: str | None) -> Column:
+    """What orders ticks. Where (symbol, ts) is unique no tie-break is needed, and a
+    plain timestamp keeps the aggregate hash-based; a struct makes it sort."""
+    return F.col("ts") if tie is None else F.struct("ts", tie)
+
+
 def resample_ohlcv(
-    ticks: DataFrame, minutes: int = 60, label: str = "right", closed: str = "right"
+    ticks: DataFrame, minutes: int = 60, label: str = "right", closed: str = "right", tie: str | None = "seq"
 ) -> DataFrame:
     """Open/high/low/close/volume bars; empty buckets give no row."""
     edge = bucket_end("ts", minutes) if closed == "right" else bucket_start("ts", minutes)
@@ -33,7 +40,7 @@ def resample_ohlcv(
     if label != natural:
         shift = F.make_dt_interval(mins=F.lit(minutes))
         edge = edge + shift if label == "right" else edge - shift
-    at = F.struct("ts", "seq")
+    at = _when(tie)
     return ticks.groupBy("symbol", edge.alias("bar_ts")).agg(
         F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),
@@ -44,9 +51,9 @@ def resample_ohlcv(
     )
 
 
-def session_ohlc(ticks: DataFrame, min_rows: int, session: Column) -> DataFrame:
+def session_ohlc(ticks: DataFrame, min_rows: int, session: Column, tie: str | None = "seq") -> DataFrame:
     """OHLC by session, keeping only sessions with at least ``min_rows`` rows."""
-    at = F.struct("ts", "seq")
+    at = _when(tie)
     return (
         ticks.groupBy("symbol", session.alias("session"))
         .agg(
@@ -61,12 +68,12 @@ def session_ohlc(ticks: DataFrame, min_rows: int, session: Column) -> DataFrame:
     )
 
 
-def daily_close(ticks: DataFrame, last_hour: int) -> DataFrame:
+def daily_close(ticks: DataFrame, last_hour: int, tie: str | None = "seq") -> DataFrame:
     """Last price of each UTC day up to and including the whole hour ``last_hour``."""
     return (
         ticks.filter(F.hour("ts") <= last_hour)
         .groupBy("symbol", F.to_date("ts").alias("session"))
-        .agg(F.max_by("price", F.struct("ts", "seq")).alias("close"),
+        .agg(F.max_by("price", _when(tie)).alias("close"),
              F.count(F.lit(1)).alias("n_bars"))
     )
 
@@ -125,20 +132,13 @@ def bin_profile(bars: DataFrame, bin_of: Column, session: Column, r: str = "r")
 def survey_consensus(survey: DataFrame) -> DataFrame:
     """Median, deviation and count of answers by date and indicator.
 
-    Answers are counted by value first, so the median is taken over the
-    distinct answers with their weights.
+    The median is a position in a distributed sort, so a date with most of the
+    answers needs no task of its own.
     """
-    by_value = survey.filter(F.col("value").isNotNull()).groupBy(
-        "forecast_date", "indicator", "value"
-    ).agg(F.count(F.lit(1)).alias("k"))
-    v, k = F.col("value"), F.col("k")
-    n, s1, s2 = F.sum(k), F.sum(k * v), F.sum(k * v * v)
-    var = F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1)
-    return by_value.groupBy("forecast_date", "indicator").agg(
-        F.percentile("value", F.lit(0.5), k).alias("median"),
-        F.when(n > 1, F.sqrt(var)).alias("std"),
-        n.alias("n"),
-    )
+    keys = ["forecast_date", "indicator"]
+    ok = survey.filter(F.col("value").isNotNull())
+    spread = ok.groupBy(*keys).agg(F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n"))
+    return exact_quantiles(ok, keys, "value", {"median": 0.5}).join(spread, keys)
 
 
 def contract_volume(ticks: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def mppm(df: DataFrame, keys: Sequence[str], r: str, rho: float = 1.0, delta_t:
             F.when(~bad, F.avg(F.when(F.col(r) > -1, le)) / delta_t).alias("mppm"))
     z = (1.0 - rho) * le
     top = df.groupBy(*keys).agg(F.max(z).alias("_top"), (F.min(r) <= -1).alias("_bad"))
-    j = df.join(F.broadcast(top), list(keys)) if keys else df.crossJoin(F.broadcast(top))
+    j = df.join(top, list(keys)) if keys else df.crossJoin(F.broadcast(top))
     mean = F.first("_top") + F.log(F.sum(F.exp(z - F.col("_top")))) - F.log(F.count(r))
     return j.groupBy(*keys).agg(
         F.when(~F.first("_bad"), mean / ((1.0 - rho) * delta_t)).alias("mppm"))
@@ -77,7 +77,7 @@ def l_moments(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     ranked = number_rows(d, keys, [x])
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     i = (F.col(POS) + 1).cast("double")
-    m = ranked.join(F.broadcast(n), list(keys)).groupBy(*keys, "n").agg(
+    m = ranked.join(n, list(keys)).groupBy(*keys, "n").agg(
         *[c.alias(k) for k, c in l_moment_sums(x, i, F.col("n").cast("double")).items()])
     l2 = 2 * F.col("b1") - F.col("b0")
     l3 = F.when(F.col("n") >= 3, 6 * F.col("b2") - 6 * F.col("b1") + F.col("b0"))
@@ -185,7 +185,7 @@ def sharpe_intervals(series: DataFrame, keys: Sequence[str], r: str, confidence:
     higher moments (with the iid form where its variance is not positive)."""
     series = stored(series)
     a = stored(with_nw_bandwidth(series, keys, r))
-    m = series.join(F.broadcast(a.select(*keys, F.col("mean").alias("_m"))), list(keys)).groupBy(*keys).agg(
+    m = series.join(a.select(*keys, F.col("mean").alias("_m")), list(keys)).groupBy(*keys).agg(
         F.stddev_samp(r).alias("_sd"), F.avg(F.pow(F.col(r) - F.col("_m"), 3)).alias("_m3"),
         F.avg(F.pow(F.col(r) - F.col("_m"), 4)).alias("_m4"))
     d = a.join(m, list(keys)).withColumn("lrv", long_run_variance(F.col("bw")))
@@ -361,7 +361,7 @@ def glr_scan(series: DataFrame, keys: Sequence[str], x: str, alpha: float = 0.05
     """Largest mean-shift statistic over all cuts, against log(3 n^1.5 / alpha)."""
     series = stored(series)
     tot = series.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("_m"), F.var_pop(x).alias("_v"))
-    run = prefix(series, keys, {"_s": ("sum", F.col(x))}).join(F.broadcast(tot), list(keys))
+    run = prefix(series, keys, {"_s": ("sum", F.col(x))}).join(tot, list(keys))
     k, n = (F.col(POS) + 1).cast("double"), F.col("n").cast("double")
     left = F.col("_s") / k
     right = F.try_divide(F.col("_m") * n - F.col("_s"), n - k)

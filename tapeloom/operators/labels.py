@@ -211,7 +211,7 @@ def strategy_returns(d: DataFrame, yhat: str, y: str, train: Column, gate: Colum
     """Returns of trading the predicted sign, holding, and the sign of the train mean,
     with a gate and a cost whenever a position is held."""
     mean = d.filter(train).groupBy(*keys).agg(F.avg(y).alias("_m"))
-    j = d.join(F.broadcast(mean), list(keys), "left")
+    j = d.join(mean, list(keys), "left")
     side = F.when(gate, F.signum(F.col(yhat))).otherwise(0.0)
     side = F.coalesce(side, F.lit(0.0))
     return j.withColumns({

@@ -50,10 +50,11 @@ def roll_events(effective: DataFrame) -> DataFrame:
         "root", "session", "prev_session", "old", F.col("effective").alias("new"))
 
 
-def roll_ratios(ticks: DataFrame, events: DataFrame) -> DataFrame:
+def roll_ratios(ticks: DataFrame, events: DataFrame, tie: str | None = None) -> DataFrame:
     """Open of the new contract at its first front session over the close of the old
-    one at its last; null where an anchor is missing."""
-    at = F.struct("ts", "seq")
+    one at its last; null where an anchor is missing. Times are unique per contract,
+    unless ``tie`` names a column that orders equal ones."""
+    at = F.col("ts") if tie is None else F.struct("ts", tie)
     edge = ticks.groupBy("root", "contract_id", "session").agg(
         F.min_by("price", at).alias("o"), F.max_by("price", at).alias("c"))
     new = edge.select("root", F.col("contract_id").alias("new"), "session", F.col("o").alias("new_open"))

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.session import cut_lineage
@@ -279,19 +279,19 @@ def first_fire(bars: DataFrame, h: int, event: str = "event", block: int = 16_38
 
     maps = ev.groupBy(*KEYS, "side", "blk").applyInPandas(
         exits, "symbol string, side int, blk long, ends array<int>")
-    # One short row per block; a block without events leaves the distance to grow.
-    w = Window.partitionBy(*KEYS, "side").orderBy("blk")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    chain = F.aggregate(
-        F.collect_list(F.struct("blk", "ends")).over(before),
-        F.struct(F.lit(-1).cast("long").alias("b"), F.lit(h + 1).alias("s")),
-        lambda acc, m: F.struct(
-            m["blk"].alias("b"),
-            F.element_at(m["ends"], F.when(m["blk"] - acc["b"] > 1, F.lit(h + 1)).otherwise(acc["s"])
-                         .cast("int")).alias("s")))
-    entry = maps.select(*KEYS, "side", "blk", chain.alias("c")).select(
-        *KEYS, "side", "blk",
-        F.when(F.col("blk") - F.col("c.b") > 1, F.lit(h + 1)).otherwise(F.col("c.s")).cast("int").alias("since"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Entry state of every block: one short row per 16,384 bars of a side."""
+        pdf = pdf.sort_values("blk")
+        since, before, out = h + 1, -1, []
+        for b, ends in zip(pdf["blk"], pdf["ends"]):
+            since = since if b - before == 1 else h + 1
+            out.append(since)
+            since, before = int(ends[since - 1]), b
+        return pd.DataFrame({"symbol": pdf["symbol"], "side": pdf["side"], "blk": pdf["blk"],
+                             "since": np.array(out, dtype="int32")})
+
+    entry = maps.groupBy(*KEYS, "side").applyInPandas(chain, "symbol string, side int, blk long, since int")
 
     def fire(pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.sort(pdf["pos"].to_numpy())

@@ -35,6 +35,13 @@ def t2(spark, sf):
     return quality.duplicate_keys(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@query("t2_unique_ticks", "SELECT copies, count(*) AS keys FROM (SELECT event_type, ts, count(*) AS copies FROM events GROUP BY 1, 2) GROUP BY 1")
+def t2_ticks(spark, sf):
+    """How often each (event_type, ts) occurs: once, which lets bars order by time alone."""
+    e = load(spark, sf, "events").groupBy("event_type", "ts").agg(F.count(F.lit(1)).alias("copies"))
+    return e.groupBy("copies").agg(F.count(F.lit(1)).alias("keys"))
+
+
 @query("t3_ohlc_consistency", cte("bars") + """
 SELECT 'low_not_above' AS rule, count(*) FILTER (WHERE NOT low <= least(open, high, close)) AS violations FROM bars
 UNION ALL SELECT 'high_not_below', count(*) FILTER (WHERE NOT high >= greatest(open, close)) FROM bars""")

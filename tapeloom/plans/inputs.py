@@ -25,7 +25,8 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str, minutes: int = 60) -> DataFrame:
-    return resample_ohlcv(ticks(spark, sf), minutes)
+    # (event_type, ts) is unique in the events table.
+    return resample_ohlcv(ticks(spark, sf), minutes, tie=None)
 
 
 def numbered_bars(spark: SparkSession, sf: str, minutes: int = 60) -> DataFrame:

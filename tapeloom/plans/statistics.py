@@ -354,7 +354,7 @@ def q19(spark, sf):
     r = returns(spark, sf)
     mu = r.groupBy("symbol").agg(F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sd"))
     x = (F.col("ret") - F.col("mu")) / F.col("sd")
-    p = r.join(F.broadcast(mu), "symbol").groupBy("symbol").agg(
+    p = r.join(mu, "symbol").groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.abs(F.first("mu") / F.first("sd")).alias("s"),
         F.avg(F.pow(x, 3)).alias("sk"), F.avg(F.pow(x, 4)).alias("ku"), F.lit(0.05).alias("rho"))
     a = [F.col(c) for c in ("s", "n", "sk", "ku", "rho")]

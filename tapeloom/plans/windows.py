@@ -428,7 +428,7 @@ ROLL_SQL = dict(c=CONTRACT_SQL, v="SELECT root, session, contract_id, sum(size)
 
 def roll_steps(spark, sf):
     c = contracts(spark, sf)
-    at = F.struct("ts", "seq")
+    at = F.col("ts")
     # Hourly bars of each contract.
     b = c.groupBy("root", "session", "contract_id", ops.bucket_end("ts", 60).alias("bar_ts")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),

@@ -58,13 +58,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def utc_schema(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
+    """Schema of a table with zone-less timestamps declared as UTC instants.
+
+    The reader then delivers instants, where a cast would hide the column from the
+    filters it pushes into the scan.
+    """
+    fields = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema.fields
+    return T.StructType([
+        T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType)
+        for f in fields])
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; zone-less timestamps become UTC instants."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
+    return spark.read.schema(utc_schema(spark, sf_dir, name)).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,29 +11,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.operators.scan import stored
 from tapeloom.session import load, scratch_path
 from tapeloom.streaming.state import Detector, StepUp, fresh, ladder_step, new_ladder, pause_step
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """One given table as a stream of files."""
-    load(spark, sf, name)
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
-    ntz = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
+    schema = load(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
-def frame_stream(df: DataFrame, name: str) -> DataFrame:
-    """A batch frame written out and read again as a stream."""
+def frame_stream(df: DataFrame, name: str, by: list[str] | None = None, slices: Column | None = None) -> DataFrame:
+    """A batch frame written out and read again as a stream.
+
+    With ``slices`` (a calendar column) the frame arrives slice after slice, the rows
+    of a key in one file per slice, and a micro-batch takes one slice's number of
+    files: a key keeps its order and never hands more than about a slice to a task.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    if slices is None:
+        df.write.parquet(path)
+        return reader.parquet(path)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = stored(df.withColumn("_slice", slices))
+    for s in sorted(r[0] for r in kept.select("_slice").distinct().collect()):
+        kept.filter(F.col("_slice") == s).drop("_slice").repartition(files, *by).write.mode("append").parquet(path)
+    return reader.option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
