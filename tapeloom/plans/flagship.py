@@ -64,7 +64,10 @@ def walk_forward(closes):
     n = rets.agg(F.max("day")).first()[0] or 0
     seg = splits.session_folds(spark, n, TRAIN, TEST, EMBARGO)
     m = splits.members(rets, seg)
-    train = inf.mppm(m.filter("role = 'train'"), ["fold_id", "cell"], "ret").withColumnRenamed("mppm", "mppm_train")
+    # Cells whose weights are all capped earn the same; rounding lets the first one win
+    # whatever the order of summation.
+    train = inf.mppm(m.filter("role = 'train'"), ["fold_id", "cell"], "ret").select(
+        "fold_id", "cell", F.round("mppm", 9).alias("mppm_train"))
     best = best_row(train, ["fold_id"], "mppm_train", ["cell"], ["cell"])
     oos = m.filter("role = 'test'").join(F.broadcast(best), ["fold_id", "cell"])
     perf = inf.sharpe(oos, ["fold_id"], "ret").join(
@@ -91,7 +94,7 @@ SQL = cte("daily", d0="""SELECT symbol, session, ln(close / lag(close) OVER w) A
   h="SELECT *, CASE WHEN lag(day) OVER x = day - 1 THEN lag(w) OVER x ELSE 0 END AS held FROM wt WINDOW x AS (PARTITION BY symbol, cell ORDER BY day)",
   b="SELECT cell, day, session, avg(held * r) AS ret FROM h GROUP BY 1, 2, 3",
   f=f"SELECT unnest(range(0, (max(day) - {TRAIN + EMBARGO + TEST}) // {TEST} + 1)) AS fold_id FROM b",
-  t=f"""SELECT fold_id, cell, avg(ln(1 + ret)) * 252 AS mppm_train FROM f JOIN b ON day > fold_id * {TEST} AND day <= fold_id * {TEST} + {TRAIN} GROUP BY 1, 2 HAVING min(ret) > -1""",
+  t=f"""SELECT fold_id, cell, round(avg(ln(1 + ret)) * 252, 9) AS mppm_train FROM f JOIN b ON day > fold_id * {TEST} AND day <= fold_id * {TEST} + {TRAIN} GROUP BY 1, 2 HAVING min(ret) > -1""",
   bs="SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY mppm_train DESC, cell) = 1",
   o=f"""SELECT fold_id, cell, mppm_train, b.day, b.ret, sum(b.ret) OVER (PARTITION BY fold_id ORDER BY b.day) AS c FROM bs JOIN b USING (cell) WHERE b.day > fold_id * {TEST} + {TRAIN + EMBARGO} AND b.day <= fold_id * {TEST} + {TRAIN + EMBARGO + TEST}""",
   dd="SELECT *, 1 - exp(c - greatest(0, max(c) OVER (PARTITION BY fold_id ORDER BY day))) AS x FROM o") + """
