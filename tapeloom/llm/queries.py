@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bin_slack, personal_data, quality_rules, token_matrix
+from tapeloom.llm import bin_slack, personal_data, quality_rules, spaced_seeds, token_matrix, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,15 @@ def op6_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2,048 ids."""
     return bin_slack.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_spaced_seeds")
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, with the item and how much of it."""
+    return spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_zstd_quality")
+def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels of four folds in five."""
+    return zstd_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

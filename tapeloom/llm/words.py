@@ -23,6 +23,8 @@ _SEPARATES = np.zeros(256, dtype=bool)
 _SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
+# Every ASCII byte but letters and digits, for comparisons that ignore punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 # A random 64-bit value for each byte, from a fixed seed.
 _VALUE = np.random.Generator(np.random.PCG64(20260101)).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -88,15 +90,15 @@ class Words(NamedTuple):
     at: np.ndarray
 
 
-def words(chunk: Chunk, fold: bool = True, cut: np.ndarray | None = None) -> Words:
+def words(chunk: Chunk, fold: bool = True, cut: np.ndarray | None = None, blanks: np.ndarray = _SEPARATES) -> Words:
     """Runs of bytes other than blanks and \\t..\\r with a 64-bit code each; A-Z count as a-z if ``fold``.
 
-    Words end where a row ends, and before the bytes that ``cut`` marks. The text is hashed in segments cut at blanks, so one
+    Words end where a row ends, and before the bytes that ``cut`` marks; ``blanks`` names other separators. The text is hashed in segments cut at blanks, so one
     very long row needs no more than its words and one segment.
     """
     buf, off = chunk.buf, chunk.off
     n = len(buf)
-    blank = _SEPARATES[buf]
+    blank = blanks[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
     if cut is not None:
