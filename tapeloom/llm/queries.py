@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bin_slack, personal_data, quality_rules, spaced_seeds, token_matrix, zstd_quality
+from tapeloom.llm import bin_slack, lattice_lm, personal_data, quality_rules, spaced_seeds, token_matrix, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,12 @@ def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op8_lattice_lm")
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice and plain word scores of all documents."""
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
 @query("op9_spaced_seeds")
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages, with the item and how much of it."""

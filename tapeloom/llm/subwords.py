@@ -52,7 +52,7 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Table:
+class Table:
     """Codes and their numbers in open addressing, looked up and filled by whole arrays."""
 
     def __init__(self, slots: int = _SLOTS) -> None:
@@ -110,7 +110,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.table = _Table()
+        self.table = Table()
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
         self.begin = np.zeros(1 << 18, dtype=np.int64)
 

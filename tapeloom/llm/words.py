@@ -26,7 +26,7 @@ _FOLD[ord("A"):ord("Z") + 1] += 32
 # Every ASCII byte but letters and digits, for comparisons that ignore punctuation.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 # A random 64-bit value for each byte, from a fixed seed.
-_VALUE = np.random.Generator(np.random.PCG64(20260101)).integers(1, 2**63, 256, dtype=np.uint64)
+VALUE = np.random.Generator(np.random.PCG64(20260101)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,7 +117,7 @@ def words(chunk: Chunk, fold: bool = True, cut: np.ndarray | None = None, blanks
         part = buf[a:b]
         up, down = POWERS.get(b - a + 1)
         run = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[_FOLD[part] if fold else part] * up[:-1], out=run[1:])
+        np.cumsum(VALUE[_FOLD[part] if fold else part] * up[:-1], out=run[1:])
         code[i:j] = (run[end[i:j] - a] - run[start[i:j] - a]) * down[start[i:j] - a]
         i = j
     return Words(start, end, mix(code), np.searchsorted(start, off))
