@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bin_slack, lattice_lm, personal_data, quality_rules, spaced_seeds, token_matrix, zstd_quality
+from tapeloom.llm import bin_slack, lattice_lm, ngram_join, personal_data, quality_rules, spaced_seeds, token_matrix, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
+
+
 @query("op2_personal_data")
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
