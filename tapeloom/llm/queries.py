@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bin_slack, lattice_lm, ngram_join, personal_data, quality_rules, spaced_seeds, token_matrix, zstd_quality
+from tapeloom.llm import bin_slack, lattice_lm, ngram_join, personal_data, quality_rules, repeated_bytes, spaced_seeds, token_matrix, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+@query("op5_repeated_bytes")
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 200 bytes that start elsewhere too."""
+    return repeated_bytes.dedupe(table(spark, sf_dir, "documents"))
+
+
 @query("op6_token_matrix")
 def op6_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the packed id matrix of all documents, as stored."""
