@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bin_slack, lattice_lm, ngram_join, personal_data, quality_rules, repeated_bytes, spaced_seeds, token_matrix, zstd_quality
+from tapeloom.llm import bin_slack, lattice_lm, ngram_join, personal_data, quality_rules, repeated_bytes, spaced_seeds, token_matrix, token_rollup, zstd_quality
+from tapeloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +46,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+@query("op4_token_rollup")
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents by source, language and tokenizer version, after five batches."""
+    store = token_rollup.Rollup(spark, scratch_path(spark, "token-rollup"))
+    return token_rollup.corpus_totals(table(spark, sf_dir, "documents"), store)
+
+
 @query("op5_repeated_bytes")
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of strings of 200 bytes that start elsewhere too."""
