@@ -19,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -375,15 +376,18 @@ def text_parts(docs: DataFrame, model: tuple, hot: tuple[np.ndarray, np.ndarray]
     return docs.select("doc_id", "text").mapInArrow(run, _PARTS.format(id=id_type))
 
 
-def meet(parts: DataFrame, id_type: str) -> DataFrame:
-    """Per bucket, sums over the words of each text with their counts; texts' own rows pass through."""
+_OWN = ["uid", "doc_id", "n_tokens", "base", "known", "score"]
+
+
+def meet(parts: DataFrame, n: int, id_type: str) -> DataFrame:
+    """Per bucket, sums over the words of each text with their counts, packed by bucket of the text; texts' rows pass through."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        own = table.filter(pa.compute.is_valid(table["uid"])).select(["uid", "doc_id", "n_tokens", "base", "known", "score"])
+        own = table.filter(pc.is_valid(table["uid"])).select(["bucket", *_OWN])
 
         def flat(name: str, kind, other: str) -> np.ndarray:
-            rows = table.filter(pa.compute.and_(pa.compute.is_valid(table[name]), pa.compute.is_valid(table[other])))
+            rows = table.filter(pc.and_(pc.is_valid(table[name]), pc.is_valid(table[other])))
             return np.frombuffer(b"".join(rows[name].to_pylist()), dtype=kind)
 
         code, count = flat("codes", np.uint64, "counts"), flat("counts", np.int64, "counts")
@@ -393,14 +397,37 @@ def meet(parts: DataFrame, id_type: str) -> DataFrame:
         where = np.minimum(np.searchsorted(code, word), max(len(code) - 1, 0))
         hit = code[where] == word if len(code) else np.zeros(len(word), dtype=bool)
         users, back = np.unique(uid[hit], return_inverse=True)
-        base = np.bincount(back, weights=np.log10(count[where[hit]] + 1.0), minlength=len(users))
-        known = np.bincount(back, minlength=len(users))
-        none = pa.nulls(len(users))
-        sums = pa.table([pa.array(users), none.cast(own.schema.field("doc_id").type), none.cast(pa.int64()), pa.array(base.astype(float)),
-                         pa.array(known.astype(np.int64)), none.cast(pa.float64())], names=own.column_names)
-        return pa.concat_tables([own.cast(sums.schema), sums])
+        base = np.bincount(back, weights=np.log10(count[where[hit]] + 1.0), minlength=len(users)).astype(float)
+        known = np.bincount(back, minlength=len(users)).astype(np.int64)
+        bucket = users % n
+        order = np.argsort(bucket, kind="stable")
+        at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))])
+        used = np.flatnonzero(np.diff(at))
+        packed = [pa.array([x[order][at[b]:at[b + 1]].tobytes() for b in used.tolist()], pa.binary()) for x in (users, base, known)]
+        sums = pa.table([pa.array(used.astype(np.int32)), *packed], names=["bucket", "uids", "bases", "knowns"])
+        out = pa.concat_tables([own, sums], promote_options="default")
+        return out.select(["bucket", "uids", "bases", "knowns", *_OWN])
+
+    return parts.groupBy("bucket").applyInArrow(
+        run, f"bucket int, uids binary, bases binary, knowns binary, {_SUMS.format(id=id_type)}")
+
+
+def total(met: DataFrame, id_type: str) -> DataFrame:
+    """One row a text: what its task knew and the sums of all buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own = table.filter(pc.is_valid(table["uid"])).select(_OWN)
+        own = own.take(pc.sort_indices(own["uid"]))
+        packed = table.filter(pc.is_valid(table["uids"]))
+        uid, base, known = (np.frombuffer(b"".join(packed[c].to_pylist()), dtype=t)
+                            for c, t in (("uids", np.int64), ("bases", np.float64), ("knowns", np.int64)))
+        row = np.searchsorted(own["uid"].to_numpy(), uid)
+        more = np.bincount(row, weights=base, minlength=own.num_rows), np.bincount(row, weights=known, minlength=own.num_rows)
+        out = own.set_column(3, "base", pa.array(own["base"].to_numpy() + more[0]))
+        return out.set_column(4, "known", pa.array(own["known"].to_numpy() + more[1].astype(np.int64)))
 
-    return parts.groupBy("bucket").applyInArrow(run, _SUMS.format(id=id_type))
+    return met.groupBy("bucket").applyInArrow(run, _SUMS.format(id=id_type))
 
 
 def score(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
@@ -414,8 +441,8 @@ def score(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     ends = docs.filter(fold != HELD).count()
     counted = cut_lineage(training_words(docs))
-    total = counted.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, distinct = (total["n"] or 0) + ends, total["v"] + (ends > 0)
+    of_all = counted.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n_all, distinct = (of_all["n"] or 0) + ends, of_all["v"] + (ends > 0)
     vocab = vocabulary(name)
     model = (vocab.pieces, *fit(counted, ends, vocab))
     # At most HOT words can have that share of all tokens.
@@ -428,9 +455,7 @@ def score(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     n = 1 + n_all // BUCKET_TOKENS
     cold = counted.filter(F.col("n") * HOT < max(n_all, 1))
     parts = text_parts(docs, model, (code[order], count[order]), n).unionByName(count_parts(cold, n, id_type))
-    sums = meet(parts, id_type).groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("base").alias("base"),
-        F.sum("known").alias("known"), F.max("score").alias("score"))
+    sums = total(meet(parts, n, id_type), id_type)
     size = float(np.log10(n_all + distinct + 1.0))
     end_base = float(np.log10(ends + 1.0))
     return sums.select(
