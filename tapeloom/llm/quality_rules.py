@@ -158,4 +158,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = docs.select(row, F.col("doc_id"), F.col("text"))
     counted = text_counts(held)
     weights = bucket_weights(text_counts(docs.select("doc_id", "text")), trusted_ids(labels))
-    return with_score(counted, weights).filter("kept").select(*[F.col("_row")[c].alias(c) for c in names])
+    # A filter on the verdict alone would be pushed below the arrays it is made from, and compute
+    # them anew for every element; it stops at a column that isn't deterministic.
+    judged = with_score(counted, weights).select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
+    return judged.filter(F.col("kept") & (F.col("_at") >= 0)).select(*[F.col("_row")[c].alias(c) for c in names])

@@ -48,8 +48,8 @@ def plain(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [64, 3, 0])
-def test_removed_bytes_equal_plain_search(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, large", [(64, 4096), (2, 9), (0, 0)])
+def test_removed_bytes_equal_plain_search(spark, monkeypatch, group, large):
     monkeypatch.setattr(rb, "BUCKET_BYTES", 20_000)
     monkeypatch.setattr(rb, "FLUSH", 9_000)
     rng = random.Random(group)
@@ -62,7 +62,7 @@ def test_removed_bytes_equal_plain_search(spark, monkeypatch, group):
     ids = [*range(len(texts) - 2), None, None]
     docs = clashing(documents(spark, texts, ids), "k1", "runs", "f").repartition(3)
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
-                 for r in rb.dedupe(docs, group=group).collect())
+                 for r in rb.dedupe(docs, group=group, large=large).collect())
     want = sorted((-1 if i is None else i, *w) for i, w in zip(ids, plain(texts, 200)))
     assert got == want
 
