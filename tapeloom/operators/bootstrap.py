@@ -18,7 +18,7 @@ from tapeloom.operators.inference import (
     EPS, YEAR, autocovariances, long_run_variance, nw_bandwidth, nw_first_lags, profit_factor, with_nw_bandwidth,
 )
 from tapeloom.operators.scan import POS, stored
-from tapeloom.session import broadcast_if_small, cut_lineage
+from tapeloom.session import cut_lineage
 
 
 def stationary_indices(sizes: DataFrame, keys: Sequence[str], reps: int, block: float, seed: int,
@@ -31,7 +31,7 @@ def stationary_indices(sizes: DataFrame, keys: Sequence[str], reps: int, block:
     # One short row per replicate, spread before it is unrolled.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(
-        broadcast_if_small(sizes.select(*keys, "n"))).repartition(tasks, *keys, "rep")
+        sizes.select(*keys, "n")).repartition(tasks, *keys, "rep")
     first = F.filter(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda t: (t == 0) | (
         counter_uniform(F.col("rep"), t, seed) < 1.0 / block))
     g = grid.withColumn("_a", first)
@@ -50,7 +50,7 @@ def stationary_bootstrap(series: DataFrame, keys: Sequence[str], cols: Sequence[
     sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     idx = stationary_indices(sizes, keys, reps, block, seed, length)
     values = series.select(*keys, F.col(POS).alias("idx"), *cols)
-    return idx.join(broadcast_if_small(values), [*keys, "idx"])
+    return idx.join(values, [*keys, "idx"])
 
 
 def percentile_ci(stats: DataFrame, keys: Sequence[str], cols: Sequence[str], confidence: float = 0.95) -> DataFrame:
@@ -214,7 +214,7 @@ def project_paths(trades: DataFrame, keys: Sequence[str], r: str, paths: int, se
     sizes = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     idx = stationary_indices(sizes, keys, paths, block, seed, sessions)
     d = trades.select(*keys, F.col(POS).alias("idx"), F.col(r).alias("_r")).join(
-        broadcast_if_small(idx), [*keys, "idx"])
+        idx, [*keys, "idx"])
     return d.withColumn("_g", F.log(F.greatest(1 + f * F.col("_r"), F.lit(1e-12))))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators.scan import POS, number_rows, prefix
-from tapeloom.session import broadcast_if_small
 
 
 def _stacked(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, tie: str,
@@ -145,7 +144,7 @@ def overlap_counts(trades: DataFrame, keys: Sequence[str], key_cols: Sequence[st
 
 def left_coalesce(left: DataFrame, right: DataFrame, keys: Sequence[str], out: str, cols: Sequence[str]) -> DataFrame:
     """Left join, then the first non-null of ``cols``."""
-    return left.join(broadcast_if_small(right), list(keys), "left").withColumn(out, F.coalesce(*cols))
+    return left.join(right, list(keys), "left").withColumn(out, F.coalesce(*cols))
 
 
 def cross_grid(df: DataFrame, grid: DataFrame) -> DataFrame:

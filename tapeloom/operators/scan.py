@@ -219,26 +219,40 @@ def recurrence(
     """y[t] = a*y[t-1] + x[t] with y[-1] = 0; ``specs`` maps name -> (a, x).
 
     Inside a block of B rows y = a^i * sum(x * a^-i), with B chosen so that a^B
-    is near 1e-13: the scaling stays far from overflow, and the ends of the two
-    blocks before give the carry to full double precision.
+    is near 1e-13: the scaling stays far from overflow, and the ends of the
+    blocks before give the carry to full double precision. Rates share the block
+    of the slowest of them where it overflows for none; others get their own.
     """
     keys, df = list(keys), stored(df)
-    slowest = max(a for a, _ in specs.values())
-    fastest = min(a for a, _ in specs.values())
-    block = max(8, math.ceil(math.log(1e-13) / math.log(slowest)))
-    block = min(block, max(8, math.floor(math.log(1e-250) / math.log(fastest))))
+    inputs = {f"_x_{k}": F.coalesce(x, F.lit(0.0)) for k, (_, x) in specs.items()}
+    df = df.withColumns(inputs)
+    left = dict(sorted(((k, a) for k, (a, _) in specs.items()), key=lambda s: -s[1]))
+    while left:
+        slowest = next(iter(left.values()))
+        block = max(1, min(max(8, math.ceil(math.log(1e-13) / math.log(slowest))), _longest(slowest)))
+        some = {k: a for k, a in left.items() if block <= _longest(a)} or {next(iter(left)): slowest}
+        df = _recurrence(df, keys, some, block, pos)
+        left = {k: a for k, a in left.items() if k not in some}
+    return df.select(*[c for c in df.columns if c not in inputs and c not in specs], *specs)
+
+
+def _longest(rate: float) -> int:
+    """Rows over which powers of a rate stay far from overflow."""
+    return math.floor(math.log(1e-250) / math.log(rate))
+
+
+def _recurrence(df: DataFrame, keys: list[str], rates: Mapping[str, float], block: int, pos: str) -> DataFrame:
+    """One block length: the scan inside the blocks and the carry of the three before, which is all that counts."""
     i = (F.col(pos) - F.col("_blk") * F.lit(block)).cast("double")
-    base = df.withColumn("_blk", _block_of(pos, block)).withColumns(
-        {f"_x_{k}": F.coalesce(x, F.lit(0.0)) for k, (_, x) in specs.items()}
-    )
+    base = df.withColumn("_blk", _block_of(pos, block))
     w = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     inner = base.withColumns(
         {f"_y_{k}": F.pow(F.lit(a), i) * F.sum(F.col(f"_x_{k}") * F.pow(F.lit(a), -i)).over(w)
-         for k, (a, _) in specs.items()}
+         for k, a in rates.items()}
     )
     ends = base.groupBy(*keys, "_blk").agg(
         *[F.sum(F.col(f"_x_{k}") * F.pow(F.lit(a), F.lit(block - 1.0) - i)).alias(f"_e_{k}")
-          for k, (a, _) in specs.items()]
+          for k, a in rates.items()]
     )
     wb = Window.partitionBy(*keys).orderBy("_blk")
     carry = ends.select(
@@ -248,15 +262,12 @@ def recurrence(
            + F.lit(a ** block) * F.coalesce(F.lag(f"_e_{k}", 2).over(wb), F.lit(0.0))
            + F.lit(a ** (2 * block)) * F.coalesce(F.lag(f"_e_{k}", 3).over(wb), F.lit(0.0))
            ).alias(f"_c_{k}")
-          for k, (a, _) in specs.items()],
+          for k, a in rates.items()],
     )
     out = inner.join(carry, [*keys, "_blk"]).withColumns(
-        {k: F.col(f"_y_{k}") + F.pow(F.lit(a), i + 1) * F.col(f"_c_{k}")
-         for k, (a, _) in specs.items()}
-    )
-    return out.drop(
-        "_blk", *[f"_{p}_{k}" for p in ("x", "y", "c") for k in specs]
+        {k: F.col(f"_y_{k}") + F.pow(F.lit(a), i + 1) * F.col(f"_c_{k}") for k, a in rates.items()}
     )
+    return out.drop("_blk", *[f"_{p}_{k}" for p in ("y", "c") for k in rates])
 
 
 def exact_quantiles(

@@ -174,21 +174,15 @@ def fit_predict_linear(obs: DataFrame, segments: DataFrame, x: str, y: str, idx:
     fit = m.filter("role = 'train'").groupBy("fold_id").agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
         F.count(F.lit(1)).alias("n_train"))
-    return m.filter("role = 'test'").join(F.broadcast(fit), "fold_id").withColumn(
+    return m.filter("role = 'test'").join(fit, "fold_id").withColumn(
         "yhat", F.col("intercept") + F.col("slope") * F.col(x)).drop("role")
 
 
 def run_folds(obs: DataFrame, segments: DataFrame, fit, predict, idx: str = "idx") -> DataFrame:
-    """Fit/predict callbacks fold by fold; the loop is over folds, the data stays in Spark.
+    """Fit/predict callbacks over all folds at once.
 
-    ``fit(train) -> model`` and ``predict(model, test) -> DataFrame`` take frames.
+    ``fit(train) -> models`` gets the training rows of every fold with their fold_id and
+    returns one row per fold; ``predict(models, test)`` joins them on it. Nothing loops.
     """
-    ids = [r[0] for r in segments.select("fold_id").distinct().orderBy("fold_id").collect()]
     m = members(obs, segments.filter("role in ('train', 'test')"), idx)
-    out = None
-    for f in ids:
-        part = m.filter(F.col("fold_id") == f)
-        model = fit(part.filter("role = 'train'"))
-        scored = predict(model, part.filter("role = 'test'"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    return predict(fit(m.filter("role = 'train'")), m.filter("role = 'test'"))

@@ -43,9 +43,9 @@ def w3(spark, sf):
     return st.stream_table(spark, sf, "events", lambda e: st.stream_gap_sessions(e, ["user_id"], "3 hours", "1 hour"), "sessions")
 
 
-@query("w4_stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
+@query("w4_stream_distinct", "SELECT DISTINCT event_type, ts FROM events")
 def w4(spark, sf):
-    return st.stream_table(spark, sf, "events", lambda e: st.stream_distinct(e, ["user_id", "event_type"], "1 day"), "distinct")
+    return st.stream_table(spark, sf, "events", lambda e: st.stream_distinct(e, ["event_type", "ts"], "1 day"), "distinct")
 
 
 @query("w5_stream_static_windows", """

@@ -59,12 +59,12 @@ def a3(spark, sf):
 
 
 @query("a4_daily_index_csv", cte("daily") + """
-SELECT session AS date, close FROM daily WHERE symbol = '5-LOW' AND day(session) <> 13""", f8="close", dt="date")
+SELECT session AS date, max(close) AS close FROM daily WHERE day(session) <> 13 GROUP BY 1""", f8="close", dt="date")
 def a4(spark, sf):
     from tapeloom.plans.inputs import daily
 
     path = scratch_path(spark, "index")
-    daily(spark, sf).filter("symbol = '5-LOW'").select(
+    daily(spark, sf).groupBy("session").agg(F.max("close").alias("close")).select(
         F.col("session").alias("observation_date"), F.when(F.dayofmonth("session") == 13, ".").otherwise(F.col("close").cast("string")).alias("VIXCLS")
     ).write.csv(path, header=True)
     return files.read_daily_index(spark, path)

@@ -48,7 +48,7 @@ def l2(spark, sf):
 @query("l3_opening_range", cte("rets", d=f"""SELECT *, CAST(bar_ts AS DATE) AS session, hour(bar_ts) AS h, CASE WHEN count(r) OVER a >= 2 THEN stddev_samp(r) OVER a END AS sig
     FROM rets WINDOW a AS {_win(10)}""",
   s="""SELECT symbol, session, min(bar_ts) FILTER (WHERE h >= 10) AS et, arg_min(close, bar_ts) FILTER (WHERE h >= 10) AS ep,
-    arg_min(sig, bar_ts) FILTER (WHERE h >= 10) AS sig, min(bar_ts) FILTER (WHERE h >= 15) AS st,
+    arg_min_null(sig, bar_ts) FILTER (WHERE h >= 10) AS sig, min(bar_ts) FILTER (WHERE h >= 15) AS st,
     coalesce(min(bar_ts) FILTER (WHERE h >= 20), max(bar_ts)) AS ct, min(bar_ts) AS ft FROM d GROUP BY 1, 2""",
   p="SELECT *, ep * exp(0.3 * sig * sqrt(10)) AS pt, ep * exp(-0.3 * sig * sqrt(10)) AS sl, et IS NOT NULL AND coalesce(sig > 0, false) AS ok FROM s",
   w="""SELECT p.symbol, p.session, d.bar_ts AS t, d.close AS c, CASE WHEN d.close >= p.pt THEN 'pt' WHEN d.close <= p.sl THEN 'sl' WHEN d.bar_ts = p.st THEN 'timestop' END AS why

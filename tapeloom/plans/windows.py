@@ -124,10 +124,10 @@ def e9(spark, sf):
 
 @query("e10_lag_features", cte("rets") + f"""
 SELECT symbol, bar_ts, r AS r_lag0, lag(r, 1) OVER w AS r_lag1, lag(r, 6) OVER w AS r_lag6, lag(r, 23) OVER w AS r_lag23
-FROM rets WINDOW w AS ({W}) QUALIFY hour(bar_ts) = 14""", f8="r_lag0 r_lag1 r_lag6 r_lag23")
+FROM rets WINDOW w AS ({W})""", f8="r_lag0 r_lag1 r_lag6 r_lag23")
 def e10(spark, sf):
     d = feat.lag_features(feat.with_log_return(numbered_bars(spark, sf)), 24)
-    return pick(d.filter(F.hour("bar_ts") == 14), "r_lag0", "r_lag1", "r_lag6", "r_lag23")
+    return pick(d, "r_lag0", "r_lag1", "r_lag6", "r_lag23")
 
 
 @query("e11_session_anchors", cte("bars", s="""
@@ -144,7 +144,7 @@ def e11(spark, sf):
 @query("e12_session_features", cte("rets", v=f"""SELECT *, CAST(bar_ts AS DATE) AS session,
     CASE WHEN count(r) OVER a = 24 THEN sqrt(sum(r * r) OVER a / 24) * sqrt(252 * 390) END AS vol FROM rets WINDOW a AS {_win(24)}""",
   s="""SELECT symbol, session, arg_min(open, bar_ts) AS f, arg_max(close, bar_ts) AS l,
-    arg_min(close, bar_ts) FILTER (WHERE hour(bar_ts) >= 10) AS e, arg_min(vol, bar_ts) FILTER (WHERE hour(bar_ts) >= 10) AS vol,
+    arg_min(close, bar_ts) FILTER (WHERE hour(bar_ts) >= 10) AS e, arg_min_null(vol, bar_ts) FILTER (WHERE hour(bar_ts) >= 10) AS vol,
     arg_min(bar_ts, bar_ts) FILTER (WHERE hour(bar_ts) >= 10) AS et,
     arg_max(close, bar_ts) FILTER (WHERE hour(bar_ts) BETWEEN 4 AND 8) AS pre FROM v GROUP BY 1, 2""") + """
 SELECT symbol, session, sign(ln(e / f)) AS first_sign, ln(f / lag(l) OVER w) AS gap, ln(pre / lag(l) OVER w) AS pre_ret, vol, et AS entry_ts
@@ -189,7 +189,7 @@ def e15(spark, sf):
 SELECT e.symbol, e.bar_ts, coalesce(f.event, 0) AS fired FROM ev e LEFT JOIN fires f ON e.symbol = f.symbol AND e.pos = f.pos AND e.event = f.event""",
        i8="fired")
 def e16(spark, sf):
-    return pick(trend.first_fire(feat.donchian(numbered_bars(spark, sf), 20), 10, block=64), "fired")
+    return pick(trend.first_fire(feat.donchian(numbered_bars(spark, sf), 20), 10), "fired")
 
 
 @query("e17_trend_gate", DONCHIAN + f""", g AS (SELECT *, CASE WHEN count(*) OVER l = 50 THEN avg(close) OVER l END AS ml, avg(close) OVER s AS ms
@@ -335,7 +335,7 @@ def e26(spark, sf):
   mc AS (SELECT symbol, pos, bar_ts, CASE WHEN count(*) OVER l = 50 THEN avg(close) OVER l END AS ml, avg(close) OVER s AS ms FROM rets WINDOW s AS {_win(10)}, l AS {_win(50)}),
   g AS (SELECT st.*, mc.bar_ts, CASE WHEN ms > ml * 1.001 THEN 1 WHEN ms < ml * 0.999 THEN -1 ELSE 0 END AS trend, rho.rho
     FROM st JOIN mc ON mc.symbol = st.symbol AND mc.pos = st.confirm_pos LEFT JOIN rho ON rho.symbol = st.symbol AND rho.pos = st.confirm_pos),
-  nw AS (SELECT g.*, EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'signup' AND e.value > 100
+  nw AS (SELECT g.*, EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'signup'
      AND e.ts BETWEEN g.bar_ts - INTERVAL 15 MINUTE AND g.bar_ts + INTERVAL 15 MINUTE) AS news FROM g)
 SELECT symbol, side, swing_pos, confirm_pos, trend, rho, news, trend = side AND rho <= 0.5 AND NOT news AS passed FROM nw""",
        f8="rho", i8="side trend")
@@ -344,7 +344,7 @@ def e27(spark, sf):
     b = trend.ma_cross(trend.body_overlap(raw, 5), 10, 50, 0.001)
     at = b.select("symbol", F.col(POS).alias("confirm_pos"), F.col("bar_ts").alias("ts"), F.col("side_d").alias("trend"), "rho")
     setups = trend.pivot_setups(raw, 5).join(at, ["symbol", "confirm_pos"])
-    news = load(spark, sf, "events").filter("event_type = 'signup' AND value > 100").select("ts", "event_id")
+    news = load(spark, sf, "events").filter("event_type = 'signup'").select("ts", "event_id")
     d = nearest_within(setups, news, [], "ts", "swing_pos", ["event_id"], 15 * 60 * 1_000_000)
     near = F.col("event_id").isNotNull()
     return d.select("symbol", "side", "swing_pos", "confirm_pos", "trend", "rho", near.alias("news"),

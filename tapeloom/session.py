@@ -1,4 +1,4 @@
-"""Session helpers: table loading, the shared folder, size-checked broadcasts."""
+"""Session helpers: table loading, the shared folder."""
 
 from __future__ import annotations
 
@@ -7,12 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Most rows a side may have to be sent to every executor.
-BROADCAST_ROWS = 200_000
-
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -43,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
@@ -75,9 +73,3 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.schema(utc_schema(spark, sf_dir, name)).parquet(f"{sf_dir}/{name}.parquet")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffle join."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df

@@ -14,10 +14,7 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Detector:
-    """Run-length detector with a normal-inverse-gamma model, and its pause rule.
-
-    Run lengths beyond ``r_max`` are dropped and the rest is renormalised.
-    """
+    """Run-length detector with a normal-inverse-gamma model, and its pause rule; all run lengths are kept."""
 
     hazard: float = 1 / 250
     window: int = 60
@@ -30,7 +27,6 @@ class Detector:
     kappa0: float = 1.0
     alpha0: float = 1.0
     beta0: float = 1.0
-    r_max: int = 400
 
     def __post_init__(self):
         if not 0 < self.hazard <= 1 or self.window < 2 or not 0 < self.threshold < 1:
@@ -69,8 +65,6 @@ def observe(run: tuple, x: float, cfg: Detector) -> tuple[tuple, float]:
     new_beta = beta + kappa * (x - mu) ** 2 / (2 * (kappa + 1))
     mu = np.concatenate(([cfg.mu0], (kappa * mu + x) / (kappa + 1)))
     beta = np.concatenate(([cfg.beta0], new_beta))
-    if len(logp) > cfg.r_max:
-        logp, mu, beta = logp[: cfg.r_max], mu[: cfg.r_max], beta[: cfg.r_max]
     logp = logp - _log_sum(logp)
     return (logp, mu, beta), float(np.exp(logp[: max(1, cfg.window // 2)]).sum())
 

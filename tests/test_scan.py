@@ -81,17 +81,27 @@ def test_prefix_all_functions(numbered, series, block):
         np.testing.assert_allclose(back[back.k == k].nxt.to_numpy(dtype=float), v.bfill().to_numpy())
 
 
-@pytest.mark.parametrize("a", [0.3, 13 / 14, 0.995])
-def test_recurrence_against_loop(spark, a):
+@pytest.mark.parametrize("rates", [[0.3], [13 / 14], [0.995], [0.1, 0.5, 0.97, 0.999], [0.999, 1e-60], [30 / 31, 60 / 61]])
+def test_recurrence_against_loop(spark, rates):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=2500)
+    x = rng.normal(size=2500) + 1
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "k string, pos long, x double")
-    got = recurrence(df, ["k"], {"y": (a, F.col("x"))}).orderBy("pos").toPandas().y.to_numpy()
-    want, y = [], 0.0
-    for v in x:
-        y = a * y + v
-        want.append(y)
-    np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9)
+    got = recurrence(df, ["k"], {f"y{j}": (a, F.col("x")) for j, a in enumerate(rates)}).orderBy("pos").toPandas()
+    assert list(got.columns) == ["k", "pos", "x", *[f"y{j}" for j in range(len(rates))]]
+    for j, a in enumerate(rates):
+        want, y = [], 0.0
+        for v in x:
+            y = a * y + v
+            want.append(y)
+        np.testing.assert_allclose(got[f"y{j}"].to_numpy(), want, rtol=1e-10, atol=1e-9)
+
+
+def test_recurrence_carries_over_many_blocks(spark):
+    # Six blocks of the slowest rate would be 180,000 rows; 0.97 has as many in 6,000.
+    df = spark.range(6000).select(F.lit("s").alias("k"), F.col("id").alias("pos"), F.lit(1.0).alias("x"))
+    last = recurrence(df, ["k"], {"slow": (0.9999, F.col("x")), "mid": (0.97, F.col("x")), "fast": (0.1, F.col("x"))}).filter("pos = 5999").first()
+    for name, a in (("slow", 0.9999), ("mid", 0.97), ("fast", 0.1)):
+        assert last[name] == pytest.approx((1 - a ** 6000) / (1 - a), rel=1e-10)
 
 
 def test_exact_quantiles(spark):
