@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bin_slack, lattice_lm, ngram_join, personal_data, quality_rules, repeated_bytes, spaced_seeds, token_matrix, token_rollup, zstd_quality
+from tapeloom.llm import (
+    bin_slack,
+    lattice_lm,
+    ngram_join,
+    oracles,
+    personal_data,
+    quality_rules,
+    repeated_bytes,
+    spaced_seeds,
+    token_matrix,
+    token_rollup,
+    zstd_quality,
+)
 from tapeloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_ngram_join")
+@query("op1_ngram_join", oracles.NGRAM_JOIN)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
@@ -53,7 +65,7 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.corpus_totals(table(spark, sf_dir, "documents"), store)
 
 
-@query("op5_repeated_bytes")
+@query("op5_repeated_bytes", oracles.REPEATED_BYTES)
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of strings of 200 bytes that start elsewhere too."""
     return repeated_bytes.dedupe(table(spark, sf_dir, "documents"))
@@ -77,7 +89,7 @@ def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"))
 
 
-@query("op9_spaced_seeds")
+@query("op9_spaced_seeds", oracles.SPACED_SEEDS)
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages, with the item and how much of it."""
     return spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
