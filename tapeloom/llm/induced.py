@@ -33,7 +33,7 @@ def _induce(order: np.ndarray, bucket: np.ndarray, counts: np.ndarray, off: np.n
     size = np.diff(off)
     heads = np.cumsum(counts) - counts
     tails = heads + counts
-    sa = np.full(len(bucket), -1, dtype=np.int64)
+    sa = np.full(len(bucket), -1, dtype=np.int32)
     by = order[np.argsort(bucket[order], kind="stable")]
     b = bucket[by]
     many = np.bincount(b, minlength=len(counts))
@@ -76,7 +76,7 @@ def _names(sa: np.ndarray, text: np.ndarray, off: np.ndarray, left: np.ndarray)
     shard = np.searchsorted(off, order, side="right") - 1
     at = np.flatnonzero(left)
     following = np.append(at[1:], len(text))
-    length = np.zeros(len(text), dtype=np.int64)
+    length = np.zeros(len(text), dtype=np.int32)
     length[at] = np.minimum(following, off[np.searchsorted(off, at, side="right")] - 1) - at
     same = np.zeros(len(order), dtype=bool)
     same[1:] = (shard[1:] == shard[:-1]) & (length[order[1:]] == length[order[:-1]])
@@ -112,9 +112,7 @@ def suffix_arrays(text: np.ndarray, off: np.ndarray, sigma: np.ndarray) -> np.nd
         out = np.empty_like(sa)
         out[ragged(off[:-1][order], size[order])] = sa
         return out
-    shard = np.repeat(np.arange(len(size)), size)
-    base = np.cumsum(sigma) - sigma
-    bucket = base[shard] + text
+    bucket = (np.repeat(np.cumsum(sigma) - sigma, size) + text).astype(np.int32)
     counts = np.bincount(bucket, minlength=int(sigma.sum()))
     small, left = _types(text, off)
     sa = _induce(np.flatnonzero(left), bucket, counts, off, small)
@@ -142,7 +140,7 @@ def common_prefixes(text: np.ndarray, off: np.ndarray, sa: np.ndarray) -> tuple[
     every other one has the value of the place before it less one.
     """
     n = len(text)
-    phi = np.full(n, -1, dtype=np.int64)
+    phi = np.full(n, -1, dtype=np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[off[:-1]]] = -1
     begin = np.zeros(n, dtype=bool)
@@ -152,7 +150,7 @@ def common_prefixes(text: np.ndarray, off: np.ndarray, sa: np.ndarray) -> tuple[
     inner = np.flatnonzero(own & ~begin)
     inner = inner[~begin[phi[inner]]]
     fresh[inner] = text[inner - 1] != text[phi[inner] - 1]
-    plcp = np.zeros(n, dtype=np.int64)
+    plcp = np.zeros(n, dtype=np.int32)
     open_ = np.flatnonzero(fresh)
     k = 0
     # The end mark stops every comparison: it occurs once in a shard.

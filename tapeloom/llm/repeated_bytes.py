@@ -6,8 +6,10 @@ to one anchor, and equal strings meet in the shard of their anchor's hash, cut o
 the bytes around it. Anchors that occur once drop out. Shards are sorted by induced
 sorting (``induced``), and permuted common prefixes of ``LENGTH`` or more mark the starts.
 
-Anchors with more than ``GROUP`` occurrences would make one shard long; their strings are
-compared by 64-bit codes in hash buckets instead, where a task sends each code once.
+An anchor with more than ``GROUP`` different contexts would make one shard long; its strings
+are compared by 64-bit codes instead. One with more than ``LARGE`` occurrences would make
+one task's group large; the codes of its strings meet in hash buckets, where a task sends
+each code once.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from tapeloom.llm.induced import common_prefixes, suffix_arrays
 from tapeloom.llm.words import POWERS, VALUE, Chunk, chunks, mix, ragged
 
 LENGTH, GRAM = 200, 32
-# Occurrences of an anchor that a suffix array holds at most.
-GROUP = 64
-# Text a bucket of contexts stands for, symbols of a shard to aim at, and context bytes or codes a task holds.
-BUCKET_BYTES, SHARD, FLUSH = 12 << 20, 4_096, 4 << 20
+# Different contexts of an anchor that a suffix array holds at most, and occurrences that one task's group does.
+GROUP, LARGE = 64, 4_096
+# Text a bucket of contexts stands for, symbols of a shard to aim at and of the shards sorted at once, and context bytes a task holds.
+BUCKET_BYTES, SHARD, SORTED, FLUSH = 6 << 20, 4_096, 1_500_000, 4 << 20
 
 
 def _codes(buf: np.ndarray, size: int) -> np.ndarray:
@@ -113,7 +115,7 @@ def _pack(kind: int, bucket: np.ndarray, buckets: int, columns: list[np.ndarray]
     return pa.record_batch(out, names=_PART_NAMES)
 
 
-def context_parts(rows: DataFrame, kept: DataFrame, length: int, buckets: int, group: int) -> DataFrame:
+def context_parts(rows: DataFrame, kept: DataFrame, length: int, buckets: int, large: int) -> DataFrame:
     """Contexts of anchors by bucket of their hash (kind 0); codes of the strings of frequent anchors by bucket (1).
 
     A code that a task holds several times is settled there (kind 2) and sent on once.
@@ -162,7 +164,7 @@ def context_parts(rows: DataFrame, kept: DataFrame, length: int, buckets: int, g
                 at = ragged(off[rows_], size)
                 row = np.repeat(np.arange(len(rows_)), size)
                 place = chunk.off[row] + lo[at]
-                rare = often[at] <= group
+                rare = often[at] <= large
                 r, p, a = row[rare], place[rare], at[rare]
                 width = many[a].astype(np.int64) + length - 1
                 contexts.append((f[a], key1[rows_[r]], key2[rows_[r]], lo[a], many[a], width, chunk.buf[ragged(p, width)]))
@@ -201,47 +203,87 @@ def _runs(k1: np.ndarray, k2: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
     return [k1[begin], k2[begin], lo[begin].astype(np.int32), (lo[end] - lo[begin] + 1).astype(np.int32)]
 
 
-def sort_contexts(f: np.ndarray, raw: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context, which of its starts have a string that another start has, by suffix arrays.
-
-    Equal contexts of an anchor are sorted once. Distinct ones share a shard with those of
-    the same anchor, and short groups with one another.
-    """
-    first: dict[tuple[int, bytes], int] = {}
-    of = np.array([first.setdefault((a, b), len(first)) for a, b in zip(f.tolist(), raw)], dtype=np.int64)
-    many = np.bincount(of, minlength=len(first))
-    keys = sorted(range(len(first)), key=list(first).__getitem__)
-    distinct = [list(first)[k] for k in keys] if keys else []
-    shard, used, last = np.zeros(len(distinct), dtype=np.int64), 0, None
-    now = 0
-    for i, (a, b) in enumerate(distinct):
-        if a != last and used >= SHARD:
-            now, used = now + 1, 0
-        shard[i], last = now, a
-        used += len(b) + 1
-    size = np.array([len(b) for _, b in distinct], dtype=np.int64)
-    flat = np.frombuffer(b"".join(b for _, b in distinct), dtype=np.uint8)
+def _sort(contexts: list[bytes], shard: list[int], length: int) -> list[np.ndarray]:
+    """For each of distinct contexts, which of its starts have a string that another start in its shard has."""
+    size = np.array([len(c) for c in contexts], dtype=np.int64)
+    flat = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     # Symbol 1 ends a context, 0 a shard.
-    closes = np.ones(len(distinct), dtype=bool)
-    closes[:-1] = shard[1:] != shard[:-1]
+    closes = np.ones(len(contexts), dtype=bool)
+    closes[:-1] = np.diff(shard) != 0
     width = size + 1 + closes
     begin = np.cumsum(width) - width
     text = np.zeros(int(width.sum()), dtype=np.int32)
     text[ragged(begin, size)] = flat.astype(np.int32) + 2
     text[begin + size] = 1
     off = np.concatenate([[0], begin[closes] + width[closes]]).astype(np.int64)
-    sa = suffix_arrays(text, off, np.full(len(off) - 1, 258))
-    plcp, phi = common_prefixes(text, off, sa)
+    plcp, phi = common_prefixes(text, off, suffix_arrays(text, off, np.full(len(off) - 1, 258)))
     found = plcp >= length
     found[phi[np.flatnonzero(found)]] = True
+    return [found[a:a + n] for a, n in zip(begin.tolist(), (size - length + 1).tolist())]
+
+
+def _compare(contexts: list[bytes], many: list[int], length: int) -> list[np.ndarray]:
+    """As ``_sort`` for the contexts of one anchor, by codes of their strings."""
+    codes = [_codes(np.frombuffer(c, dtype=np.uint8), length) for c in contexts]
+    size = [len(c) for c in codes]
+    _, back = np.unique(np.concatenate(codes), return_inverse=True)
+    found = np.bincount(back, weights=np.repeat(many, size))[back] > 1
+    return np.split(found, np.cumsum(size)[:-1])
+
+
+def sort_contexts(f: np.ndarray, raw: list[bytes], length: int, most: int = GROUP) -> list[np.ndarray]:
+    """For each context, which of its starts have a string that another start has, by suffix arrays.
+
+    Equal contexts of an anchor repeat one another and are sorted once, if the anchor has
+    others. Distinct ones share a shard with those of the same anchor, and short groups with
+    one another; groups of like size are sorted together.
+    """
+    first: dict[tuple[int, bytes], int] = {}
+    of = np.array([first.setdefault((a, b), len(first)) for a, b in zip(f.tolist(), raw)], dtype=np.int64)
+    many = np.bincount(of, minlength=len(first))
+    group: dict[int, list[tuple[bytes, int]]] = {}
+    for (a, b), k in first.items():
+        group.setdefault(a, []).append((b, k))
     out = [np.zeros(0, bool)] * len(first)
-    for i, k in enumerate(keys):
-        starts = size[i] - length + 1
-        out[k] = np.ones(starts, dtype=bool) if many[k] > 1 else found[begin[i]:begin[i] + starts]
+    sorted_ = []
+    for members in group.values():
+        if len(members) == 1:
+            b, k = members[0]
+            out[k] = np.full(len(b) - length + 1, many[k] > 1)
+        elif len(members) > most:
+            for (_, k), m in zip(members, _compare([b for b, _ in members], [int(many[k]) for _, k in members], length)):
+                out[k] = m
+        else:
+            sorted_.append(members)
+    sorted_.sort(key=lambda members: -sum(len(b) + 1 for b, _ in members))
+    batch: list[bytes] = []
+    numbers: list[int] = []
+    shard: list[int] = []
+    held, used = 0, 0
+
+    def flush() -> None:
+        for k, m in zip(numbers, _sort(batch, shard, length) if batch else ()):
+            out[k] = np.ones(len(m), dtype=bool) if many[k] > 1 else m
+        for x in (batch, numbers, shard):
+            x.clear()
+
+    for members in sorted_:
+        if held >= SORTED:
+            flush()
+            held = used = 0
+        if used >= SHARD:
+            used = 0
+        for b, k in members:
+            shard.append(shard[-1] + (not used) if shard else 0)
+            batch.append(b)
+            numbers.append(k)
+            used += len(b) + 1
+            held += len(b) + 1
+    flush()
     return [out[k] for k in of.tolist()]
 
 
-def repeated_starts(parts: DataFrame, length: int) -> DataFrame:
+def repeated_starts(parts: DataFrame, length: int, group: int) -> DataFrame:
     """Runs of starts whose string starts elsewhere too."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -252,7 +294,7 @@ def repeated_starts(parts: DataFrame, length: int) -> DataFrame:
             lo, size = _flat(some, "lo", np.int32), _flat(some, "size", np.int32).astype(np.int64)
             raw = b"".join(some["raw"].to_pylist())
             end = np.cumsum(size).tolist()
-            marks = sort_contexts(f, [raw[a:b] for a, b in zip([0, *end[:-1]], end)], length)
+            marks = sort_contexts(f, [raw[a:b] for a, b in zip([0, *end[:-1]], end)], length, group)
             many = np.array([len(m) for m in marks], dtype=np.int64)
             hit = np.concatenate(marks)
             at = np.repeat(lo.astype(np.int64), many) + ragged(np.zeros(len(many), np.int64), many)
@@ -311,7 +353,7 @@ def removed(rows: DataFrame, runs: DataFrame, length: int, keep_text: bool = Fal
     return joined.select("k1", "k2", "doc_id", "text", "runs").mapInArrow(run, schema)
 
 
-def dedupe(docs: DataFrame, length: int = LENGTH, group: int = GROUP, keep_text: bool = False) -> DataFrame:
+def dedupe(docs: DataFrame, length: int = LENGTH, group: int = GROUP, large: int = LARGE, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (with ``keep_text`` also the bytes kept).
 
     A byte goes if a ``length``-byte string that starts anywhere else too covers it. A null
@@ -323,5 +365,5 @@ def dedupe(docs: DataFrame, length: int = LENGTH, group: int = GROUP, keep_text:
     found = anchor_rows(rows, length)
     often = found.groupBy("f").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     kept = found.join(often, "f").select("f", "k1", "k2", "lo", "many", F.least("often", F.lit(2**31 - 1)).cast("int").alias("often"))
-    parts = context_parts(rows, kept, length, buckets, group)
-    return removed(rows, repeated_starts(parts, length), length, keep_text)
+    parts = context_parts(rows, kept, length, buckets, large)
+    return removed(rows, repeated_starts(parts, length, group), length, keep_text)
