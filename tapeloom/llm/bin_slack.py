@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.subwords import TOKENIZER, encoder
+from tapeloom.llm.subwords import TOKENIZER, WordEncoder
 from tapeloom.llm.words import chunks
 from tapeloom.session import cut_lineage
 
@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = WordEncoder(tokenizer)  # of this task alone: a reused worker would go on holding it
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 ids, at = enc.with_end(chunk, end_id)

@@ -169,13 +169,3 @@ class WordEncoder:
         out = np.full(len(ids) + rows, end_id, dtype=np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(rows), np.diff(at))] = ids
         return out, at + np.arange(rows + 1)
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(name: str = TOKENIZER) -> WordEncoder:
-    """The encoder of this Python worker."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = WordEncoder(name)
-    return _ENCODERS[name]

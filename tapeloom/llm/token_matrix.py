@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.subwords import TOKENIZER, encoder
+from tapeloom.llm.subwords import TOKENIZER, WordEncoder
 from tapeloom.llm.words import chunks
 from tapeloom.session import scratch_path
 
@@ -87,7 +87,7 @@ def packed_rows(docs: DataFrame, row: int = ROW, tokenizer: str = TOKENIZER, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = WordEncoder(tokenizer)  # of this task alone: a reused worker would go on holding it
         base, made = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []
         held_ids = 0

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.subwords import encoder, tokenizer_file
+from tapeloom.llm.subwords import WordEncoder, tokenizer_file
 from tapeloom.llm.words import chunks
 
 GROUPS = ["source", "lang", "version"]
@@ -51,16 +51,17 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None if tokenizer.endswith(".tiktoken") else WordEncoder(tokenizer)
         for batch in batches:
             parts = [np.zeros(0, np.int64)]
             for chunk in chunks(batch.column(3)):
-                if tokenizer.endswith(".tiktoken"):
+                if words is None:
                     raw = chunk.buf.tobytes()
                     enc = _rank_encoder(tokenizer)
                     parts.append(np.array([len(enc.encode_ordinary(raw[a:b].decode())) for a, b in
                                            zip(chunk.off[:-1], chunk.off[1:])], dtype=np.int64))
                 else:
-                    parts.append(encoder(tokenizer).counts(chunk))
+                    parts.append(words.counts(chunk))
             yield pa.record_batch([*(batch.column(k) for k in range(3)), pa.array(np.concatenate(parts))],
                                   names=["doc_id", "source", "lang", "n_tokens"])
 
