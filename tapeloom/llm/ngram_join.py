@@ -28,7 +28,7 @@ from tapeloom.llm.words import chunks, combine, mix, ragged, row_of, words
 from tapeloom.session import cut_lineage
 
 # N-grams that a bucket stands for on average, and that a task holds before it passes them on.
-BUCKET_GRAMS, FLUSH_GRAMS = 3_000_000, 1_000_000
+BUCKET_GRAMS, FLUSH_GRAMS = 3_000_000, 500_000
 # An n-gram in at least this share of all texts is hot: it is ranked last and never gathered.
 HOT_SHARE = 1 / 256
 _HOT_COUNT = np.int32(2**31 - 1)
@@ -118,31 +118,40 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
         run, "doc_id long, n long, s1 long, s2 long, code long, times long")
 
 
-_PART = "bucket int, kind int, ids binary, codes binary, counts binary"
+_PART = "bucket int, kind int, ids binary, runs binary, codes binary, counts binary"
+_NAMES = ["bucket", "kind", "ids", "runs", "codes", "counts"]
 
 
-def _parts(kind: int, bucket: np.ndarray, buckets: int, *columns: np.ndarray | None) -> pa.RecordBatch:
-    """One row per bucket with the entries of that bucket."""
+def _parts(kind: int, bucket: np.ndarray, buckets: int, ids: np.ndarray, codes: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per bucket with its entries; an id that several running entries have is stored once, with their number."""
     order = np.argsort(bucket, kind="stable")
-    at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-    used = np.flatnonzero(np.diff(at))
-    out = [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), kind, dtype=np.int32))]
-    for c in columns:
-        if c is None:
-            out.append(pa.nulls(len(used), pa.binary()))
-        else:
-            c = c[order]
-            out.append(pa.array([c[at[b]:at[b + 1]].tobytes() for b in used.tolist()], pa.binary()))
-    return pa.record_batch(out, names=["bucket", "kind", "ids", "codes", "counts"])
+    bucket, ids, codes = bucket[order], ids[order], codes[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])
+    first = np.flatnonzero(new)
+    runs = np.diff(np.append(first, len(ids))).astype(np.int32)
+    heads, run_edges = ids[first], np.searchsorted(first, edges)
+    used = np.flatnonzero(np.diff(edges)).tolist()
+
+    def cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        return pa.array([values[at[b]:at[b + 1]].tobytes() for b in used], pa.binary())
+
+    last = pa.nulls(len(used), pa.binary()) if counts is None else cut(counts[order], edges)
+    return pa.record_batch([pa.array(used, pa.int32()), pa.array([kind] * len(used), pa.int32()), cut(heads, run_edges),
+                            cut(runs, run_edges), cut(codes, edges), last], names=_NAMES)
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(values.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _joined(table: pa.Table, kind: int, column: str, dtype) -> np.ndarray:
-    rows = table.filter(pc.equal(table["kind"], kind))[column].to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=dtype)
+def _flat(table: pa.Table, column: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), dtype=dtype)
+
+
+def _ids(table: pa.Table) -> np.ndarray:
+    return np.repeat(_flat(table, "ids", np.int64), _flat(table, "runs", np.int32))
 
 
 def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -172,8 +181,8 @@ def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFr
             yield _parts(2, _bucket(ids, buckets), buckets, ids, _bitmaps(code, at), size.astype(np.int64))
             entry = np.repeat(ids, size)
             is_hot = np.isin(code, hot)
-            yield _parts(1, _bucket(entry[is_hot], buckets), buckets, entry[is_hot], code[is_hot], None)
-            yield _parts(0, _bucket(code[~is_hot], buckets), buckets, entry[~is_hot], code[~is_hot], None)
+            yield _parts(1, _bucket(entry[is_hot], buckets), buckets, entry[is_hot], code[is_hot])
+            yield _parts(0, _bucket(code[~is_hot], buckets), buckets, entry[~is_hot], code[~is_hot])
             held.clear()
 
         for batch in batches:
@@ -193,22 +202,36 @@ def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFr
 
 
 def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
-    """Entries of n-grams that two sets or more have, with how many have them, by bucket of the text."""
+    """Entries of n-grams that two sets or more have, with how many have them, by bucket of the text; others pass through."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, code = _joined(table, 0, "ids", np.int64), _joined(table, 0, "codes", np.uint64)
+        own = table.filter(pc.equal(table["kind"], 0))
+        ids, code = _ids(own), _flat(own, "codes", np.uint64)
+        del own
         order = np.argsort(code, kind="stable")
-        ids, code = ids[order], code[order]
+        code = code[order]
         new = np.ones(len(code), dtype=bool)
         new[1:] = code[1:] != code[:-1]
-        start = np.flatnonzero(new)
-        times = np.diff(np.concatenate([start, [len(code)]]))
-        count = np.repeat(times, times)
-        own = count > 1
-        ids, code, count = ids[own], code[own], count[own].astype(np.int32)
-        return pa.Table.from_batches([_parts(1, _bucket(ids, buckets), buckets, ids, code, count)])
+        times = np.diff(np.append(np.flatnonzero(new), len(code)))
+        many = np.repeat(times > 1, times)
+        ids, code, count = ids[order[many]], code[many], np.repeat(times, times)[many].astype(np.int32)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        out = _parts(1, _bucket(ids, buckets), buckets, ids, code[order], count[order])
+        return pa.concat_tables([table.filter(pc.greater(table["kind"], 0)), pa.Table.from_batches([out]).cast(table.schema)])
+
+    return parts.groupBy("bucket").applyInArrow(run, _PART)
+
 
-    return parts.filter("kind = 0").groupBy("bucket").applyInArrow(run, _PART)
+def class_parts(classes: DataFrame, buckets: int) -> DataFrame:
+    """Ids that stand for a class of equal sets (kind 3), by bucket of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.unique(batch.column(0).to_numpy(zero_copy_only=False))
+            yield _parts(3, _bucket(ids, buckets), buckets, ids, ids)
+
+    return classes.select("node").mapInArrow(run, _PART)
 
 
 _NODE = ("doc_id long, n int, own int, bits array<long>, grams array<long>, pre1 array<long>, pre2 array<long>, "
@@ -216,26 +239,31 @@ _NODE = ("doc_id long, n int, own int, bits array<long>, grams array<long>, pre1
 
 
 def prefixes(parts: DataFrame, percent: int) -> DataFrame:
-    """Texts whose prefixes hold a shared n-gram: their bitmap, shared n-grams and prefix entries under each order."""
+    """Texts that stand for their class and whose prefixes hold a shared n-gram.
+
+    Each comes with its bitmap, its shared n-grams and its prefix entries under each order.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, size = _joined(table, 2, "ids", np.int64), _joined(table, 2, "counts", np.int64)
-        bits = _joined(table, 2, "codes", np.int64).reshape(-1, BITS // 64)
+        own = table.filter(pc.equal(table["kind"], 2))
+        node, size = _ids(own), _flat(own, "counts", np.int64)
+        bits = _flat(own, "codes", np.int64).reshape(-1, BITS // 64)
         order = np.argsort(node, kind="stable")
         # Two sets under one id are told apart by nothing here; the id stands for both.
         node, first = np.unique(node[order], return_index=True)
         size, bits = size[order][first], bits[order][first]
-        counted = table.filter(pc.and_(pc.equal(table["kind"], 1), pc.is_valid(table["counts"])))
-        hot = table.filter(pc.and_(pc.equal(table["kind"], 1), pc.is_null(table["counts"])))
-        ids = np.concatenate([np.frombuffer(b"".join(t["ids"].to_pylist()), dtype=np.int64) for t in (counted, hot)])
-        code = np.concatenate([np.frombuffer(b"".join(t["codes"].to_pylist()), dtype=np.uint64) for t in (counted, hot)])
-        count = np.frombuffer(b"".join(counted["counts"].to_pylist()), dtype=np.int32)
+        entries = table.filter(pc.equal(table["kind"], 1))
+        counted, hot = entries.filter(pc.is_valid(entries["counts"])), entries.filter(pc.is_null(entries["counts"]))
+        ids = np.concatenate([_ids(t) for t in (counted, hot)])
+        code = np.concatenate([_flat(t, "codes", np.uint64) for t in (counted, hot)])
+        count = _flat(counted, "counts", np.int32)
         count = np.concatenate([count, np.full(len(ids) - len(count), _HOT_COUNT)])
         row = np.searchsorted(node, ids)
         have = np.bincount(row, minlength=len(node))
         own = np.maximum(size - have, 0)
         room = size - -(-percent * size // 100) + 1 - own
-        play = np.flatnonzero((room > 0) & (have > 0))
+        stands = np.isin(node, _flat(table.filter(pc.equal(table["kind"], 3)), "codes", np.int64))
+        play = np.flatnonzero((room > 0) & (have > 0) & stands)
         keep = np.isin(row, play)
         row, code, count = row[keep], code[keep], count[keep]
         classes = (count, np.floor(np.log2(count)).astype(np.int32) // 2, np.minimum(count, 64) // 64)
@@ -293,6 +321,7 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     centre = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("own", "n", "doc_id")).alias("_c")).filter(
         "_many > 1").select("gram", F.col("_c.doc_id").alias("b"))
     lists = cut_lineage(lists.join(centre, "gram"))
+    nodes = cut_lineage(nodes.join(lists.select("doc_id").distinct(), "doc_id", "left_semi"))
     near = lists.filter("doc_id != b").select(F.col("doc_id").alias("a"), "n", "own", "bits", "b").dropDuplicates(["a", "b"])
     near = near.select("a", "b", *[F.col(c).alias(f"{c}_a") for c in ("n", "own", "bits")]).join(
         _suffixed(nodes.select("doc_id", "n", "own", "bits"), "b").withColumnRenamed("doc_id_b", "b"), "b")
@@ -326,10 +355,9 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         F.col("t") >= max(64, size["rows"] * HOT_SHARE)).select("code").collect()
     hot = np.array([r["code"] for r in frequent], dtype=np.int64).view(np.uint64)
 
-    grams = cut_lineage(gram_parts(docs, n, buckets, hot))
-    shared = shared_grams(grams, buckets).unionByName(grams.filter("kind > 0"))
+    shared = shared_grams(gram_parts(docs, n, buckets, hot), buckets)
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    nodes = cut_lineage(prefixes(shared, percent).join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id"))
+    nodes = cut_lineage(prefixes(shared.unionByName(class_parts(classes, buckets)), percent))
     # A document with several sets under its id ties their classes together.
     member = rows.filter("n > 0 and doc_id is not null").join(classes, ["n", "s1", "s2"]).select("doc_id", "node").distinct()
     tied = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_hi")).filter("b < _hi")
