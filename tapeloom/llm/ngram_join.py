@@ -7,7 +7,8 @@ out at once; the orders differ in how they rank the others. A candidate pair mus
 prefix entry under every order, fit in size, and pass a parity-bitmap bound, before its
 n-grams are compared.
 
-Copies of a set are one node. Links are found in two rounds: every text against the most
+Copies of a set are one node, named by a 64-bit hash of the set, wherever and however often
+its rows occur. Links are found in two rounds: every text against the most
 shared text of each of its lists, then, exactly, all pairs of the lists whose texts are not
 connected yet. So a large group of copies costs one comparison per text, and no link
 between components is missed.
@@ -75,6 +76,12 @@ def _signatures(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.diff(at), *out
 
 
+def _nodes(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each row's set and the node that stands for all equal sets."""
+    size, s1, s2 = _signatures(code, at)
+    return size, mix(s1.view(np.uint64) ^ mix(s2.view(np.uint64) + size.astype(np.uint64))).view(np.int64)
+
+
 def _bitmaps(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Parity bitmaps: bit h of a row is the parity of its n-grams that hash to h."""
     rows = len(at) - 1
@@ -86,26 +93,26 @@ def _bitmaps(code: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, s1, s2) of every row, and (code, times) of n-grams frequent within a task."""
+    """(doc_id, n, node) of every row, and (code, times) of n-grams frequent within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s1", "s2", "code", "times"]
+        names = ["doc_id", "n", "node", "code", "times"]
         held, texts = [], 0
 
         def frequent() -> pa.RecordBatch:
             code, times = np.unique(np.concatenate(held), return_counts=True)
             own = times >= max(8, texts * HOT_SHARE / 2)
             none = pa.nulls(int(own.sum()), pa.int64())
-            return pa.record_batch([none, none, none, none, pa.array(code[own].view(np.int64)), pa.array(times[own])], names=names)
+            return pa.record_batch([none, none, none, pa.array(code[own].view(np.int64)), pa.array(times[own])], names=names)
 
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 code, at = gram_sets(chunk, n)
-                size, s1, s2 = _signatures(code, at)
+                size, node = _nodes(code, at)
                 held.append(code)
                 texts += len(size)
                 none = pa.nulls(len(size), pa.int64())
-                yield pa.record_batch([batch.column(0).slice(chunk.first, len(size)), pa.array(size), pa.array(s1), pa.array(s2),
+                yield pa.record_batch([batch.column(0).slice(chunk.first, len(size)), pa.array(size), pa.array(node),
                                        none, none], names=names)
                 if sum(map(len, held)) >= FLUSH_GRAMS:
                     yield frequent()
@@ -115,7 +122,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             yield frequent()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, s1 long, s2 long, code long, times long")
+        run, "doc_id long, n long, node long, code long, times long")
 
 
 _PART = "bucket int, kind int, ids binary, runs binary, codes binary, counts binary"
@@ -155,9 +162,9 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 
 def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """N-grams by bucket of the n-gram (kind 0); hot ones (1) and sizes with bitmaps (2) by bucket of the text.
+    """N-grams by bucket of the n-gram (kind 0); hot ones (1) and sizes with bitmaps (2) by bucket of the node.
 
-    Equal sets of a task are sent once, under their least id.
+    Equal sets that a task holds at once are sent once; others meet under the same node.
     """
     held_hot = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -166,18 +173,14 @@ def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFr
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([h[0] for h in held])
-            code = np.concatenate([h[1] for h in held])
-            size = np.concatenate([h[2] for h in held])
+            code = np.concatenate([h[0] for h in held])
+            size = np.concatenate([h[1] for h in held])
             at = np.concatenate([[0], np.cumsum(size)])
-            sig = np.column_stack(_signatures(code, at))
-            order = np.lexsort((ids, sig[:, 2], sig[:, 1], sig[:, 0]))
-            new = np.ones(len(ids), dtype=bool)
-            new[1:] = (sig[order][1:] != sig[order][:-1]).any(axis=1)
-            own = np.sort(order[new])
+            own = np.sort(np.unique(_nodes(code, at)[1], return_index=True)[1])
             code = code[ragged(at[own], size[own])]
-            ids, size = ids[own], size[own]
+            size = size[own]
             at = np.concatenate([[0], np.cumsum(size)])
+            ids = _nodes(code, at)[1]
             yield _parts(2, _bucket(ids, buckets), buckets, ids, _bitmaps(code, at), size.astype(np.int64))
             entry = np.repeat(ids, size)
             is_hot = np.isin(code, hot)
@@ -191,9 +194,8 @@ def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFr
                 ids = batch.column(0).slice(chunk.first, len(at) - 1)
                 size = np.diff(at)
                 own = (size > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
-                code = code[ragged(at[:-1][own], size[own])]
-                held.append((ids.fill_null(0).to_numpy(zero_copy_only=False)[own], code, size[own]))
-                if sum(len(h[1]) for h in held) >= FLUSH_GRAMS:
+                held.append((code[ragged(at[:-1][own], size[own])], size[own]))
+                if sum(len(h[0]) for h in held) >= FLUSH_GRAMS:
                     yield from flush()
         if held:
             yield from flush()
@@ -201,20 +203,39 @@ def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PART)
 
 
+def _times(code: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal codes."""
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = code[1:] != code[:-1]
+    return np.diff(np.append(np.flatnonzero(new), len(code)))
+
+
+def _distinct(ids: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of id and code once, by id and code; rows of one set in several tasks send theirs again."""
+    order = np.lexsort((code, ids))
+    ids, code = ids[order], code[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (code[1:] != code[:-1])
+    return ids[new], code[new]
+
+
 def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
-    """Entries of n-grams that two sets or more have, with how many have them, by bucket of the text; others pass through."""
+    """Entries of n-grams that two sets or more have, with how many have them, by bucket of the node; others pass through."""
 
     def run(table: pa.Table) -> pa.Table:
         own = table.filter(pc.equal(table["kind"], 0))
         ids, code = _ids(own), _flat(own, "codes", np.uint64)
         del own
         order = np.argsort(code, kind="stable")
-        code = code[order]
-        new = np.ones(len(code), dtype=bool)
-        new[1:] = code[1:] != code[:-1]
-        times = np.diff(np.append(np.flatnonzero(new), len(code)))
+        times = _times(code[order])
         many = np.repeat(times > 1, times)
-        ids, code, count = ids[order[many]], code[many], np.repeat(times, times)[many].astype(np.int32)
+        ids, code = _distinct(ids[order[many]], code[order[many]])
+        order = np.argsort(code, kind="stable")
+        ids, code = ids[order], code[order]
+        times = _times(code)
+        count = np.repeat(times, times)
+        many = count > 1
+        ids, code, count = ids[many], code[many], count[many].astype(np.int32)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         out = _parts(1, _bucket(ids, buckets), buckets, ids, code[order], count[order])
@@ -223,23 +244,12 @@ def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
     return parts.groupBy("bucket").applyInArrow(run, _PART)
 
 
-def class_parts(classes: DataFrame, buckets: int) -> DataFrame:
-    """Ids that stand for a class of equal sets (kind 3), by bucket of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.unique(batch.column(0).to_numpy(zero_copy_only=False))
-            yield _parts(3, _bucket(ids, buckets), buckets, ids, ids)
-
-    return classes.select("node").mapInArrow(run, _PART)
-
-
 _NODE = ("doc_id long, n int, own int, bits array<long>, grams array<long>, pre1 array<long>, pre2 array<long>, "
          "pre3 array<long>")
 
 
 def prefixes(parts: DataFrame, percent: int) -> DataFrame:
-    """Texts that stand for their class and whose prefixes hold a shared n-gram.
+    """Nodes whose prefixes hold a shared n-gram.
 
     Each comes with its bitmap, its shared n-grams and its prefix entries under each order.
     """
@@ -249,21 +259,20 @@ def prefixes(parts: DataFrame, percent: int) -> DataFrame:
         node, size = _ids(own), _flat(own, "counts", np.int64)
         bits = _flat(own, "codes", np.int64).reshape(-1, BITS // 64)
         order = np.argsort(node, kind="stable")
-        # Two sets under one id are told apart by nothing here; the id stands for both.
         node, first = np.unique(node[order], return_index=True)
         size, bits = size[order][first], bits[order][first]
         entries = table.filter(pc.equal(table["kind"], 1))
         counted, hot = entries.filter(pc.is_valid(entries["counts"])), entries.filter(pc.is_null(entries["counts"]))
-        ids = np.concatenate([_ids(t) for t in (counted, hot)])
-        code = np.concatenate([_flat(t, "codes", np.uint64) for t in (counted, hot)])
+        more = _distinct(_ids(hot), _flat(hot, "codes", np.uint64))
+        ids = np.concatenate([_ids(counted), more[0]])
+        code = np.concatenate([_flat(counted, "codes", np.uint64), more[1]])
         count = _flat(counted, "counts", np.int32)
         count = np.concatenate([count, np.full(len(ids) - len(count), _HOT_COUNT)])
         row = np.searchsorted(node, ids)
         have = np.bincount(row, minlength=len(node))
         own = np.maximum(size - have, 0)
         room = size - -(-percent * size // 100) + 1 - own
-        stands = np.isin(node, _flat(table.filter(pc.equal(table["kind"], 3)), "codes", np.int64))
-        play = np.flatnonzero((room > 0) & (have > 0) & stands)
+        play = np.flatnonzero((room > 0) & (have > 0))
         keep = np.isin(row, play)
         row, code, count = row[keep], code[keep], count[keep]
         classes = (count, np.floor(np.log2(count)).astype(np.int32) // 2, np.minimum(count, 64) // 64)
@@ -347,7 +356,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     without an id links with nothing and has no component. Other columns are not read.
     """
     sig = cut_lineage(signatures(docs, n))
-    rows = sig.filter("n is not null").select("doc_id", "n", "s1", "s2")
+    rows = sig.filter("n is not null").select("doc_id", "n", "node")
     size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")).first()
     buckets = 1 + (size["grams"] or 0) // BUCKET_GRAMS
     # A hot n-gram is in a share of all texts, so there are at most (n-grams a text) / HOT_SHARE.
@@ -356,19 +365,28 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     hot = np.array([r["code"] for r in frequent], dtype=np.int64).view(np.uint64)
 
     shared = shared_grams(gram_parts(docs, n, buckets, hot), buckets)
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    nodes = cut_lineage(prefixes(shared.unionByName(class_parts(classes, buckets)), percent))
-    # A document with several sets under its id ties their classes together.
-    member = rows.filter("n > 0 and doc_id is not null").join(classes, ["n", "s1", "s2"]).select("doc_id", "node").distinct()
+    nodes = cut_lineage(prefixes(shared, percent))
+    # A document with several sets under its id ties their nodes together.
+    member = rows.filter("n > 0 and doc_id is not null").select("doc_id", "node").distinct()
     tied = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_hi")).filter("b < _hi")
     ties = member.join(tied, "doc_id").select(F.col("node").alias("a"), "b")
     found = components(links(nodes, percent).unionByName(ties))
-    of = member.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("_c"))
+    least = member.groupBy("node").agg(F.min("doc_id").alias("_d")).join(found, "node", "left").select(
+        "node", "_d", F.coalesce("component", "node").alias("_k"))
+    least = least.join(least.groupBy("_k").agg(F.min("_d").alias("_c")), "_k").select("node", "_c")
+    of = member.join(least, "node").groupBy("doc_id").agg(F.min("_c").alias("_c"))
     return rows.join(of, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, all columns as they were; rows without an id stay."""
-    gone = similar_groups(docs, n, percent).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose id is the least of its group, all columns as they were; rows without an id stay.
+
+    Of rows with the same id and text one stays.
+    """
+    groups = similar_groups(docs, n, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("component_id").alias("_least"))
+    groups = cut_lineage(groups.filter("_id != _least or _rows > 1"))
+    same = docs["doc_id"].cast("long") == F.col("_id")
+    again = docs.join(groups.filter("_id = _least").select("_id"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(groups.select("_id"), same, "left_anti").union(again)

@@ -66,6 +66,39 @@ def test_keep_one_of_each_group(spark):
     assert nj.keep_one(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_keep_their_links(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for k in range(12):
+        ws = [f"t{k}w{i}" for i in range(404)]
+        other = ws[:-30] + [f"t{k}x{i}" for i in range(30)]
+        a, b = 1000 - 2 * k, 999 - 2 * k
+        rows += [(a, " ".join(ws))] * 3 + [(b, " ".join(other))]
+        want[a] = want[b] = b
+    # Two sets of unlike size under one id, each with a near copy.
+    short, long_ = [f"s{i}" for i in range(50)], [f"l{i}" for i in range(400)]
+    rows += [(2000, " ".join(short)), (2000, " ".join(long_)), (2001, " ".join(short[:-2])), (2002, " ".join(long_[:-9]))]
+    want |= {2000: 2000, 2001: 2000, 2002: 2000}
+    # Half of either set is like neither.
+    rows += [(2003, " ".join(short[:25] + long_[:25]))]
+    want[2003] = 2003
+    rng.shuffle(rows)
+    parts = [documents(spark, [t], [i]) for i, t in rows]
+    docs = parts[0]
+    for p in parts[1:]:
+        docs = docs.union(p)
+    got = {(r["doc_id"], r["component_id"]) for r in nj.similar_groups(docs, 5, 80).collect()}
+    assert got == set(want.items())
+
+
+def test_keep_one_of_repeated_rows(spark):
+    texts = ["a b c d e f g"] * 3 + ["other words"] + [""] * 2 + [None] * 2 + ["p q r s t u"] * 2
+    ids = [4, 4, 4, 4, 1, 1, None, None, 9, 8]
+    kept = nj.keep_one(documents(spark, texts, ids).repartition(4))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in kept.collect()) == [
+        (-1, ""), (-1, ""), (1, ""), (4, "a b c d e f g"), (4, "other words"), (8, "p q r s t u")]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i - 1) for i in range(1, 300)] + [(900, 901), (902, 901)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
