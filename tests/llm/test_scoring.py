@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -160,3 +161,22 @@ def test_classifier_takes_odd_rows(spark):
     assert all(r["score"] > 0.99 for r in zq.classify(docs, one).collect())
     both = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], none.schema)
     assert zq.classify(docs, both).count() == len(ODD) + 1 and zq.classify(docs.limit(0), both).count() == 0
+
+
+def test_classifier_learns_from_whole_texts(spark):
+    rng = random.Random(6)
+    vocab = [f"w{rng.randrange(10**6)}" for _ in range(700)]
+    names = [[f"{kind}{rng.randrange(10**6)}" for _ in range(60)] for kind in ("bad", "good")]
+    texts = []
+    for i in range(240):
+        head = " ".join(rng.choice(vocab) for _ in range(1_500))
+        assert len(head) > 8_192
+        texts.append(head + " " + " ".join(rng.choice(names[i % 2]) for _ in range(500)))
+    docs = documents(spark, texts).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    model = zq.fit(docs, labels)
+    assert b"good" in model.good and b"bad" in model.bad
+    # The curve's lengths are those of whole texts.
+    assert model.mean[3] > math.log(10_000)
+    held = [r for r in zq.classify(docs, labels).collect() if r["held_out"]]
+    assert held and all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in held)
