@@ -36,6 +36,8 @@ HOT = 50_000
 BUCKET_TOKENS, FLUSH_WORDS = 4_000_000, 200_000
 # Scored words a worker remembers; bytes from which a word is worked on alone.
 REMEMBERED, LONG = 1_000_000, 96
+# Bytes of long words that are learned from together, about.
+LONG_BYTES = 65_536
 # Weight of the vocabulary's own scores against the expected counts, in pieces.
 PRIOR = 1_000.0
 _SPACE = "▁"
@@ -80,6 +82,7 @@ class Lattice:
         self.table = Table(1 << 17)
         self.table.add(mix(np.array(codes, dtype=np.uint64)))
         self.sizes = {len(p) for p in pieces}
+        self.lengths = np.array(sorted(self.sizes))
 
     def _edges(self, group: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
         """(from, to) -> (rows, piece ids) of the pieces in a matrix of words."""
@@ -134,10 +137,7 @@ class Lattice:
         return out
 
     def expected_counts(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece over all segmentations, words weighted by ``count``.
-
-        Words of LONG bytes or more take no part: they are links and digests, not words.
-        """
+        """Expected uses of every piece over all segmentations, words weighted by ``count``."""
         out = np.zeros(len(self.log_p) - 1)
         for some, group in self._groups(flat, start, size):
             edges = self._edges(group)
@@ -149,8 +149,62 @@ class Lattice:
             for (i, j), (rows, ids) in edges.items():
                 share = np.exp(alpha[i, rows] + self.log_p[ids] + beta[j, rows] - alpha[-1, rows]) * count[some[rows]]
                 out += np.bincount(ids, weights=share, minlength=len(out))
+        long_ = np.flatnonzero(size >= LONG)
+        long_ = long_[np.argsort(size[long_], kind="stable")]
+        k = 0
+        while k < len(long_):
+            # Words of about one length; the block length bounds what a step holds, however long they are.
+            end = k + 1
+            while end < len(long_) and (end + 1 - k) * int(size[long_[end]]) <= LONG_BYTES and size[long_[end]] <= 1.25 * size[long_[k]]:
+                end += 1
+            some = long_[k:end]
+            self._long_counts([flat[start[w]:start[w] + size[w]] for w in some.tolist()], count[some], out)
+            k = end
         return out
 
+    def _starts(self, group: np.ndarray, ends: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Ids of the pieces of each length that start at rows a .. b - 1 of a matrix of words (-1: none, or beyond the word)."""
+        part = group[a:b + self.longest]
+        up, down = POWERS.get(len(part) + 1)
+        run = np.zeros((len(part) + 1, group.shape[1]), dtype=np.uint64)
+        np.cumsum(VALUE[part] * up[:len(part), None], axis=0, out=run[1:])
+        ids = np.empty((b - a, len(self.lengths), group.shape[1]), dtype=np.int32)
+        at = np.arange(b - a)
+        for k, n in enumerate(self.lengths.tolist()):
+            found = self.table.find(mix((run[at + n] - run[at]) * down[at, None]).ravel()).reshape(b - a, -1)
+            ids[:, k] = np.where(a + at[:, None] + n <= ends, found, -1)
+        return ids
+
+    def _long_counts(self, raw: list[np.ndarray], count: np.ndarray, out: np.ndarray) -> None:
+        """Add the expected uses in long words, forward and backward over blocks of positions."""
+        ends = np.array([len(w) + 1 for w in raw])
+        most = int(ends.max())
+        group = np.zeros((most + self.longest, len(raw)), dtype=np.uint8)
+        group[0] = 0x20
+        for r, w in enumerate(raw):
+            group[1:len(w) + 1, r] = w
+        rows, block = np.arange(len(raw)), max(64, LONG_BYTES // (4 * len(raw)))
+        blocks = [(a, min(a + block, most)) for a in range(0, most, block)]
+        alpha = np.full((most + self.longest + 1, len(raw)), -np.inf)
+        alpha[0] = 0.0
+        for a, b in blocks:
+            log_p = self.log_p[self._starts(group, ends, a, b)]
+            for i in range(a, b):
+                to = i + self.lengths
+                alpha[to] = np.logaddexp(alpha[to], alpha[i] + log_p[i - a])
+        total = alpha[ends, rows]
+        beta = np.full(alpha.shape, -np.inf)
+        beta[ends, rows] = 0.0
+        for a, b in reversed(blocks):
+            ids = self._starts(group, ends, a, b)
+            log_p = self.log_p[ids]
+            for i in range(b - 1, a - 1, -1):
+                beta[i] = np.logaddexp(beta[i], np.logaddexp.reduce(log_p[i - a] + beta[i + self.lengths], axis=0))
+            at, k, r = np.nonzero(ids >= 0)
+            used = ids[at, k, r]
+            share = np.exp(alpha[a + at, r] + self.log_p[used] + beta[a + at + self.lengths[k], r] - total[r]) * count[r]
+            out += np.bincount(used, weights=share, minlength=len(out))
+
 
 def is_held(doc_id, folds: int = FOLDS, held: int = HELD) -> bool:
     """Whether a document is kept from learning; one without an id is."""

@@ -70,6 +70,34 @@ def test_expected_counts_equal_enumeration():
     assert np.allclose(got, want)
 
 
+def test_expected_counts_of_long_words(monkeypatch):
+    pieces = [b" ", b"a", b"b", b"ab", b" a", b" ab", b"abba", b"bbbbb"]
+    log_p = np.log(np.array([.1, .2, .2, .1, .1, .1, .1, .1]))
+    rng = random.Random(3)
+    raw = [bytes(rng.choice(b"ab") for _ in range(n)) for n in (5, 95, 96, 97, 110, 300, 301, 3_000)]
+    weight = [1.0, 2.0, 3.0, 1.0, 5.0, 2.0, 1.0, 4.0]
+    want = np.zeros(len(pieces))
+    for word, c in zip(raw, weight):
+        word = b" " + word
+        edges = [(i, i + len(p), k) for i in range(len(word)) for k, p in enumerate(pieces) if word.startswith(p, i)]
+        alpha, beta = ([-math.inf] * (len(word) + 1) for _ in range(2))
+        alpha[0] = beta[-1] = 0.0
+        for i, j, k in edges:
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + log_p[k])
+        for i, j, k in reversed(edges):
+            beta[i] = np.logaddexp(beta[i], beta[j] + log_p[k])
+        for i, j, k in edges:
+            want[k] += c * math.exp(alpha[i] + log_p[k] + beta[j] - alpha[-1])
+    size = np.array([len(w) for w in raw])
+    # All bytes are explained: a count of pieces times their lengths.
+    assert np.isclose(want @ [len(p) for p in pieces], np.dot(size + 1, weight))
+    for most in (1, 700, 65_536):
+        monkeypatch.setattr(lm, "LONG_BYTES", most, raising=False)
+        got = lm.Lattice(pieces, log_p).expected_counts(
+            np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(size) - size, size, np.array(weight))
+        assert np.allclose(got, want)
+
+
 @pytest.mark.parametrize("hot, bucket", [(50_000, 4_000_000), (20, 3_000), (1, 10)])
 def test_scores_equal_plain_counting(spark, monkeypatch, hot, bucket):
     monkeypatch.setattr(lm, "HOT", hot)
