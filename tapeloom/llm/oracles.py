@@ -48,3 +48,27 @@ x AS (SELECT t.r, sum(z - a + 1) AS gone, count(*) AS spans, max(z) AS last,
 SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
   sha256(CASE WHEN gone IS NULL THEN b ELSE unhex(head || CASE WHEN last < octet_length(b) THEN hex(b[last + 1:octet_length(b)]) ELSE '' END) END) AS kept_sha256
 FROM d LEFT JOIN x USING (r)"""
+
+
+# Failure bits of every row, and all orders as permutations of the five letters.
+FILTER_AUDIT = """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY x) AS least FROM t),
+b AS (SELECT doc_id, part, (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(x) THEN 4 ELSE 0 END)
+  + (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN least < doc_id THEN 16 ELSE 0 END) AS m FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, m, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(range(0, 5)) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT array_to_string(list_transform(ks, lambda k: chr(65 + k::INT)), '') AS filter_order, unnest(range(1, 6)) AS step, ks FROM o),
+q AS (SELECT filter_order, step, 1 << ks[step] AS bit, coalesce(list_sum(list_transform(ks[1:step - 1], lambda k: 1 << k)), 0)::BIGINT AS before FROM s)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (WHERE m & (bit | before) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (WHERE m & bit <> 0 AND m & before = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (WHERE m & bit <> 0 AND m & before <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (WHERE m = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (WHERE m & bit <> 0 AND m & before = 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (WHERE m & bit <> 0 AND m & before = 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // nullif(bit_count(m), 0)) FILTER (WHERE m & bit <> 0), 0) AS BIGINT) AS shapley
+FROM c, q GROUP BY part, filter_order, step"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm import (
     bin_slack,
+    filter_audit,
     lattice_lm,
     ngram_join,
     oracles,
@@ -99,3 +100,9 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels of four folds in five."""
     return zstd_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_filter_audit", oracles.FILTER_AUDIT)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents of each source, in all 120 orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
