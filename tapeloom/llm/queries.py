@@ -16,6 +16,7 @@ from tapeloom.llm import (
     quality_rules,
     repeated_bytes,
     spaced_seeds,
+    spelling_variants,
     token_matrix,
     token_rollup,
     zstd_quality,
@@ -106,3 +107,9 @@ def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from all documents of each source, in all 120 orders."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_spelling_variants", oracles.SPELLING_VARIANTS)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents with their near words, frequent form and root."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
