@@ -19,6 +19,7 @@ from tapeloom.llm import (
     spelling_variants,
     token_matrix,
     token_rollup,
+    toxicity_pu,
     zstd_quality,
 )
 from tapeloom.session import scratch_path
@@ -113,3 +114,9 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents with their near words, frequent form and root."""
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_toxicity_pu")
+def op13_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the toxic labels of four folds in five."""
+    return toxicity_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
