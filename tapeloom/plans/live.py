@@ -1,9 +1,12 @@
 """Streams (section W); the SQL is the batch twin cut at the final watermark."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tapeloom.functions import clock
 from tapeloom.operators.features import with_log_return
+from tapeloom.operators.scan import stored
 from tapeloom.plans.inputs import TRADE_KEY, ledger, numbered_bars, returns
 from tapeloom.plans.registry import cte, query
 from tapeloom.plans.windows import TOUCH_SQL
@@ -71,18 +74,142 @@ def w5_streams(spark, sf):
 
 
 DECAY = Detector(hazard=1 / 60, window=30, threshold=0.5, min_pause=10, kappa0=1.0, alpha0=2.0, beta0=1e-4)
+BY_HAND = replace(DECAY, re_entry="manual")
 STEPS = StepUp(detector=Detector(hazard=0.01, window=60, threshold=0.5))
 
 
-@query("w6_stream_decay")
+def evidence_sql(x, cfg):
+    """Expression over r (list of structs p, m, b by run length): log joint j of each run length with ``x``."""
+    k, df = f"({cfg.kappa0} + i - 1)", f"({2 * cfg.alpha0} + i - 1)"
+    s2 = f"(e.b * ({k} + 1) / ({df} / 2 * {k}))"
+    return (f"list_transform(r, lambda e, i: {{'j': e.p + lgamma(({df} + 1) / 2::DOUBLE) - lgamma({df} / 2::DOUBLE) - 0.5 * ln({df} * pi() * {s2})"
+            f" - ({df} + 1) / 2 * ln(1 + pow({x} - e.m, 2) / ({df} * {s2})), 'm': e.m, 'b': e.b}})")
+
+
+def grown_sql(x, cfg):
+    """The run lengths after ``x``: a new one, and each of j grown; t is the log of the sum of the joints."""
+    k = f"({cfg.kappa0} + i - 1)"
+    return (f"list_prepend({{'p': ln({cfg.hazard!r}::DOUBLE), 'm': {cfg.mu0}::DOUBLE, 'b': {cfg.beta0!r}::DOUBLE}}, list_transform(j, lambda e, i: "
+            f"{{'p': e.j - t + ln(1 - {cfg.hazard!r}::DOUBLE), 'm': ({k} * e.m + {x}) / ({k} + 1), 'b': e.b + {k} * pow({x} - e.m, 2) / (2 * ({k} + 1))}}))")
+
+
+def first_sql(cfg):
+    return f"[{{'p': 0.0::DOUBLE, 'm': {cfg.mu0}::DOUBLE, 'b': {cfg.beta0!r}::DOUBLE}}]"
+
+
+# The log of the sum of joints over rows (..., j).
+TOP = "SELECT *, list_max(list_transform(j, lambda e: e.j)) AS top"
+LOG_SUM = "top + ln(list_sum(list_transform(j, lambda e: exp(e.j - top))))"
+
+
+def mass_sql(cfg):
+    return f"list_sum(list_transform(g[1:{cfg.warm_up}], lambda e: exp(e.p)))"
+
+
+def series_sql(src, x, cfg):
+    """CTE fragments: ds holds (symbol, n, mass), the detector over ``src`` (symbol, n, ``x``) without pauses."""
+    return f"""
+  rs(symbol, n, r, mass) AS (SELECT DISTINCT symbol, 0::BIGINT, {first_sql(cfg)}, 0.0::DOUBLE FROM {src}
+    UNION ALL SELECT symbol, n, g, {mass_sql(cfg)} FROM (SELECT symbol, n, {grown_sql('x', cfg)} AS g FROM (SELECT *, {LOG_SUM} AS t FROM ({TOP} FROM (
+      SELECT rs.symbol, s.n, s.{x} AS x, {evidence_sql('s.' + x, cfg)} AS j FROM rs JOIN {src} s ON s.symbol = rs.symbol AND s.n = rs.n + 1))))),
+  ds AS (SELECT symbol, n, mass FROM rs WHERE n > 0)"""
+
+
+def pause_sql(cfg):
+    """CTE fragments: signals holds one row per session (and one per order), the pause rule over num and orders."""
+    done = {"posterior": f"mass < {cfg.re_entry_threshold}", "count": f"since + 1 >= {cfg.re_entry_count}", "manual": "false"}[cfg.re_entry]
+    obeyed = "paused2 AND since2 >= " + str(cfg.min_pause) if cfg.re_entry == "manual" else "false"
+    return f"""
+  ps(symbol, n, session, r, paused, since, entered, entered_p, mass, event, was, was_p, duration, told, held, obeyed, long) AS (
+    SELECT DISTINCT symbol, 0::BIGINT, NULL::DATE, {first_sql(cfg)}, false, 0::BIGINT, NULL::DATE, NULL::DOUBLE, 0.0::DOUBLE, '', NULL::DATE, NULL::DOUBLE,
+      NULL::BIGINT, false, false, false, 0::BIGINT FROM num
+    UNION ALL SELECT symbol, n, session, CASE WHEN leaves OR hand THEN {first_sql(cfg)} ELSE g END, paused2 AND NOT hand, CASE WHEN hand THEN 0 ELSE since2 END,
+      CASE WHEN hand OR leaves THEN NULL ELSE entered2 END, CASE WHEN hand OR leaves THEN NULL ELSE entered_p2 END, mass,
+      CASE WHEN enters THEN 'pause' WHEN leaves AND paused THEN 'resume' ELSE '' END, entered2, entered_p2,
+      CASE WHEN leaves AND paused THEN since + 1 END, told, paused2, hand, since2
+    FROM (SELECT *, told AND {obeyed} AS hand FROM (SELECT *, CASE WHEN enters THEN true WHEN leaves THEN false ELSE paused END AS paused2,
+        CASE WHEN enters OR leaves THEN 0 WHEN NOT paused AND n >= {cfg.window // 2} THEN since ELSE since + 1 END AS since2,
+        CASE WHEN enters THEN session ELSE entered END AS entered2, CASE WHEN enters THEN mass ELSE entered_p END AS entered_p2
+      FROM (SELECT *, NOT paused AND n >= {cfg.window // 2} AND mass > {cfg.threshold} AS enters,
+          (paused OR n < {cfg.window // 2}) AND since + 1 >= {cfg.min_pause} AND {done} AS leaves
+        FROM (SELECT *, {mass_sql(cfg)} AS mass FROM (SELECT * EXCLUDE (j), {grown_sql('x', cfg)} AS g FROM (SELECT *, {LOG_SUM} AS t FROM ({TOP} FROM (
+          SELECT ps.symbol, s.n, s.session, s.ret AS x, s.told, ps.paused, ps.since, ps.entered, ps.entered_p, {evidence_sql('s.ret', cfg)} AS j
+          FROM ps JOIN num s ON s.symbol = ps.symbol AND s.n = ps.n + 1))))))))),
+  signals AS (SELECT symbol, session, mass AS posterior, held AS paused, event, was AS entered, was_p AS entered_posterior, duration FROM ps WHERE n > 0
+    UNION ALL SELECT symbol, session, mass, held AND NOT obeyed, CASE WHEN obeyed THEN 'manual' ELSE 'refused' END, was, was_p,
+      CASE WHEN obeyed THEN long END FROM ps WHERE n > 0 AND told)"""
+
+
+# An order to resume comes on the 15th of every month that has a session.
+TOLD = {True: "day(session) = 15", False: "false"}
+
+
+def signals_sql(cfg, told=False):
+    return cte("returns", num=f"""SELECT symbol, session, ret, row_number() OVER (PARTITION BY symbol ORDER BY session) AS n,
+  {TOLD[told]} AS told FROM returns""") + "," + pause_sql(cfg)
+
+
+def session_returns(spark, sf):
+    return returns(spark, sf).select("symbol", "session", "ret")
+
+
+def by_year(df, name):
+    """A session frame as a stream of years."""
+    return st.frame_stream(df, name, ["symbol"], F.year("session"))
+
+
+def orders_of(r):
+    return r.filter(F.dayofmonth("session") == 15).select("symbol", "session")
+
+
+SIGNALS = "SELECT * FROM signals"
+DECAY_F8 = "posterior entered_posterior duration"
+
+
+@query("w6_stream_decay", signals_sql(DECAY) + SIGNALS, f8=DECAY_F8, dt="session entered", digits=5)
 def w6(spark, sf):
     """Pause and resume signals of the decay detector on session returns."""
-    return st.run_to_table(st.stream_decay(st.frame_stream(returns(spark, sf).select("symbol", "session", "ret"), "returns"), DECAY), "decay")
+    return st.run_to_table(st.stream_decay(by_year(session_returns(spark, sf), "returns"), DECAY), "decay")
 
 
-@query("w6_batch_decay")
+@query("w6_batch_decay", signals_sql(DECAY) + SIGNALS, f8=DECAY_F8, dt="session entered", digits=5)
 def w6_batch(spark, sf):
-    return st.batch_decay(returns(spark, sf), DECAY)
+    return st.batch_decay(session_returns(spark, sf), DECAY)
+
+
+@query("w6_stream_manual_resume", signals_sql(BY_HAND, True) + SIGNALS, f8=DECAY_F8, dt="session entered", digits=5)
+def w6_manual(spark, sf):
+    """Signals where only a second stream of operators' orders ends a pause."""
+    r = stored(session_returns(spark, sf))
+    return st.run_to_table(st.stream_decay(by_year(r, "returns"), BY_HAND, by_year(orders_of(r), "orders")), "by-hand")
+
+
+@query("w6_pause_log", signals_sql(BY_HAND, True) + """
+SELECT symbol, entered, entered_posterior, session AS exited, posterior AS exited_posterior, duration, event AS ended_by FROM signals WHERE duration IS NOT NULL""",
+       f8="entered_posterior exited_posterior", dt="entered exited", digits=5)
+def w6_log(spark, sf):
+    r = stored(session_returns(spark, sf))
+    return st.pause_log(st.batch_decay(r, BY_HAND, orders_of(r)))
+
+
+@query("w6_pause_summary", signals_sql(DECAY) + """
+SELECT symbol, count(duration) AS pauses, coalesce(sum(duration), 0) AS paused_sessions, coalesce(max(duration), 0) AS longest,
+  count(*) FILTER (WHERE event = 'pause') > count(duration) AS paused_at_end, count(*) FILTER (WHERE event = 'refused') AS refused FROM signals GROUP BY 1""",
+       i8="paused_sessions")
+def w6_summary(spark, sf):
+    return st.pause_summary(st.batch_decay(session_returns(spark, sf), DECAY))
+
+
+NUM_SQL = cte("returns", num="SELECT symbol, session, ret, row_number() OVER (PARTITION BY symbol ORDER BY session) AS n FROM returns")
+
+
+@query("w6_decay_summary", NUM_SQL + "," + series_sql("num", "ret", DECAY) + f""",
+  z AS (SELECT symbol, n, session, CASE WHEN n <= {DECAY.window // 2} THEN 0 ELSE mass END AS p FROM ds JOIN num USING (symbol, n))
+SELECT symbol, max(p) > {DECAY.threshold} AS decayed, min(session) FILTER (WHERE p > {DECAY.threshold}) AS first_session,
+  min(n) FILTER (WHERE p > {DECAY.threshold}) AS first_n, max(p) AS max_posterior FROM z GROUP BY 1""", f8="first_n max_posterior", dt="first_session", digits=5)
+def w6_series(spark, sf):
+    """Whether, when and how surely each whole series changes, warm-up apart."""
+    return st.decay_summary(st.decay_series(session_returns(spark, sf), DECAY))
 
 
 @query("w7_stream_breakers", cte("ledger", t=f"""SELECT *, isoyear(session) * 100 + week(session) AS week, round(pnl) AS x,
@@ -111,12 +238,27 @@ def w8(spark, sf):
     return st.stream_table(spark, sf, "events", build, "levels")
 
 
-@query("w9_stream_ladder")
+_D = STEPS.detector
+LADDER_SQL = cte("returns", num=f"""SELECT symbol, session, row_number() OVER w AS k, avg(ln(1 + ret)) OVER (w ROWS {STEPS.mppm_window - 1} PRECEDING) * 252 AS v,
+    min(ret) OVER (w ROWS {STEPS.mppm_window - 1} PRECEDING) AS least FROM returns WINDOW w AS (PARTITION BY symbol ORDER BY session)""",
+  path=f"SELECT symbol, k, v, row_number() OVER (PARTITION BY symbol ORDER BY k) AS n FROM num WHERE k >= {STEPS.mppm_window} AND least > -1") + "," + series_sql(
+  "path", "v", _D) + f""",
+  bad AS (SELECT symbol, min(k) AS first_bad FROM ds JOIN path USING (symbol, n) WHERE n > {_D.window // 2} AND mass > {_D.threshold} GROUP BY 1),
+  due AS (SELECT symbol, session, k, k // {STEPS.every} AS turn, (SELECT count(*) FROM path p WHERE p.symbol = num.symbol AND p.k <= num.k) < {_D.window} AS warm,
+    coalesce(k >= first_bad, false) AS decayed FROM num LEFT JOIN bad USING (symbol) WHERE k % {STEPS.every} = 0),
+  st(symbol, turn, session, idx, action) AS (SELECT DISTINCT symbol, 0::BIGINT, NULL::DATE, {STEPS.grid.index(STEPS.start)}, '' FROM num
+    UNION ALL SELECT d.symbol, d.turn, d.session, CASE WHEN warm THEN idx WHEN decayed THEN greatest(idx - 1, 0) ELSE least(idx + 1, {len(STEPS.grid) - 1}) END,
+      CASE WHEN warm THEN 'warmup_hold' WHEN decayed AND idx > 0 THEN 'halve' WHEN decayed THEN 'hold_min' WHEN idx + 1 < {len(STEPS.grid)} THEN 'step_up' ELSE 'hold_max' END
+    FROM st JOIN due d ON d.symbol = st.symbol AND d.turn = st.turn + 1)
+SELECT symbol, session, CAST({list(STEPS.grid)} AS DOUBLE[])[idx + 1] AS multiplier, action FROM st WHERE turn > 0"""
+
+
+@query("w9_stream_ladder", LADDER_SQL, f8="multiplier", dt="session")
 def w9(spark, sf):
     """Sizing steps of the ladder on session returns."""
-    return st.run_to_table(st.stream_ladder(st.frame_stream(returns(spark, sf).select("symbol", "session", "ret"), "returns"), STEPS), "ladder")
+    return st.run_to_table(st.stream_ladder(by_year(session_returns(spark, sf), "returns"), STEPS), "ladder")
 
 
-@query("w9_batch_ladder")
+@query("w9_batch_ladder", LADDER_SQL, f8="multiplier", dt="session")
 def w9_batch(spark, sf):
-    return st.batch_ladder(returns(spark, sf), STEPS)
+    return st.batch_ladder(session_returns(spark, sf), STEPS)

@@ -6,8 +6,10 @@ the state, routes the keys and replays lost work.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,6 +25,7 @@ class Detector:
     re_entry_threshold: float = 0.2
     re_entry_count: int = 60
     min_pause: int = 20
+    after: str = "fresh"  # run lengths after a pause: fresh, or kept
     mu0: float = 0.0
     kappa0: float = 1.0
     alpha0: float = 1.0
@@ -33,9 +36,18 @@ class Detector:
             raise ValueError("hazard in (0, 1], window >= 2 and threshold in (0, 1) are needed")
         if not 0 < self.re_entry_threshold < self.threshold:
             raise ValueError("the re-entry threshold must lie below the pause threshold")
+        if self.re_entry not in ("posterior", "count", "manual") or self.after not in ("fresh", "kept"):
+            raise ValueError("re_entry is posterior, count or manual; after is fresh or kept")
+        if min(self.re_entry_count, self.min_pause) < 1:
+            raise ValueError("re_entry_count and min_pause are at least 1")
         if min(self.kappa0, self.alpha0, self.beta0) <= 0:
             raise ValueError("kappa0, alpha0 and beta0 must be positive")
 
+    @property
+    def warm_up(self) -> int:
+        """Observations without a signal: no run is as long as the half window yet."""
+        return max(1, self.window // 2)
+
 
 def fresh(cfg: Detector) -> tuple:
     """(log probabilities, means, betas); kappa and alpha follow from the run length."""
@@ -47,48 +59,148 @@ def _log_sum(x: np.ndarray) -> float:
     return top if not math.isfinite(top) else top + math.log(float(np.sum(np.exp(x - top))))
 
 
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+class _Ages:
+    """What a run length alone decides: kappa, the degrees of freedom and the density's constant.
+
+    Grown by doubling, so a series of any length pays for each age once.
+    """
+
+    def __init__(self, kappa0: float, alpha0: float) -> None:
+        self.kappa0, self.alpha0 = kappa0, alpha0
+        self.lgamma = np.array([math.lgamma(alpha0)])
+        self._fill()
+
+    def _fill(self) -> None:
+        n = len(self.lgamma) - 1
+        age = np.arange(n)
+        self.kappa, self.df = self.kappa0 + age, 2 * self.alpha0 + age
+        # Half a degree of freedom is alpha; the next age's is half of one more.
+        self.constant = np.diff(self.lgamma) - 0.5 * np.log(self.df * math.pi)
+        self.spread = (self.kappa + 1) / (self.df / 2 * self.kappa)
+
+    def upto(self, n: int):
+        if len(self.kappa) < n:
+            have = len(self.lgamma)
+            more = [math.lgamma(self.alpha0 + k / 2) for k in range(have, max(n, 2 * have) + 1)]
+            self.lgamma = np.concatenate([self.lgamma, more])
+            self._fill()
+        return self.kappa[:n], self.df[:n], self.constant[:n], self.spread[:n]
+
+
+@lru_cache(maxsize=16)
+def _ages(kappa0: float, alpha0: float) -> _Ages:
+    return _Ages(kappa0, alpha0)
 
 
 def observe(run: tuple, x: float, cfg: Detector) -> tuple[tuple, float]:
     """One observation: the new run-length state and the mass on recent changes."""
     logp, mu, beta = run
-    age = np.arange(len(logp))
-    kappa, alpha = cfg.kappa0 + age, cfg.alpha0 + age / 2
-    df = 2 * alpha
-    scale2 = beta * (kappa + 1) / (alpha * kappa)
-    pred = (_LGAMMA((df + 1) / 2) - _LGAMMA(df / 2) - 0.5 * np.log(df * math.pi * scale2)
-            - (df + 1) / 2 * np.log1p((x - mu) ** 2 / (df * scale2)))
-    joint = logp + pred
+    kappa, df, constant, spread = _ages(cfg.kappa0, cfg.alpha0).upto(len(logp))
+    off = (x - mu) ** 2
+    scale2 = beta * spread
+    joint = logp + constant - 0.5 * np.log(scale2) - (df + 1) / 2 * np.log1p(off / (df * scale2))
+    total = _log_sum(joint)
     stay = math.log1p(-cfg.hazard) if cfg.hazard < 1 else -math.inf
-    logp = np.concatenate(([_log_sum(joint) + math.log(cfg.hazard)], joint + stay))
-    new_beta = beta + kappa * (x - mu) ** 2 / (2 * (kappa + 1))
+    # Change and growth share the evidence, so it normalises both.
+    logp = np.concatenate(([math.log(cfg.hazard)], joint - total + stay))
+    grown = beta + kappa * off / (2 * (kappa + 1))
     mu = np.concatenate(([cfg.mu0], (kappa * mu + x) / (kappa + 1)))
-    beta = np.concatenate(([cfg.beta0], new_beta))
-    logp = logp - _log_sum(logp)
-    return (logp, mu, beta), float(np.exp(logp[: max(1, cfg.window // 2)]).sum())
+    beta = np.concatenate(([cfg.beta0], grown))
+    return (logp, mu, beta), float(np.exp(logp[:cfg.warm_up]).sum())
+
+
+@dataclass(frozen=True)
+class Pause:
+    """A detector with its pause rule: what one series carries from session to session."""
+
+    run: tuple
+    seen: int = 0
+    paused: bool = False
+    since: int = 0
+    entered: dt.date | None = None
+    entered_posterior: float | None = None
+    posterior: float = 0.0
+    session: dt.date | None = None
+    commands: tuple = field(default=())
+
+
+def new_pause(cfg: Detector) -> Pause:
+    return Pause(fresh(cfg))
+
+
+# One row of output; the pause log is the rows that resume.
+PAUSE_COLUMNS = ["session", "posterior", "paused", "event", "entered", "entered_posterior", "duration"]
+
+
+def _left(st: Pause, cfg: Detector) -> Pause:
+    return replace(st, run=fresh(cfg) if cfg.after == "fresh" else st.run, paused=False, since=0, entered=None, entered_posterior=None)
+
+
+def pause_session(st: Pause, session: dt.date, x: float, cfg: Detector) -> tuple[Pause, tuple]:
+    """One session's return: advance the detector, then enter or leave a pause.
+
+    In warm-up the counter runs as if paused, but no pause is entered.
+    """
+    run, mass = observe(st.run, x, cfg)
+    st = replace(st, run=run, seen=st.seen + 1, posterior=mass, session=session)
+    if not st.paused and st.seen >= cfg.window // 2:
+        if mass <= cfg.threshold:
+            return st, (session, mass, False, "", None, None, None)
+        st = replace(st, paused=True, since=0, entered=session, entered_posterior=mass)
+        return st, (session, mass, True, "pause", session, mass, None)
+    st = replace(st, since=st.since + 1)
+    done = st.since >= cfg.min_pause and (
+        (cfg.re_entry == "posterior" and mass < cfg.re_entry_threshold)
+        or (cfg.re_entry == "count" and st.since >= cfg.re_entry_count))
+    if not done:
+        return st, (session, mass, st.paused, "", st.entered, st.entered_posterior, None)
+    row = (session, mass, False, "resume" if st.paused else "", st.entered, st.entered_posterior, st.since if st.paused else None)
+    return _left(st, cfg), row
+
+
+def pause_command(st: Pause, session: dt.date, cfg: Detector) -> tuple[Pause, tuple]:
+    """An operator's order to resume, given at the end of ``session``.
+
+    It counts in a pause of the shortest length or more, if the rule leaves resuming to
+    operators; otherwise it is refused, and the row says so.
+    """
+    if not st.paused or cfg.re_entry != "manual" or st.since < cfg.min_pause:
+        return st, (session, st.posterior, st.paused, "refused", st.entered, st.entered_posterior, None)
+    return _left(st, cfg), (session, st.posterior, False, "manual", st.entered, st.entered_posterior, st.since)
 
 
-def pause_step(run, seen: int, paused: bool, since: int, x: float, cfg: Detector):
-    """Advance the detector and the pause rule; returns the new parts and an event name.
+def pause_rows(st: Pause, returns: list[tuple], commands: list[dt.date], cfg: Detector) -> tuple[Pause, list[tuple]]:
+    """Rows of some sessions (in order) and orders.
 
-    In warm-up the counter runs as if paused, but nothing is entered or left before
-    the shortest pause has passed.
+    An order waits until its session has been seen, so it may arrive before the return does;
+    one for a session that is past is carried out at once. ``Pause.commands`` holds those that wait.
     """
-    run, mass = observe(run, x, cfg)
-    event = ""
-    if not paused and seen + 1 >= cfg.window // 2:
-        if mass > cfg.threshold:
-            paused, since, event = True, 0, "pause"
-    else:
-        since += 1
-        done = since >= cfg.min_pause and (
-            (cfg.re_entry == "posterior" and mass < cfg.re_entry_threshold)
-            or (cfg.re_entry == "count" and since >= cfg.re_entry_count))
-        if done:
-            event = "resume" if paused else ""
-            paused, since, run = False, 0, fresh(cfg)
-    return run, seen + 1, paused, since, mass, event
+    waiting = sorted([*st.commands, *commands])
+    rows = []
+
+    def carry_out(upto: dt.date | None) -> None:
+        nonlocal st
+        while waiting and upto is not None and waiting[0] <= upto:
+            st, row = pause_command(st, waiting.pop(0), cfg)
+            rows.append(row)
+
+    for session, x in returns:
+        # Orders given on days without a return come first.
+        carry_out(session - dt.timedelta(days=1))
+        st, row = pause_session(st, session, x, cfg)
+        rows.append(row)
+        carry_out(session)
+    carry_out(st.session)
+    return replace(st, commands=tuple(waiting)), rows
+
+
+def decay_path(xs: list[float], cfg: Detector) -> list[float]:
+    """Mass on recent changes at every observation of a whole series; 0 in warm-up, where it means nothing."""
+    run, out = fresh(cfg), []
+    for k, x in enumerate(xs):
+        run, mass = observe(run, float(x), cfg)
+        out.append(0.0 if k < cfg.window // 2 else mass)
+    return out
 
 
 @dataclass(frozen=True)

@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapeloom.operators.scan import stored
 from tapeloom.session import load, scratch_path
-from tapeloom.streaming.state import Detector, StepUp, fresh, ladder_step, new_ladder, pause_step
+from tapeloom.streaming.state import (
+    PAUSE_COLUMNS, Detector, Pause, StepUp, decay_path, ladder_step, new_ladder, new_pause, pause_rows,
+)
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,15 +49,23 @@ def frame_stream(df: DataFrame, name: str, by: list[str] | None = None, slices:
     return reader.option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all present input and return its output table."""
+def run_to_table(stream: DataFrame, name: str, place: str | None = None) -> DataFrame:
+    """Run a stream over all present input and return its output table.
+
+    With the ``place`` of an earlier run it goes on where that one ended.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", scratch_path(spark, f"{name}-log"))
-         .trigger(availableNow=True).start(out))
+    place = place or scratch_path(spark, name)
+    before = spark.conf.get(_PROVIDER, None)
+    # State that is kept in parts (lists, values) needs this store; the caller's setting comes back after the start.
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        q = (stream.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start(f"{place}/out"))
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
 # --- windows ---------------------------------------------------------------------
@@ -124,43 +135,129 @@ def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
 
 
-DECAY_OUT = "symbol string, session date, posterior double, paused boolean, event string"
-DECAY_STATE = ("logp array<double>, mu array<double>, beta array<double>, seen int, paused boolean, since int")
+DECAY_OUT = ("symbol string, session date, posterior double, paused boolean, event string, entered date, "
+             "entered_posterior double, duration int")
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _decay_rows(symbol: str, pdf: pd.DataFrame, part: tuple, cfg: Detector) -> tuple[pd.DataFrame, tuple]:
-    run, seen, paused, since = part
-    rows = []
-    for day, x in zip(pdf["session"], pdf["ret"]):
-        run, seen, paused, since, mass, event = pause_step(run, seen, paused, since, float(x), cfg)
-        rows.append((symbol, day, mass, paused, event))
-    return pd.DataFrame(rows, columns=["symbol", "session", "posterior", "paused", "event"]), (run, seen, paused, since)
+def _decay_frame(symbol: str, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=PAUSE_COLUMNS)
+    out.insert(0, "symbol", symbol)
+    # Columns without a value in this frame keep their types.
+    return out.astype({"duration": "Int32", "entered_posterior": "Float64"})
 
 
-def stream_decay(returns: DataFrame, cfg: Detector) -> DataFrame:
-    """Pause and resume signals from session returns, one detector per symbol."""
-    def step(key, batches, state):
-        pdf = _ordered(batches, ["session"])
-        if state.exists:
-            logp, mu, beta, seen, paused, since = state.get
-            part = ((np.array(logp), np.array(mu), np.array(beta)), seen, paused, since)
-        else:
-            part = (fresh(cfg), 0, False, 0)
-        out, (run, seen, paused, since) = _decay_rows(key[0], pdf, part, cfg)
-        state.update((run[0].tolist(), run[1].tolist(), run[2].tolist(), seen, bool(paused), since))
-        yield out
+class _DecayProcessor(StatefulProcessor):
+    """The detector of one symbol: run lengths and waiting orders are lists in the state store, the pause one value."""
+
+    def __init__(self, cfg: Detector) -> None:
+        self.cfg = cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.runs = handle.getListState("runs", "logp double, mu double, beta double")
+        self.orders = handle.getListState("orders", "session date")
+        self.head = handle.getValueState(
+            "head", "seen int, paused boolean, since int, entered date, entered_posterior double, posterior double, session date")
+
+    def _read(self) -> Pause:
+        if not self.head.exists():
+            return new_pause(self.cfg)
+        run = tuple(np.array(c) for c in zip(*self.runs.get()))
+        seen, paused, since, entered, mass, posterior, session = self.head.get()
+        waiting = tuple(r[0] for r in self.orders.get()) if self.orders.exists() else ()
+        return Pause(run, seen, paused, since, entered, mass, posterior, session, waiting)
+
+    def _write(self, st: Pause) -> None:
+        self.runs.put(list(zip(*(part.tolist() for part in st.run))))
+        if st.commands:
+            self.orders.put([(d,) for d in st.commands])
+        elif self.orders.exists():
+            self.orders.clear()
+        self.head.update((st.seen, st.paused, st.since, st.entered, st.entered_posterior, st.posterior, st.session))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pdf = _ordered(rows, ["session"])
+        if pdf.empty:
+            return
+        order = pdf["ret"].isna() & pdf["resume"]
+        st, out = pause_rows(self._read(), list(zip(pdf["session"][~order], pdf["ret"][~order].astype(float))),
+                             list(pdf["session"][order]), self.cfg)
+        self._write(st)
+        if out:
+            yield _decay_frame(key[0], out)
+
+    def close(self) -> None:
+        pass
 
-    return returns.select("symbol", "session", "ret").groupBy("symbol").applyInPandasWithState(
-        step, DECAY_OUT, DECAY_STATE, "append", "NoTimeout")
 
+def _with_orders(returns: DataFrame, orders: DataFrame | None) -> DataFrame:
+    """Returns and operators' orders (symbol, session) in one frame; a return that is null is no observation."""
+    rows = returns.filter(F.col("ret").isNotNull()).select("symbol", "session", F.col("ret").cast("double").alias("ret"), F.lit(False).alias("resume"))
+    if orders is None:
+        return rows
+    return rows.unionByName(orders.select("symbol", "session", F.lit(None).cast("double").alias("ret"), F.lit(True).alias("resume")))
 
-def batch_decay(returns: DataFrame, cfg: Detector) -> DataFrame:
+
+def stream_decay(returns: DataFrame, cfg: Detector, orders: DataFrame | None = None) -> DataFrame:
+    """Pause and resume signals from session returns, one detector per symbol.
+
+    ``orders`` is a second stream (symbol, session) of operators' orders to resume. Rows that
+    resume (event ``resume`` or ``manual``) are the pause log: entry, exit and duration.
+    Sessions of a symbol must arrive in order over the micro-batches, in any order within one.
+    """
+    return _with_orders(returns, orders).groupBy("symbol").transformWithStateInPandas(
+        _DecayProcessor(cfg), DECAY_OUT, "append", "None")
+
+
+def batch_decay(returns: DataFrame, cfg: Detector, orders: DataFrame | None = None) -> DataFrame:
     """Batch twin over many series; a series has one row per session."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session", kind="stable")
-        return _decay_rows(pdf["symbol"].iloc[0], pdf, (fresh(cfg), 0, False, 0), cfg)[0]
+        o = pdf["resume"]
+        rows = pause_rows(new_pause(cfg), list(zip(pdf["session"][~o], pdf["ret"][~o].astype(float))), list(pdf["session"][o]), cfg)[1]
+        return _decay_frame(pdf["symbol"].iloc[0], rows)
+
+    return _with_orders(returns, orders).groupBy("symbol").applyInPandas(run, DECAY_OUT)
+
+
+def pause_log(signals: DataFrame) -> DataFrame:
+    """One row per finished pause: its first session and posterior, its last ones, its length and what ended it."""
+    return signals.filter(F.col("event").isin("resume", "manual")).select(
+        "symbol", "entered", "entered_posterior", F.col("session").alias("exited"), F.col("posterior").alias("exited_posterior"),
+        "duration", F.col("event").alias("ended_by"))
+
+
+def pause_summary(signals: DataFrame) -> DataFrame:
+    """Per symbol: finished pauses, paused sessions in all and at most, whether it is paused at the end, refused orders."""
+    done = F.col("event").isin("resume", "manual")
+    return signals.groupBy("symbol").agg(
+        F.count_if(done).alias("pauses"), F.coalesce(F.sum(F.when(done, F.col("duration"))), F.lit(0)).cast("long").alias("paused_sessions"),
+        F.coalesce(F.max(F.when(done, F.col("duration"))), F.lit(0)).cast("long").alias("longest"),
+        (F.count_if(F.col("event") == "pause") > F.count_if(done)).alias("paused_at_end"),
+        F.count_if(F.col("event") == "refused").alias("refused"))
+
+
+def decay_series(returns: DataFrame, cfg: Detector, by: str = "ret") -> DataFrame:
+    """(symbol, session, n, posterior, detected): mass on recent changes over each whole series, 0 in warm-up.
+
+    A series has one row per session, so a calendar bounds it.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session", kind="stable")
+        mass = np.array(decay_path(pdf[by].tolist(), cfg))
+        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "session": pdf["session"].to_numpy(), "n": np.arange(1, len(pdf) + 1),
+                             "posterior": mass, "detected": mass > cfg.threshold})
+
+    return returns.filter(F.col(by).isNotNull()).select("symbol", "session", by).groupBy("symbol").applyInPandas(
+        run, "symbol string, session date, n long, posterior double, detected boolean")
+
 
-    return returns.select("symbol", "session", "ret").groupBy("symbol").applyInPandas(run, DECAY_OUT)
+def decay_summary(series: DataFrame) -> DataFrame:
+    """Per symbol whether and when the mass first passes the threshold, and its largest value."""
+    return series.groupBy("symbol").agg(
+        F.bool_or("detected").alias("decayed"), F.min(F.when(F.col("detected"), F.col("session"))).alias("first_session"),
+        F.min(F.when(F.col("detected"), F.col("n"))).alias("first_n"), F.max("posterior").alias("max_posterior"))
 
 
 LADDER_OUT = "symbol string, session date, multiplier double, action string"

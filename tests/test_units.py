@@ -405,29 +405,85 @@ def test_detector_sees_a_shift():
         Detector(re_entry_threshold=0.6)
 
 
-def test_streams_equal_their_batch_twins_over_several_files(spark):
-    """The state goes on from one micro-batch to the next."""
+def shifted_returns(spark):
     rng = np.random.default_rng(9)
     day0 = dt.date(2020, 1, 1)
     rows = [(s, day0 + dt.timedelta(days=i), float(v)) for s in ("a", "b") for i, v in enumerate(
         np.r_[rng.normal(0, 0.01, 150), rng.normal(0.08, 0.01, 100)])]
-    df = spark.createDataFrame(rows, "symbol string, session date, ret double")
-    cfg = Detector(hazard=1 / 60, window=20, min_pause=5, alpha0=2.0, beta0=1e-4)
-    ladder = StepUp(every=20, mppm_window=10, detector=Detector(hazard=0.02, window=20, alpha0=2.0, beta0=1e-2))
+    return spark.createDataFrame(rows, "symbol string, session date, ret double"), day0
+
+
+def in_files(df, day0, days, path):
+    """Rows in files of ``days`` sessions, in time order."""
+    for k in range(-(-250 // days)):
+        part = df.filter((F.col("session") >= day0 + dt.timedelta(days=days * k)) & (F.col("session") < day0 + dt.timedelta(days=days * (k + 1))))
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def test_ladder_stream_equals_its_batch_twin_over_several_files(spark):
+    """The state goes on from one micro-batch to the next."""
     from tapeloom.session import scratch_path
 
+    df, day0 = shifted_returns(spark)
+    ladder = StepUp(every=20, mppm_window=10, detector=Detector(hazard=0.02, window=20, alpha0=2.0, beta0=1e-2))
     path = scratch_path(spark, "twin")
-    for k in range(3):
-        part = df.filter((F.col("session") >= day0 + dt.timedelta(days=90 * k)) & (F.col("session") < day0 + dt.timedelta(days=90 * (k + 1))))
-        part.coalesce(1).write.mode("append").parquet(path)
-    for live, batch, c in ((streams.stream_decay, streams.batch_decay, cfg), (streams.stream_ladder, streams.batch_ladder, ladder)):
-        src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-        a = streams.run_to_table(live(src, c), "twin-out").orderBy("symbol", "session").toPandas()
-        b = batch(df, c).orderBy("symbol", "session").toPandas()
-        pd.testing.assert_frame_equal(a, b)
+    in_files(df, day0, 90, path)
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    a = streams.run_to_table(streams.stream_ladder(src, ladder), "twin-out").orderBy("symbol", "session").toPandas()
+    b = streams.batch_ladder(df, ladder).orderBy("symbol", "session").toPandas()
+    pd.testing.assert_frame_equal(a, b)
     assert (a["action"] != "").all() and len(a) > 4
 
 
+@pytest.mark.parametrize("mode,after", [("posterior", "fresh"), ("count", "kept"), ("manual", "fresh")])
+def test_decay_stream_in_five_batches_with_a_restart(spark, mode, after):
+    """One batch, five batches with a restart in between, and the batch twin give the same signals and pause log."""
+    from tapeloom.session import scratch_path
+
+    df, day0 = shifted_returns(spark)
+    cfg = Detector(hazard=1 / 60, window=20, min_pause=5, alpha0=2.0, beta0=1e-4, re_entry=mode, after=after, re_entry_count=8)
+    given = [("a", d) for d in (3, 156, 162, 240)] + [("b", 249), ("b", 170), ("b", 171)]
+    orders = spark.createDataFrame([(s, day0 + dt.timedelta(days=d)) for s, d in given], "symbol string, session date")
+    late, ahead = scratch_path(spark, "returns"), scratch_path(spark, "orders")
+    # All orders are there before the first return; they wait for their sessions.
+    orders.coalesce(1).write.parquet(ahead)
+    in_files(df.filter(F.col("session") < day0 + dt.timedelta(days=150)), day0, 50, late)
+
+    def live(files):
+        src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(late)
+        return streams.stream_decay(src, cfg, spark.readStream.schema(orders.schema).parquet(ahead))
+
+    def sort(frame):
+        return frame.toPandas().sort_values(["symbol", "session", "event"], ignore_index=True)
+
+    place = scratch_path(spark, "decay")
+    streams.run_to_table(live(1), "decay", place)
+    in_files(df.filter(F.col("session") >= day0 + dt.timedelta(days=150)), day0, 50, late)
+    five = sort(streams.run_to_table(live(1), "decay", place))
+    one = sort(streams.run_to_table(live(99), "once"))
+    signals = streams.batch_decay(df, cfg, orders)
+    batch = sort(signals)
+    pd.testing.assert_frame_equal(five, batch)
+    pd.testing.assert_frame_equal(one, batch)
+    log = streams.pause_log(signals).toPandas()
+    assert len(log) > 0 and (log["duration"] >= cfg.min_pause).all() and (log["entered"] < log["exited"]).all()
+    assert set(log["ended_by"]) == {"manual" if mode == "manual" else "resume"}
+    summary = {r["symbol"]: r for r in streams.pause_summary(signals).collect()}
+    assert sum(r["pauses"] for r in summary.values()) == len(log)
+    assert sum(r["refused"] for r in summary.values()) + (mode == "manual") * len(log) == len(given)
+
+
+def test_decay_series_is_silent_in_warm_up(spark):
+    df, _ = shifted_returns(spark)
+    cfg = Detector(hazard=1 / 60, window=20, alpha0=2.0, beta0=1e-4)
+    s = streams.decay_series(df, cfg)
+    assert s.filter("n <= 10").agg(F.max("posterior")).first()[0] == 0.0
+    assert s.filter("n > 40 AND n <= 150").agg(F.max("posterior")).first()[0] < 0.5
+    assert s.filter("n BETWEEN 151 AND 165").groupBy("symbol").agg(F.max("posterior").alias("m")).filter("m > 0.9").count() == 2
+    for r in streams.decay_summary(s).collect():
+        assert r["decayed"] and r["first_n"] > 10 and r["max_posterior"] > 0.9
+
+
 def test_late_ticks_are_dropped_from_stream_bars(spark):
     from tapeloom.session import scratch_path
 
