@@ -39,5 +39,14 @@ def counter_hash(a: Column, b: Column, seed: int) -> Column:
     return (x * _C) % m * _D % m
 
 
+COUNTER_RANGE = float(_M)
+
+
+def counter_hash_of(a: int, b, seed: int):
+    """The same for a numpy array of positions."""
+    x = (a * _A + b * _B + seed) % _M
+    return x * _C % _M * _D % _M
+
+
 def counter_uniform(a: Column, b: Column, seed: int) -> Column:
-    return (counter_hash(a, b, seed).cast("double") + 0.5) / float(_M)
+    return (counter_hash(a, b, seed).cast("double") + 0.5) / COUNTER_RANGE

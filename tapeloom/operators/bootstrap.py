@@ -8,12 +8,14 @@ as long as its series: session series are bounded by the calendar.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.hashing import counter_hash, counter_uniform
+from tapeloom.functions.hashing import COUNTER_RANGE, counter_hash, counter_hash_of, counter_uniform
 from tapeloom.operators.inference import (
     EPS, YEAR, autocovariances, long_run_variance, nw_bandwidth, nw_first_lags, profit_factor, with_nw_bandwidth,
 )
@@ -21,19 +23,50 @@ from tapeloom.operators.scan import POS, stored
 from tapeloom.session import cut_lineage
 
 
-def stationary_indices(sizes: DataFrame, keys: Sequence[str], reps: int, block: float, seed: int,
+# A series up to this long is sent to the tasks that draw its replicates; longer ones are joined row by row.
+SERIES_ROWS = 1 << 20
+
+
+def joint_block_length(series: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(keys, block_length, m_hat, M): automatic block length of several columns that are drawn together.
+
+    Each column has its own by the flat-top rule; the longest serves them all.
+    """
+    from tapeloom.operators.inference import block_length
+
+    keys = list(keys)
+    long = series.select(*keys, POS, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in cols])).alias("_s")).select(*keys, POS, "_s.*")
+    each = block_length(long, [*keys, "_column"], "_value")
+    return each.groupBy(*keys).agg(F.max("block_length").alias("block_length"), F.max("m_hat").alias("m_hat"), F.max("M").alias("M"))
+
+
+def _with_block(series: DataFrame, keys: Sequence[str], cols: Sequence[str], block: float | None) -> DataFrame:
+    """(keys, n, _block) per series; ``None`` asks for the automatic block length."""
+    sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if block is not None:
+        if block < 1:
+            raise ValueError("a block has at least one row")
+        return sizes.withColumn("_block", F.lit(float(block)))
+    auto = joint_block_length(series, keys, cols).select(*keys, F.col("block_length").alias("_block"))
+    return sizes.join(auto, list(keys)) if keys else sizes.crossJoin(auto)
+
+
+def stationary_indices(sizes: DataFrame, keys: Sequence[str], reps: int, block: float | None, seed: int,
                        length: int | None = None) -> DataFrame:
     """(keys, rep, t, idx): each replicate restarts with probability 1/block, else the
-    next position modulo n. ``sizes`` has one row (keys, n); ``length`` overrides the
-    replicate length."""
+    next position modulo n. ``sizes`` has one row (keys, n), and ``_block`` where ``block``
+    is None; ``length`` overrides the replicate length."""
     spark = sizes.sparkSession
+    if block is not None:
+        sizes = sizes.withColumn("_block", F.lit(float(block)))
     last = (F.col("n") - 1) if length is None else F.lit(length - 1)
     # One short row per replicate, spread before it is unrolled.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(
-        sizes.select(*keys, "n")).repartition(tasks, *keys, "rep")
+        sizes.select(*keys, "n", "_block")).repartition(tasks, *keys, "rep")
     first = F.filter(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda t: (t == 0) | (
-        counter_uniform(F.col("rep"), t, seed) < 1.0 / block))
+        counter_uniform(F.col("rep"), t, seed) < 1.0 / F.col("_block")))
     g = grid.withColumn("_a", first)
     ends = F.concat(F.slice("_a", F.lit(2), F.size("_a")), F.array((last + 1).cast("long")))
     g = g.withColumn("_b", F.explode(F.arrays_zip(F.col("_a").alias("a"), ends.alias("e")))).select(
@@ -43,16 +76,56 @@ def stationary_indices(sizes: DataFrame, keys: Sequence[str], reps: int, block:
     return g.select(*keys, "n", "rep", "t", F.pmod(F.col("_i0") + F.col("t") - F.col("_t0"), F.col("n")).alias("idx"))
 
 
-def stationary_bootstrap(series: DataFrame, keys: Sequence[str], cols: Sequence[str], reps: int, block: float,
-                         seed: int, length: int | None = None) -> DataFrame:
-    """Replicates (keys, rep, t, cols) of a numbered series; the columns stay paired."""
+def stationary_bootstrap(series: DataFrame, keys: Sequence[str], cols: Sequence[str], reps: int, block: float | None,
+                         seed: int, length: int | None = None, block_of: Sequence[str] | None = None) -> DataFrame:
+    """Replicates (keys, rep, t, cols) of a numbered series; the columns stay paired.
+
+    Without ``block`` each series takes the automatic length of ``block_of`` (default: cols).
+    """
     keys, series = list(keys), stored(series)
-    sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    idx = stationary_indices(sizes, keys, reps, block, seed, length)
+    sizes = _with_block(series, keys, block_of or cols, block)
+    idx = stationary_indices(sizes, keys, reps, None, seed, length)
     values = series.select(*keys, F.col(POS).alias("idx"), *cols)
     return idx.join(values, [*keys, "idx"])
 
 
+def drawn_positions(rep: int, n: int, block: float, seed: int) -> np.ndarray:
+    """Positions of one replicate, the same as ``stationary_indices`` draws; replicate -1 is the series itself."""
+    t = np.arange(n, dtype=np.int64)
+    if rep < 0:
+        return t
+    starts = np.flatnonzero((t == 0) | ((counter_hash_of(rep, t, seed) + 0.5) / COUNTER_RANGE < 1.0 / block))
+    size = np.diff(np.append(starts, n))
+    return (np.repeat(counter_hash_of(rep, starts, seed + 1) % n - starts, size) + t) % n
+
+
+def over_replicates(series: DataFrame, cols: Sequence[str], reps: int, block: float, seed: int,
+                    figures: Callable[..., tuple], schema: str) -> DataFrame:
+    """(rep, figures): ``figures`` of the columns' arrays in every replicate and (rep -1) in the series itself.
+
+    For one series of at most SERIES_ROWS rows, which is sent to the tasks once; the replicates
+    are dealt over them. No replicate is ever a set of rows.
+    """
+    spark = series.sparkSession
+    rows = series.select(POS, *[F.col(c).cast("double") for c in cols]).orderBy(POS).limit(SERIES_ROWS + 1).toPandas()
+    if len(rows) > SERIES_ROWS:
+        raise ValueError(f"a series of more than {SERIES_ROWS} rows")
+    held = spark.sparkContext.broadcast([rows[c].to_numpy() for c in cols])
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrays = held.value
+        n = len(arrays[0])
+        for pdf in batches:
+            out = []
+            for rep in pdf["id"].tolist():
+                at = drawn_positions(rep, n, block, seed)
+                out.append((rep, *figures(*[x[at] for x in arrays])))
+            yield pd.DataFrame(out, columns=["rep", *names])
+
+    return spark.range(-1, reps, 1, spark.sparkContext.defaultParallelism).mapInPandas(run, f"rep long, {schema}")
+
+
 def percentile_ci(stats: DataFrame, keys: Sequence[str], cols: Sequence[str], confidence: float = 0.95) -> DataFrame:
     """Percentile interval over replicates (one row per key and replicate)."""
     a = (1 - confidence) / 2
@@ -61,7 +134,7 @@ def percentile_ci(stats: DataFrame, keys: Sequence[str], cols: Sequence[str], co
 
 
 def metric_ci(series: DataFrame, keys: Sequence[str], cols: Sequence[str], metrics: dict[str, Column], reps: int,
-              block: float, seed: int, confidence: float = 0.95) -> DataFrame:
+              block: float | None, seed: int, confidence: float = 0.95) -> DataFrame:
     """Intervals of aggregates: the same aggregate with ``rep`` in the key, then quantiles."""
     series = stored(series)
     boot = stationary_bootstrap(series, keys, cols, reps, block, seed)
@@ -80,14 +153,70 @@ def path_drawdown(paths: DataFrame, by: Sequence[str], r: str, order: str = "t")
                               F.min("_c").alias("low"))
 
 
-def calmar_ci(series: DataFrame, keys: Sequence[str], r: str, reps: int, block: float, seed: int) -> DataFrame:
+def calmar_ci(series: DataFrame, keys: Sequence[str], r: str, reps: int, block: float | None, seed: int) -> DataFrame:
     boot = stationary_bootstrap(series, keys, [r], reps, block, seed)
     s = path_drawdown(boot, [*keys, "rep"], r)
     c = s.withColumn("calmar", F.when(F.col("max_dd") > 1e-12, F.expm1(F.col("mean") * YEAR) / F.col("max_dd")))
     return percentile_ci(c, keys, ["calmar"])
 
 
-def l_skew_ci(series: DataFrame, keys: Sequence[str], x: str, reps: int, block: float, seed: int) -> DataFrame:
+def _difference_ci(stats: DataFrame, point: DataFrame, block: DataFrame, confidence: float, least: int = 10) -> DataFrame:
+    """Point, interval over the replicates with a figure for both arms (null if fewer than ``least``), and how many those are."""
+    a = (1 - confidence) / 2
+    ok = stats.filter((F.col("arm") - F.col("bench")).isNotNull())
+    enough = F.count(F.lit(1)) >= least
+    ci = ok.agg(F.when(enough, F.percentile(F.col("arm") - F.col("bench"), F.lit(a))).alias("lower"),
+                F.when(enough, F.percentile(F.col("arm") - F.col("bench"), F.lit(1 - a))).alias("upper"), F.count(F.lit(1)).alias("replicates"))
+    return point.select("arm", "bench", (F.col("arm") - F.col("bench")).alias("difference")).crossJoin(ci).crossJoin(block.select("block_length"))
+
+
+def _paired_blocks(paired: DataFrame, arm: str, bench: str, block: float | None) -> DataFrame:
+    if block is None:
+        return cut_lineage(joint_block_length(paired, [], [arm, bench]))
+    return paired.sparkSession.range(1).select(F.lit(float(block)).alias("block_length"))
+
+
+def calmar_difference_ci(paired: DataFrame, arm: str, bench: str, reps: int, seed: int, block: float | None = None,
+                         confidence: float = 0.95) -> DataFrame:
+    """Interval of the difference of two Calmar ratios; both arms are drawn at the same positions.
+
+    ``paired`` is a numbered series of both log-returns; without ``block`` its length is the
+    automatic one of both columns. A replicate without drawdown in an arm has no ratio.
+    """
+    paired = stored(paired)
+    blocks = _paired_blocks(paired, arm, bench, block)
+    both = F.explode(F.array(F.struct(F.lit("arm").alias("_side"), F.col(arm).alias("_r")), F.struct(F.lit("bench").alias("_side"), F.col(bench).alias("_r"))))
+
+    def ratios(rows: DataFrame, by: list[str]) -> DataFrame:
+        s = path_drawdown(rows.select(*by, "t", both.alias("_s")).select(*by, "t", "_s.*"), [*by, "_side"], "_r")
+        ratio = F.when(F.col("max_dd") > 1e-12, F.expm1(F.col("mean") * YEAR) / F.col("max_dd"))
+        return s.groupBy(*by).agg(F.max(F.when(F.col("_side") == "arm", ratio)).alias("arm"), F.max(F.when(F.col("_side") == "bench", ratio)).alias("bench"))
+
+    length = blocks.first()["block_length"]
+    boot = stationary_bootstrap(paired, [], [arm, bench], reps, length, seed)
+    point = ratios(paired.withColumn("t", F.col(POS)).withColumn("_one", F.lit(0)), ["_one"])
+    return _difference_ci(ratios(boot, ["rep"]), point, blocks, confidence)
+
+
+def profit_factor_difference_ci(paired: DataFrame, arm: str, bench: str, reps: int, seed: int, block: float | None = None,
+                                confidence: float = 0.95) -> DataFrame:
+    """Interval of the difference of two profit factors of P&L per session, drawn at the same positions.
+
+    A replicate in which an arm never wins or never loses has no figure and is left out.
+    """
+    paired = stored(paired)
+    blocks = _paired_blocks(paired, arm, bench, block)
+
+    def factor(c: str) -> Column:
+        won, lost = F.sum(F.greatest(F.col(c), F.lit(0.0))), F.sum(F.greatest(-F.col(c), F.lit(0.0)))
+        return F.when((won > 0) & (lost > 0), won / lost)
+
+    boot = stationary_bootstrap(paired, [], [arm, bench], reps, blocks.first()["block_length"], seed)
+    stats = boot.groupBy("rep").agg(factor(arm).alias("arm"), factor(bench).alias("bench"))
+    return _difference_ci(stats, paired.agg(factor(arm).alias("arm"), factor(bench).alias("bench")), blocks, confidence)
+
+
+def l_skew_ci(series: DataFrame, keys: Sequence[str], x: str, reps: int, block: float | None, seed: int) -> DataFrame:
     """Interval of L-skewness; ranks are taken inside each replicate."""
     boot = stationary_bootstrap(series, keys, [x], reps, block, seed)
     w = Window.partitionBy(*keys, "rep").orderBy(x)
@@ -144,30 +273,75 @@ def _delta_se(d: DataFrame, by: Sequence[str], a: str, b: str, bandwidth: int |
     return keep.join(se, by, "left") if by else keep.crossJoin(se)
 
 
-def sharpe_difference_ci(paired: DataFrame, a: str, b: str, reps: int, block: float, seed: int, alpha: float = 0.05,
+def _sharpe_difference(a: np.ndarray, b: np.ndarray, bandwidth: int | None) -> tuple:
+    """Sharpe difference of two arrays, its HAC error and the bandwidth; nulls where one has no variance.
+
+    The same figures as ``_delta_se`` gives for rows.
+    """
+    n = len(a)
+    ma, mb, ga, gb = a.mean(), b.mean(), (a * a).mean(), (b * b).mean()
+    va, vb = ga - ma * ma, gb - mb * mb
+
+    def lags(x: np.ndarray, upto: int) -> np.ndarray:
+        c = x - x.mean()
+        return np.array([c[k:] @ c[:n - k] for k in range(min(upto, n - 1) + 1)]) / n
+
+    if bandwidth is None:
+        g = lags(a - b, nw_first_lags(n))
+        k = np.arange(1, len(g))
+        s0, s1 = g[0] + 2 * g[1:].sum(), 2 * (k * g[1:]).sum()
+        raw = 0.0 if abs(s0) < EPS else 1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)
+        bandwidth = int(max(0, min(round(raw), n - 1)))
+    if not (va > 0 and vb > 0):
+        return None, None, bandwidth
+    a3, b3 = va**1.5, vb**1.5
+    g = lags(ga / a3 * a - ma / (2 * a3) * a * a - gb / b3 * b + mb / (2 * b3) * b * b, bandwidth)
+    k = np.arange(1, len(g))
+    variance = max(g[0] + 2 * ((1 - k / (bandwidth + 1)) * g[1:]).sum(), 0.0)
+    return ma / math.sqrt(va) - mb / math.sqrt(vb), math.sqrt(max(variance, EPS)), bandwidth
+
+
+def sharpe_difference_ci(paired: DataFrame, a: str, b: str, reps: int, block: float | None, seed: int, alpha: float = 0.05,
                          bandwidth: int | None = None, per_replicate: bool = True) -> DataFrame:
     """Studentised interval of the Sharpe difference (Ledoit and Wolf 2008).
 
-    ``paired`` is a numbered series of both returns. A replicate without variance
-    counts as t = 0 and is reported.
+    ``paired`` is a numbered series of both returns. Without ``block`` its length is the
+    automatic one of the difference. A replicate without variance counts as t = 0 and is
+    reported. Series up to SERIES_ROWS are drawn inside the tasks; longer ones, of which a
+    task could hold no replicate, as rows.
     """
     paired = stored(paired)
     n = paired.count()
-    point = _delta_se(paired, [], a, b, bandwidth, n)
-    p = point.select(F.col("_delta").alias("point"), F.col("_se").alias("se"), F.col("_bw").alias("bandwidth"))
-    fixed = bandwidth if per_replicate or bandwidth is not None else p.first()["bandwidth"]
-    boot = cut_lineage(stationary_bootstrap(paired, [], [a, b], reps, block, seed).withColumn(POS, F.col("t")))
-    s = _delta_se(boot, ["rep"], a, b, fixed, n).crossJoin(F.broadcast(p))
+    auto = block is None
+    if auto:
+        block = joint_block_length(paired.select(POS, (F.col(a) - F.col(b)).alias("_d")), [], ["_d"]).first()["block_length"]
+    if n <= SERIES_ROWS:
+        def figures(width):
+            return lambda x, y: _sharpe_difference(x, y, width)
+
+        schema = "_delta double, _se double, _bw int"
+        if bandwidth is None and not per_replicate:
+            bandwidth = over_replicates(paired, [a, b], 0, block, seed, figures(None), schema).first()["_bw"]
+        each = cut_lineage(over_replicates(paired, [a, b], reps, block, seed, figures(bandwidth), schema))
+        point, s = each.filter("rep < 0"), each.filter("rep >= 0")
+        p = point.select(F.col("_delta").alias("point"), F.col("_se").alias("se"), F.col("_bw").alias("bandwidth"))
+    else:
+        point = _delta_se(paired, [], a, b, bandwidth, n)
+        p = point.select(F.col("_delta").alias("point"), F.col("_se").alias("se"), F.col("_bw").alias("bandwidth"))
+        fixed = bandwidth if per_replicate or bandwidth is not None else p.first()["bandwidth"]
+        boot = cut_lineage(stationary_bootstrap(paired, [], [a, b], reps, block, seed).withColumn(POS, F.col("t")))
+        s = _delta_se(boot, ["rep"], a, b, fixed, n)
+    s = s.crossJoin(F.broadcast(p))
     t = F.coalesce(math.sqrt(n) * (F.col("_delta") - F.col("point")) / F.col("_se"), F.lit(0.0))
     q = s.agg(F.percentile(t, F.lit(alpha / 2)).alias("q_lo"), F.percentile(t, F.lit(1 - alpha / 2)).alias("q_hi"),
               F.count_if(F.col("_se").isNull()).alias("degenerate"))
     unit = F.col("se") / math.sqrt(n)
-    return p.crossJoin(q).select(
-        "point", "se", "bandwidth", (F.col("point") - F.col("q_hi") * unit).alias("lower"),
-        (F.col("point") - F.col("q_lo") * unit).alias("upper"), "degenerate")
+    out = ["point", "se", "bandwidth", (F.col("point") - F.col("q_hi") * unit).alias("lower"),
+           (F.col("point") - F.col("q_lo") * unit).alias("upper"), "degenerate"]
+    return p.crossJoin(q).select(*out, *([F.lit(float(block)).alias("block_length")] if auto else []))
 
 
-def spa_test(panel: DataFrame, strategies: Sequence[str], reps: int, block: float, seed: int,
+def spa_test(panel: DataFrame, strategies: Sequence[str], reps: int, block: float | None, seed: int,
              omega: str = "bootstrap") -> DataFrame:
     """Superior predictive ability (Hansen 2005): statistic and the l/c/u p-values.
 

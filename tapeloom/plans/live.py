@@ -144,9 +144,16 @@ def pause_sql(cfg):
 TOLD = {True: "day(session) = 15", False: "false"}
 
 
+def once(sql, *names):
+    """Have DuckDB compute these fragments once, not in every round of a recursion."""
+    for n in names:
+        sql = sql.replace(f"{n} AS (", f"{n} AS MATERIALIZED (")
+    return sql
+
+
 def signals_sql(cfg, told=False):
-    return cte("returns", num=f"""SELECT symbol, session, ret, row_number() OVER (PARTITION BY symbol ORDER BY session) AS n,
-  {TOLD[told]} AS told FROM returns""") + "," + pause_sql(cfg)
+    return once(cte("returns", num=f"""SELECT symbol, session, ret, row_number() OVER (PARTITION BY symbol ORDER BY session) AS n,
+  {TOLD[told]} AS told FROM returns"""), "num") + "," + pause_sql(cfg)
 
 
 def session_returns(spark, sf):
@@ -179,9 +186,9 @@ def w6_batch(spark, sf):
 
 @query("w6_stream_manual_resume", signals_sql(BY_HAND, True) + SIGNALS, f8=DECAY_F8, dt="session entered", digits=5)
 def w6_manual(spark, sf):
-    """Signals where only a second stream of operators' orders ends a pause."""
+    """Signals where only a second stream of operators' orders ends a pause; the orders come first and wait for their sessions."""
     r = stored(session_returns(spark, sf))
-    return st.run_to_table(st.stream_decay(by_year(r, "returns"), BY_HAND, by_year(orders_of(r), "orders")), "by-hand")
+    return st.run_to_table(st.stream_decay(by_year(r, "returns"), BY_HAND, st.frame_stream(orders_of(r), "orders")), "by-hand")
 
 
 @query("w6_pause_log", signals_sql(BY_HAND, True) + """
@@ -200,7 +207,7 @@ def w6_summary(spark, sf):
     return st.pause_summary(st.batch_decay(session_returns(spark, sf), DECAY))
 
 
-NUM_SQL = cte("returns", num="SELECT symbol, session, ret, row_number() OVER (PARTITION BY symbol ORDER BY session) AS n FROM returns")
+NUM_SQL = once(cte("returns", num="SELECT symbol, session, ret, row_number() OVER (PARTITION BY symbol ORDER BY session) AS n FROM returns"), "num")
 
 
 @query("w6_decay_summary", NUM_SQL + "," + series_sql("num", "ret", DECAY) + f""",
@@ -239,12 +246,12 @@ def w8(spark, sf):
 
 
 _D = STEPS.detector
-LADDER_SQL = cte("returns", num=f"""SELECT symbol, session, row_number() OVER w AS k, avg(ln(1 + ret)) OVER (w ROWS {STEPS.mppm_window - 1} PRECEDING) * 252 AS v,
+LADDER_SQL = once(cte("returns", num=f"""SELECT symbol, session, row_number() OVER w AS k, avg(ln(1 + ret)) OVER (w ROWS {STEPS.mppm_window - 1} PRECEDING) * 252 AS v,
     min(ret) OVER (w ROWS {STEPS.mppm_window - 1} PRECEDING) AS least FROM returns WINDOW w AS (PARTITION BY symbol ORDER BY session)""",
-  path=f"SELECT symbol, k, v, row_number() OVER (PARTITION BY symbol ORDER BY k) AS n FROM num WHERE k >= {STEPS.mppm_window} AND least > -1") + "," + series_sql(
+  path=f"SELECT symbol, k, v, row_number() OVER (PARTITION BY symbol ORDER BY k) AS n FROM num WHERE k >= {STEPS.mppm_window} AND least > -1"), "num", "path") + "," + series_sql(
   "path", "v", _D) + f""",
   bad AS (SELECT symbol, min(k) AS first_bad FROM ds JOIN path USING (symbol, n) WHERE n > {_D.window // 2} AND mass > {_D.threshold} GROUP BY 1),
-  due AS (SELECT symbol, session, k, k // {STEPS.every} AS turn, (SELECT count(*) FROM path p WHERE p.symbol = num.symbol AND p.k <= num.k) < {_D.window} AS warm,
+  due AS MATERIALIZED (SELECT symbol, session, k, k // {STEPS.every} AS turn, (SELECT count(*) FROM path p WHERE p.symbol = num.symbol AND p.k <= num.k) < {_D.window} AS warm,
     coalesce(k >= first_bad, false) AS decayed FROM num LEFT JOIN bad USING (symbol) WHERE k % {STEPS.every} = 0),
   st(symbol, turn, session, idx, action) AS (SELECT DISTINCT symbol, 0::BIGINT, NULL::DATE, {STEPS.grid.index(STEPS.start)}, '' FROM num
     UNION ALL SELECT d.symbol, d.turn, d.session, CASE WHEN warm THEN idx WHEN decayed THEN greatest(idx - 1, 0) ELSE least(idx + 1, {len(STEPS.grid) - 1}) END,

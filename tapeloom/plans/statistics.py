@@ -165,17 +165,22 @@ def q9(spark, sf):
     return inf.ks_two_sample(d, ["l_discount", "l_extendedprice", "l_quantity"], third)
 
 
-@query("q10_block_length", SER + "," + acov_sql("num", "symbol", "ret", 80) + """,
-  th AS (SELECT symbol, n, greatest(5, ceil(sqrt(log10(greatest(n, 10))))) AS kn, 2 * sqrt(log10(greatest(n, 10)) / n) AS th FROM ac WHERE k = 0),
+def block_sql(key):
+    """CTE fragments over ac: bl holds (key, n, m_hat, M, block_length) by the flat-top rule."""
+    return f"""
+  th AS (SELECT {key}, n, greatest(5, ceil(sqrt(log10(greatest(n, 10))))) AS kn, 2 * sqrt(log10(greatest(n, 10)) / n) AS th FROM ac WHERE k = 0),
   km AS (SELECT *, least(greatest(least(n - 1, ceil(sqrt(n)) + 2 * kn), kn + 1), n - 1) AS km FROM th),
-  rh AS (SELECT ac.symbol, k, g, abs(g / first_value(g) OVER (PARTITION BY ac.symbol ORDER BY k)) >= th AS big, kn, km FROM ac JOIN km USING (symbol)),
-  qm AS (SELECT a.symbol, a.k AS m FROM rh a WHERE a.k <= a.km - a.kn - 1 AND NOT EXISTS (SELECT 1 FROM rh b WHERE b.symbol = a.symbol AND b.big AND b.k BETWEEN a.k + 1 AND a.k + a.kn)),
-  mh AS (SELECT km.symbol, km.n, km.km, coalesce((SELECT min(m) FROM qm WHERE qm.symbol = km.symbol), (SELECT max(k) FROM rh WHERE rh.symbol = km.symbol AND big AND k >= 1 AND k <= rh.km), 0) AS m_hat FROM km),
+  rh AS (SELECT ac.{key}, k, g, abs(g / first_value(g) OVER (PARTITION BY ac.{key} ORDER BY k)) >= th AS big, kn, km FROM ac JOIN km USING ({key})),
+  qm AS (SELECT a.{key}, a.k AS m FROM rh a WHERE a.k <= a.km - a.kn - 1 AND NOT EXISTS (SELECT 1 FROM rh b WHERE b.{key} = a.{key} AND b.big AND b.k BETWEEN a.k + 1 AND a.k + a.kn)),
+  mh AS (SELECT km.{key}, km.n, km.km, coalesce((SELECT min(m) FROM qm WHERE qm.{key} = km.{key}), (SELECT max(k) FROM rh WHERE rh.{key} = km.{key} AND big AND k >= 1 AND k <= rh.km), 0) AS m_hat FROM km),
   mm AS (SELECT *, CAST(least(greatest(2 * m_hat, 2), km) AS BIGINT) AS "M" FROM mh),
-  gg AS (SELECT mm.symbol, mm.n, m_hat, "M", sum(CASE WHEN k = 0 THEN g WHEN k <= "M" THEN 2 * least(1, 2 * (1 - k / "M"::DOUBLE)) * g ELSE 0 END) AS g0,
-    sum(CASE WHEN k BETWEEN 1 AND "M" THEN 2 * least(1, 2 * (1 - k / "M"::DOUBLE)) * k * g ELSE 0 END) AS gk FROM mm JOIN ac ON ac.symbol = mm.symbol GROUP BY 1, 2, 3, 4)
-SELECT symbol, n, m_hat, "M", CASE WHEN 2 * g0 * g0 <= 2.220446049250313e-16 OR gk <= 0 THEN 1 ELSE greatest(1, least(pow(2 * gk * gk / (2 * g0 * g0), 1 / 3.0::DOUBLE) * pow(n, 1 / 3.0::DOUBLE), n)) END AS block_length FROM gg""",
-       f8="block_length", i8="m_hat")
+  gg AS (SELECT mm.{key}, mm.n, m_hat, "M", sum(CASE WHEN k = 0 THEN g WHEN k <= "M" THEN 2 * least(1, 2 * (1 - k / "M"::DOUBLE)) * g ELSE 0 END) AS g0,
+    sum(CASE WHEN k BETWEEN 1 AND "M" THEN 2 * least(1, 2 * (1 - k / "M"::DOUBLE)) * k * g ELSE 0 END) AS gk FROM mm JOIN ac ON ac.{key} = mm.{key} GROUP BY 1, 2, 3, 4),
+  bl AS (SELECT {key}, n, m_hat, "M", CASE WHEN 2 * g0 * g0 <= 2.220446049250313e-16 OR gk <= 0 THEN 1
+    ELSE greatest(1, least(pow(2 * gk * gk / (2 * g0 * g0), 1 / 3.0::DOUBLE) * pow(n, 1 / 3.0::DOUBLE), n)) END AS block_length FROM gg)"""
+
+
+@query("q10_block_length", SER + "," + acov_sql("num", "symbol", "ret", 80) + "," + block_sql("symbol") + " SELECT * FROM bl", f8="block_length", i8="m_hat")
 def q10(spark, sf):
     return inf.block_length(numbered(spark, sf), K, "ret")
 
@@ -234,27 +239,94 @@ def paired(spark, sf):
     return number_rows(d, [], ["session"], chunk=F.trunc("session", "year"))
 
 
+# The automatic block of both columns of a pair: each column's own, then the longest.
+STACK = """
+  sk AS (SELECT name, pos, value FROM (UNPIVOT num ON a, b INTO NAME name VALUE value)),""" + acov_sql("sk", "name", "value", 80) + "," + block_sql("name") + """,
+  jb AS (SELECT max(block_length) AS block_length, max(m_hat) AS m_hat, max("M") AS "M" FROM bl)"""
+
+
+@query("q10_block_length_joint", PAIR_SQL + "," + STACK + "SELECT * FROM jb", f8="block_length", i8="m_hat")
+def q10_joint(spark, sf):
+    return bs.joint_block_length(paired(spark, sf), [], ["a", "b"])
+
+
+PNL_PAIR_SQL = PAIR_SQL.replace("max(ret)", "max(pnl)")
+
+
+def paired_pnl(spark, sf):
+    d = returns(spark, sf).filter(F.col("symbol").isin("AF", "NF")).groupBy("session").agg(
+        F.max(F.when(F.col("symbol") == "AF", F.col("pnl"))).alias("a"),
+        F.max(F.when(F.col("symbol") == "NF", F.col("pnl"))).alias("b"), F.count(F.lit(1)).alias("_k")).filter("_k = 2").drop("_k")
+    return number_rows(d, [], ["session"], chunk=F.trunc("session", "year"))
+
+
+AUTO = "(SELECT block_length FROM jb)"
+_ENDS = """CASE WHEN count(*) >= 10 THEN quantile_cont(st.arm - st.bench, 0.025) END AS lower, CASE WHEN count(*) >= 10 THEN quantile_cont(st.arm - st.bench, 0.975) END AS upper,
+  count(*) AS replicates, any_value(jb.block_length) AS block_length FROM st, pt, jb WHERE st.arm - st.bench IS NOT NULL"""
+
+
+def _calmar(c, src, part, order):
+    return f"""(SELECT {part}, CASE WHEN max(d) > 1e-12 THEN (exp(avg({c}) * 252) - 1) / max(d) END AS v FROM (SELECT *, 1 - exp(cum - greatest(0, max(cum) OVER w)) AS d
+      FROM (SELECT *, sum({c}) OVER (PARTITION BY {part} ORDER BY {order}) AS cum FROM {src}) WINDOW w AS (PARTITION BY {part} ORDER BY {order})) GROUP BY 1)"""
+
+
+@query("q12_calmar_difference", PAIR_SQL + "," + STACK + "," + boot_sql("num", "", ["a", "b"], REPS, AUTO, 23) + f""",
+  one AS (SELECT *, 0 AS rep FROM num),
+  st AS (SELECT x.v AS arm, y.v AS bench FROM {_calmar('a', 'bt', 'rep', 't')} x JOIN {_calmar('b', 'bt', 'rep', 't')} y USING (rep)),
+  pt AS (SELECT x.v AS arm, y.v AS bench FROM {_calmar('a', 'one', 'rep', 'pos')} x JOIN {_calmar('b', 'one', 'rep', 'pos')} y USING (rep))
+SELECT any_value(pt.arm) AS arm, any_value(pt.bench) AS bench, any_value(pt.arm - pt.bench) AS difference, {_ENDS}""",
+       f8="arm bench difference lower upper block_length", digits=5)
+def q12_calmar_difference(spark, sf):
+    """Calmar ratio of one arm less the other's, with its interval at the joint automatic block length."""
+    return bs.calmar_difference_ci(paired(spark, sf), "a", "b", REPS, 23)
+
+
+_PF = "CASE WHEN sum(greatest({c}, 0)) > 0 AND sum(greatest(-{c}, 0)) > 0 THEN sum(greatest({c}, 0)) / sum(greatest(-{c}, 0)) END"
+
+
+@query("q12_profit_factor_difference", PNL_PAIR_SQL + "," + STACK + "," + boot_sql("num", "", ["a", "b"], REPS, AUTO, 29) + f""",
+  st AS (SELECT {_PF.format(c='a')} AS arm, {_PF.format(c='b')} AS bench FROM bt GROUP BY rep),
+  pt AS (SELECT {_PF.format(c='a')} AS arm, {_PF.format(c='b')} AS bench FROM num)
+SELECT any_value(pt.arm) AS arm, any_value(pt.bench) AS bench, any_value(pt.arm - pt.bench) AS difference, {_ENDS}""",
+       f8="arm bench difference lower upper block_length")
+def q12_profit_factor_difference(spark, sf):
+    """Profit factor per session of one arm less the other's, with its interval."""
+    return bs.profit_factor_difference_ci(paired_pnl(spark, sf), "a", "b", REPS, 29)
+
+
 LW_LAGS = 40
 
 
-@query("q13_sharpe_difference_ci", PAIR_SQL + "," + boot_sql("num", "", ["a", "b"], 50, 5, 13) + f""",
+def studentised_sql():
+    """CTE fragments over num and bt: pt holds the point, tt the studentised replicates."""
+    return f""",
   al AS (SELECT rep, t AS pos, a, b FROM bt UNION ALL SELECT -1, pos, a, b FROM num),
   mo AS (SELECT rep, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(a * a) AS ga, avg(b * b) AS gb FROM al GROUP BY 1),
   gd AS (SELECT *, ma / sqrt(ga - ma * ma) - mb / sqrt(gb - mb * mb) AS delta, pow(ga - ma * ma, 1.5) AS a3, pow(gb - mb * mb, 1.5) AS b3 FROM mo),
   zz AS (SELECT rep, pos, a - b AS d, ga / a3 * a - ma / (2 * a3) * a * a - gb / b3 * b + mb / (2 * b3) * b * b AS z FROM al JOIN gd USING (rep)),
   ce AS (SELECT rep, pos, d - avg(d) OVER (PARTITION BY rep) AS d, z - avg(z) OVER (PARTITION BY rep) AS z, count(*) OVER (PARTITION BY rep) AS n FROM zz),
   gz AS (SELECT x.rep, k, x.n, sum(x.d * y.d) / x.n AS g, sum(x.z * y.z) / x.n AS gz FROM range(0, {LW_LAGS + 1}) AS l(k), ce x JOIN ce y ON x.rep = y.rep AND y.pos = x.pos - k GROUP BY 1, 2, 3),
-  ac AS (SELECT rep, k, n, g FROM gz),""" + NW_SQL.format(k="rep") + f""",
+  a2 AS (SELECT rep, k, n, g FROM gz),""" + NW_SQL.format(k="rep").replace("FROM ac ", "FROM a2 ") + f""",
   se AS (SELECT rep, bw, sqrt(greatest({LRV_OF.format(g='gz', b='bw')}, 2.220446049250313e-16)) AS se FROM gz JOIN bw USING (rep, n) GROUP BY 1, 2),
   pt AS (SELECT delta AS point, se, bw AS bandwidth, n FROM gd JOIN se USING (rep) WHERE rep = -1),
   tt AS (SELECT sqrt(pt.n) * (gd.delta - pt.point) / se.se AS t FROM gd JOIN se USING (rep), pt WHERE gd.rep >= 0),
   qq AS (SELECT quantile_cont(t, 0.025) AS lo, quantile_cont(t, 0.975) AS hi FROM tt)
-SELECT point, se, bandwidth, point - hi * se / sqrt(n) AS lower, point - lo * se / sqrt(n) AS upper, CAST(0 AS BIGINT) AS degenerate FROM pt, qq""",
+SELECT point, se, bandwidth, point - hi * se / sqrt(n) AS lower, point - lo * se / sqrt(n) AS upper, CAST(0 AS BIGINT) AS degenerate"""
+
+
+@query("q13_sharpe_difference_ci", PAIR_SQL + "," + boot_sql("num", "", ["a", "b"], 50, 5, 13) + studentised_sql() + " FROM pt, qq",
        f8="point se lower upper", i8="bandwidth")
 def q13(spark, sf):
     return bs.sharpe_difference_ci(paired(spark, sf), "a", "b", 50, 5.0, 13)
 
 
+@query("q13_auto_block", PAIR_SQL + ", df AS (SELECT 'd' AS name, pos, a - b AS value FROM num)," + acov_sql("df", "name", "value", 80) + "," + block_sql("name") + ", jb AS (SELECT block_length FROM bl)," + boot_sql(
+       "num", "", ["a", "b"], 50, AUTO, 31) + studentised_sql() + ", block_length FROM pt, qq, jb", f8="point se lower upper block_length", i8="bandwidth")
+def q13_auto(spark, sf):
+    """The same interval with the automatic block length of the difference."""
+    return bs.sharpe_difference_ci(paired(spark, sf), "a", "b", 50, None, 31)
+
+
 SYM = ["AF", "AO", "NF", "NO", "RF", "RO"]
 _PIV = ", ".join(f"max(ret) FILTER (WHERE symbol = '{s}') - avg(ret) AS {s}" for s in SYM)
 
