@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.scan import POS, number_rows
+from tapeloom.operators.scan import value_at, value_cells
 
 AXES = ["ax1", "ax2", "ax3", "ax4"]
 # Share of the flow deviation that counts as balanced; quantiles
@@ -30,13 +30,9 @@ class Rule:
 
 
 def nearest_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
-    """Observed values at the nearest rank, by position in a distributed sort."""
-    ranked = number_rows(df.filter(F.col(value).isNotNull()).select(value), [], [value])
-    n = df.agg(F.count(value).alias("_n"))
-    return ranked.crossJoin(F.broadcast(n)).agg(
-        *[F.max(F.when(F.col(POS) == F.floor((F.col("_n") - 1) * p + 0.5), F.col(value))).alias(k)
-          for k, p in probs.items()]
-    )
+    """Observed values at the nearest rank, by place among the value cells."""
+    return value_cells(df.select(value), [], value).agg(
+        *[value_at(F.floor((F.col("_n") - 1) * p + 0.5)).alias(k) for k, p in probs.items()])
 
 
 def axes(rule: Rule) -> dict[str, Column]:

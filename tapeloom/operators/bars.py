@@ -132,8 +132,8 @@ def bin_profile(bars: DataFrame, bin_of: Column, session: Column, r: str = "r")
 def survey_consensus(survey: DataFrame) -> DataFrame:
     """Median, deviation and count of answers by date and indicator.
 
-    The median is a position in a distributed sort, so a date with most of the
-    answers needs no task of its own.
+    The median is a place among counted values, so a date with most of the answers, or
+    one answer that most give, needs no task of its own.
     """
     keys = ["forecast_date", "indicator"]
     ok = survey.filter(F.col("value").isNotNull())

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.numeric import normal_cdf, normal_quantile
-from tapeloom.operators.scan import POS, number_rows, prefix, rolling, stored
+from tapeloom.operators.scan import POS, number_rows, prefix, rolling, stored, value_cells
 
 YEAR = 252
 EPS = 2.220446049250313e-16
@@ -63,22 +63,18 @@ def profit_factor(pnl: str) -> Column:
     return F.when(down > 0, up / down).when(up > 0, F.lit(float("inf"))).otherwise(0.0)
 
 
-def l_moment_sums(x: str, i: Column, n: Column) -> dict[str, Column]:
-    """First probability-weighted moments from the 1-based rank i of n."""
-    w1 = F.try_divide(i - 1, n - 1)
-    w2 = F.try_divide((i - 1) * (i - 2), (n - 1) * (n - 2))
-    v = F.col(x)
-    return {"b0": F.avg(v), "b1": F.avg(v * w1), "b2": F.avg(v * w2)}
-
-
 def l_moments(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """L-moments 1 to 3 and L-skewness, from ranks of a distributed sort."""
-    d = df.filter(F.col(x).isNotNull()).select(*keys, x)
-    ranked = number_rows(d, keys, [x])
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    i = (F.col(POS) + 1).cast("double")
-    m = ranked.join(n, list(keys)).groupBy(*keys, "n").agg(
-        *[c.alias(k) for k, c in l_moment_sums(x, i, F.col("n").cast("double")).items()])
+    """L-moments 1 to 3 and L-skewness from value cells.
+
+    Equal values share one cell; the sums of (i-1) and (i-1)(i-2) over its ranks have closed
+    forms without differences of large numbers.
+    """
+    k, f, n, v = (F.col(c).cast("double") for c in ("_k", "_from", "_n", "_v"))
+    first = k * f + k * (k - 1) / 2
+    second = k * f * (f - 1) + f * k * (k - 1) + k * (k - 1) * (k - 2) / 3
+    m = value_cells(df, keys, x).groupBy(*keys, F.col("_n").alias("n")).agg(
+        (F.sum(v * k) / F.max(n)).alias("b0"), F.try_divide(F.sum(v * first), F.max(n * (n - 1))).alias("b1"),
+        F.try_divide(F.sum(v * second), F.max(n * (n - 1) * (n - 2))).alias("b2"))
     l2 = 2 * F.col("b1") - F.col("b0")
     l3 = F.when(F.col("n") >= 3, 6 * F.col("b2") - 6 * F.col("b1") + F.col("b0"))
     return m.select(*keys, "n", F.col("b0").alias("lambda1"), l2.alias("lambda2"), l3.alias("lambda3"),

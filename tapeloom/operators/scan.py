@@ -270,22 +270,38 @@ def _recurrence(df: DataFrame, keys: list[str], rates: Mapping[str, float], bloc
     return out.drop("_blk", *[f"_{p}_{k}" for p in ("y", "c") for k in rates])
 
 
+def value_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _v, _k, _from, _n): each distinct value, how often it occurs, how many rows of its key
+    are smaller and how many there are; nulls are left out.
+
+    Rows are counted before anything is ordered, so a value that most rows have is one cell,
+    and only cells are range-partitioned. What comes before a task's cells is a sum over tasks.
+    """
+    keys = list(keys)
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    spread = cut_lineage(cells.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = spread.groupBy(*keys, "_part").agg(F.sum("_k").alias("_size"))
+    of_key = Window.partitionBy(*keys)
+    before = of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), F.sum("_size").over(of_key).alias("_n"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    out = spread.join(starts, [*keys, "_part"])
+    return out.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_k").over(inside), F.lit(0))).drop("_part", "_start")
+
+
+def value_at(place: Column) -> Column:
+    """Aggregate over value cells: the value at a 0-based place of the sorted rows."""
+    return F.max(F.when((F.col("_from") <= place) & (place < F.col("_from") + F.col("_k")), F.col("_v")))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    """Linear-interpolated quantiles of each key, by position in a distributed sort."""
-    keys = list(keys)
-    tidy = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    ranked = number_rows(tidy, keys, ["_v"])
-    sizes = tidy.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    at = ranked.join(sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))
+    """Linear-interpolated quantiles of each key, by place among its value cells."""
     last = F.col("_n") - 1
     parts = []
     for name, p in probs.items():
         h = last * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.ceil(h)
-        lo_v = F.max(F.when(F.col(POS) == lo, F.col("_v")))
-        hi_v = F.max(F.when(F.col(POS) == hi, F.col("_v")))
-        parts.append((lo_v + (hi_v - lo_v) * F.max(h - lo)).alias(name))
-    return at.groupBy(*keys).agg(*parts)
+        lo_v, hi_v = value_at(F.floor(h)), value_at(F.ceil(h))
+        parts.append((lo_v + (hi_v - lo_v) * F.max(h - F.floor(h))).alias(name))
+    return value_cells(df, keys, value).groupBy(*keys).agg(*parts)
