@@ -9,11 +9,12 @@ from tapeloom.operators import features as feat
 from tapeloom.operators import inference as inf
 from tapeloom.operators import models, quality, registry, splits
 from tapeloom.operators.metrics import brier_skill, reliability_slope
+from tapeloom.operators.scan import stored
 from tapeloom.plans.inputs import bars, numbered_bars, ticks
 from tapeloom.plans.outcomes import WF_SQL, sessions, wf_segments
 from tapeloom.plans.registry import cte, query
 from tapeloom.plans.resampling import contracts, scores
-from tapeloom.plans.statistics import KS_SQL, ks_input
+from tapeloom.plans.statistics import KS_SQL, H, ks_input
 from tapeloom.plans.windows import ROLL_SQL, W, roll_steps
 from tapeloom.session import load
 
@@ -158,11 +159,39 @@ def model_rows(spark, sf):
     return d.withColumn("block", F.least(F.lit(4), F.greatest(F.lit(0), F.floor(days / 520))).cast("int"))
 
 
-@query("y1_elastic_net")
+CELLS = {f"a{a}_l{l}": (a, l) for a in (0.01, 0.1) for l in (0.0, 0.5)}
+
+
+def _sweep_sql():
+    """The three coefficients after one pass, each from the newest values of the others."""
+    out, new = [], {}
+    for j in (1, 2, 3):
+        others = " - ".join(f"g{min(j, k)}{max(j, k)} * {new.get(k, f'b{k}')}" for k in (1, 2, 3) if k != j)
+        r = f"(c{j} - {others})"
+        out.append(f"SELECT *, sign{r} * greatest(abs({r}) - alpha * l1, 0) / (1 + alpha * (1 - l1)) AS n{j}")
+        new[j] = f"n{j}"
+    return out
+
+
+_N1, _N2, _N3 = _sweep_sql()
+Y1_SQL = f"""WITH RECURSIVE d AS (SELECT l_quantity::DOUBLE AS x1, l_discount::DOUBLE AS x2, l_tax::DOUBLE AS x3, l_extendedprice / 1000 AS y,
+    CAST(least(4, greatest(0, floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 520))) AS INTEGER) AS block FROM lineitem),
+  t AS MATERIALIZED (SELECT f.k, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3, corr(x1, x2) AS g12, corr(x1, x3) AS g13,
+    corr(x2, x3) AS g23, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2, covar_pop(x3, y) / stddev_pop(x3) AS c3
+    FROM range(0, 5) AS f(k) JOIN d ON abs(d.block - f.k) > 1 GROUP BY 1),
+  cl(cell, alpha, l1) AS (VALUES {", ".join(f"('{n}', {a}::DOUBLE, {l}::DOUBLE)" for n, (a, l) in CELLS.items())}),
+  b(cell, k, i, b1, b2, b3) AS (SELECT cell, k, 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM cl, t UNION ALL SELECT cell, k, i + 1, n1, n2, n3 FROM (
+    {_N3} FROM ({_N2} FROM ({_N1} FROM (SELECT b.*, alpha, l1, g12, g13, g23, c1, c2, c3 FROM b JOIN t USING (k) JOIN cl USING (cell) WHERE i < 100))))),
+  e AS (SELECT cell, b.k, avg(pow(y - my - b1 / s1 * (x1 - m1) - b2 / s2 * (x2 - m2) - b3 / s3 * (x3 - m3), 2)) AS mse
+    FROM b JOIN t ON t.k = b.k JOIN d ON d.block = b.k WHERE i = 100 GROUP BY 1, 2),
+  a AS (SELECT cell, avg(mse) AS mse FROM e GROUP BY 1)
+SELECT cell, mse, row_number() OVER (ORDER BY mse, cell) = 1 AS best FROM a"""
+
+
+@query("y1_elastic_net", Y1_SQL, f8="mse")
 def y1(spark, sf):
     """Grid of elastic-net cells scored on purged time blocks."""
-    makers = {f"a{a}_l{l}": (lambda a=a, l=l: models.elastic_net(a, l)) for a in (0.01, 0.1) for l in (0.0, 0.5)}
-    return models.purged_grid_search(model_rows(spark, sf), FEATURES, "y", F.col("block"), 5, makers)[1]
+    return models.elastic_net_grid(model_rows(spark, sf), FEATURES, "y", F.col("block"), 5, CELLS)[1]
 
 
 @query("y2_boosted_trees")
@@ -172,12 +201,41 @@ def y2(spark, sf):
     return models.purged_grid_search(model_rows(spark, sf), FEATURES, "y", F.col("block"), 5, makers)[1]
 
 
-@query("y3_isotonic_calibration")
+# Steps by the largest least mean: over all starts at or before a score, of all ends at or after it.
+ISO_SQL = f"""WITH s AS (SELECT doc_id, least(n_chars / 4000.0, 1.0)::DOUBLE AS p, quality::DOUBLE AS d, CAST(({H('doc_id', '0', 3)}) % 4 AS INTEGER) AS block
+    FROM documents JOIN labels USING (doc_id)),
+  c AS (SELECT f.k, p AS x, count(*) AS n, sum(d) AS s FROM s JOIN range(1, 4) AS f(k) ON s.block < f.k GROUP BY 1, 2),
+  u AS (SELECT k, x, row_number() OVER w AS i, sum(n) OVER w AS w1, sum(s) OVER w AS s1, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0,
+    coalesce(sum(s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM c WINDOW w AS (PARTITION BY k ORDER BY x)),
+  m AS (SELECT a.k, a.i AS a, z.i AS z, min((z.s1 - a.s0) / (z.w1 - a.w0)) OVER (PARTITION BY a.k, a.i ORDER BY z.i DESC) AS least FROM u a JOIN u z ON z.k = a.k AND z.i >= a.i),
+  v AS (SELECT k, x, v FROM u JOIN (SELECT k, z AS i, max(least) AS v FROM m GROUP BY 1, 2) USING (k, i)),
+  q AS (SELECT s.*, (SELECT max(x) FROM v WHERE v.k = s.block AND v.x <= s.p) AS xa, (SELECT min(x) FROM v WHERE v.k = s.block AND v.x >= s.p) AS xz FROM s WHERE block >= 1),
+  cal AS (SELECT q.doc_id, q.p, q.d, q.block, CASE WHEN xa IS NULL THEN vz.v WHEN xz IS NULL OR xa = xz THEN va.v ELSE va.v + (vz.v - va.v) * (q.p - xa) / (xz - xa) END AS calibrated
+    FROM q LEFT JOIN v va ON va.k = q.block AND va.x = q.xa LEFT JOIN v vz ON vz.k = q.block AND vz.x = q.xz)"""
+
+
+def calibrated(spark, sf):
+    s = scores(spark, sf).withColumns({"d": F.col("d").cast("double"), "p": F.col("p").cast("double")})
+    return models.isotonic_out_of_fold(s, "p", "d", (counter_hash(F.col("doc_id"), F.lit(0), 3) % 4).cast("int"), 4)
+
+
+@query("y3_calibrated_scores", ISO_SQL + " SELECT doc_id, block, p, calibrated FROM cal", f8="p calibrated", i8="block")
+def y3_scores(spark, sf):
+    """Every score with its value by the steps of the earlier blocks."""
+    return calibrated(spark, sf).select("doc_id", "block", "p", "calibrated")
+
+
+@query("y3_isotonic_calibration", ISO_SQL + """,
+  cm AS (SELECT avg(d) AS clim FROM cal), two AS (SELECT 'raw' AS score, p AS v, d FROM cal UNION ALL SELECT 'calibrated', calibrated, d FROM cal),
+  br AS (SELECT score, count(*) AS n, avg(pow(v - d, 2)) AS brier, 1 - avg(pow(v - d, 2)) / avg(pow(clim - d, 2)) AS skill FROM two, cm GROUP BY 1),
+  ed AS (SELECT quantile_cont(calibrated, [i / 10.0 for i in range(0, 10)]) AS edges FROM cal),
+  bn AS (SELECT calibrated, d, list_sum([(calibrated >= e)::INT for e in edges]) AS bin FROM cal, ed),
+  gr AS (SELECT bin, avg(calibrated) AS mp, avg(d) AS md FROM bn GROUP BY 1 HAVING count(*) >= 5),
+  sl AS (SELECT CASE WHEN count(*) >= 3 THEN regr_slope(md, mp) END AS slope, count(*) AS bins FROM gr)
+SELECT * FROM br, sl""", f8="brier skill slope", digits=5)
 def y3(spark, sf):
     """Brier score and reliability of scores calibrated on earlier blocks only."""
-    s = scores(spark, sf).withColumn("d", F.col("d").cast("double"))
-    block = (counter_hash(F.col("doc_id"), F.lit(0), 3) % 4).cast("int")
-    cal = models.isotonic_out_of_fold(s, "p", "d", block, 4)
+    cal = stored(calibrated(spark, sf))
     raw = brier_skill(cal, [], "p", "d").select(F.lit("raw").alias("score"), "n", "brier", "skill")
     new = brier_skill(cal, [], "calibrated", "d").select(F.lit("calibrated").alias("score"), "n", "brier", "skill")
     return raw.unionByName(new).crossJoin(reliability_slope(cal, "calibrated", "d", 10))
