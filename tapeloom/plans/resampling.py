@@ -218,13 +218,31 @@ def d16_cells(spark, sf):
     return archetypes.cell_counts(m, archetypes.fit_thresholds(m))
 
 
-@query("d16_archetype_rule")
+# The merging of cells: l lists the groups left (size, first cell, members); the smallest joins the nearest group of
+# 44 rows or more, or the largest group where none has that many, until seven are left.
+RULE_SQL = ARCH_SQL.replace("WITH m AS", "WITH RECURSIVE m AS") + """,
+cn AS MATERIALIZED (SELECT concat(ax1, ax2, ax3, ax4) AS c, count(*) AS n FROM cells GROUP BY 1),
+mg(l) AS (SELECT list_sort(list({'n': n, 'c': c, 'm': [c]})) FROM cn
+  UNION ALL SELECT list_sort(list_transform(l[2:len(l)], lambda e: CASE WHEN e.c = t
+      THEN {'n': e.n + l[1].n, 'c': e.c, 'm': list_concat(e.m, l[1].m)} ELSE e END)) FROM (
+    SELECT l, coalesce(list_sort(list_transform(list_filter(l[2:len(l)], lambda e: e.n >= 44),
+        lambda e: {'h': hamming(e.c, l[1].c), 'n': -e.n, 'c': e.c}))[1].c,
+      list_sort(list_transform(l[2:len(l)], lambda e: {'n': -e.n, 'c': e.c}))[1].c) AS t FROM mg WHERE len(l) > 7)),
+gp AS (SELECT row_number() OVER (ORDER BY e.c) - 1 AS archetype, unnest(e.m) AS c FROM (SELECT unnest(l) AS e FROM mg WHERE len(l) = 7)),
+al AS (SELECT a.v AS ax1, b.v AS ax2, d.v AS ax3, e.v AS ax4, concat(a.v, b.v, d.v, e.v) AS c FROM range(0, 2) AS a(v), range(0, 3) AS b(v), range(0, 2) AS d(v), range(0, 3) AS e(v)),
+rt AS (SELECT ax1, ax2, ax3, ax4, archetype, gp.c = al.c AS seen FROM al, gp
+  QUALIFY row_number() OVER (PARTITION BY al.c ORDER BY hamming(al.c, gp.c), gp.c) = 1)
+"""
+
+
+@query("d16_archetype_rule", RULE_SQL + "SELECT * FROM rt")
 def d16(spark, sf):
     """Cells after merging down to seven archetypes."""
     return archetypes.rule_table(spark, archetypes.fit_archetypes(mediators(spark, sf), 7))
 
 
-@query("d17_archetype_apply")
+@query("d17_archetype_apply", RULE_SQL + """
+SELECT archetype, count(*) AS n, avg(m_ret) AS mean_ret FROM cells JOIN rt USING (ax1, ax2, ax3, ax4) GROUP BY 1""", f8="mean_ret")
 def d17(spark, sf):
     m = mediators(spark, sf)
     hit = archetypes.apply_archetypes(m, archetypes.fit_archetypes(m, 7))
