@@ -52,13 +52,17 @@ def w4(spark, sf):
 
 
 @query("w5_stream_static_windows", """
-SELECT t.event_id, r.event_id AS release_id FROM events t JOIN events r ON r.event_type = 'signup' AND r.value > 150 AND t.event_type <> 'signup'
-  AND t.ts BETWEEN r.ts - INTERVAL 15 MINUTE AND r.ts + INTERVAL 15 MINUTE""")
+WITH l AS (SELECT event_id, ts FROM events WHERE event_type <> 'signup'), r AS (SELECT event_id AS release_id, ts AS rts FROM events WHERE event_type = 'signup'),
+  b AS (SELECT l.*, release_id AS b_id, rts AS b_ts FROM l ASOF LEFT JOIN r ON l.ts >= r.rts), f AS (SELECT b.*, release_id AS f_id, rts AS f_ts FROM b ASOF LEFT JOIN r ON b.ts <= r.rts),
+  d AS (SELECT *, epoch_us(ts) - epoch_us(b_ts) AS db, epoch_us(f_ts) - epoch_us(ts) AS df FROM f),
+  n AS (SELECT event_id, CASE WHEN df IS NULL OR db <= df THEN b_id ELSE f_id END AS release_id, least(db, df) AS distance_us FROM d WHERE least(db, df) <= 900000000)
+SELECT n.*, (SELECT count(*) FROM r WHERE rts BETWEEN l.ts - INTERVAL 15 MINUTE AND l.ts + INTERVAL 15 MINUTE) AS n_releases FROM n JOIN l USING (event_id)""")
 def w5(spark, sf):
-    rel = load(spark, sf, "events").filter("event_type = 'signup' AND value > 150").select(
+    """Ticks of a stream near a release: the nearest one, its distance and the number of releases around."""
+    rel = load(spark, sf, "events").filter("event_type = 'signup'").select(
         F.col("event_id").alias("release_id"), F.col("ts").alias("release_ts"))
-    return st.stream_table(spark, sf, "events", lambda e: st.stream_static_windows(
-        e.filter("event_type <> 'signup'").select("event_id", "ts"), rel, 15).select("event_id", "release_id"), "windows")
+    ticks = st.table_stream(spark, sf, "events").filter("event_type <> 'signup'").select("event_id", "ts")
+    return st.run_each_batch(ticks, "windows", st.nearest_releases(ticks, rel, 15))
 
 
 @query("w5_stream_interval_join", """

@@ -210,12 +210,14 @@ def a13_same(spark, sf):
 
 
 @query("a14_instrument_dimension", cte("ticks") + """
-SELECT symbol, count(*) AS n, sum(size) * 12.5 AS notional, 0.25 AS tick_size FROM ticks WHERE symbol <> 'error' GROUP BY 1""", f8="notional tick_size")
+SELECT symbol, count(*) AS n, CASE WHEN symbol <> 'error' THEN sum(size) * 12.5 END AS notional, CASE WHEN symbol <> 'error' THEN 0.25 END AS tick_size,
+  symbol <> 'error' AS listed FROM ticks GROUP BY 1""", f8="notional tick_size")
 def a14(spark, sf):
+    """Ticks and notional of every symbol; one that the dimension lacks keeps its ticks and is marked."""
     path = scratch_path(spark, "instruments")
     spark.createDataFrame([(s, 0.25, 12.5, 50.0, "RTH", "volume", 2.0) for s in ("click", "purchase", "signup", "view")],
                           files.INSTRUMENT).write.json(path)
     dim = files.load_instruments(spark, path)
-    return ticks(spark, sf).join(dim, "symbol").groupBy("symbol", "tick_size", "tick_value").agg(
+    return ticks(spark, sf).join(dim, "symbol", "left").groupBy("symbol", "tick_size", "tick_value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("_s")).select(
-        "symbol", "n", (F.col("_s") * F.col("tick_value")).alias("notional"), "tick_size")
+        "symbol", "n", (F.col("_s") * F.col("tick_value")).alias("notional"), "tick_size", F.col("tick_value").isNotNull().alias("listed"))

@@ -7,7 +7,7 @@ continues where the last micro-batch ended.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tapeloom.operators.joins import band_counts, nearest_within
 from tapeloom.operators.scan import stored
 from tapeloom.session import load, scratch_path
 from tapeloom.streaming.state import (
@@ -102,19 +103,45 @@ def stream_distinct(events: DataFrame, keys: list[str], delay: str) -> DataFrame
 
 # --- joins -----------------------------------------------------------------------
 
-def stream_static_windows(ticks: DataFrame, releases: DataFrame, minutes: int) -> DataFrame:
-    """Stream rows inside the window of a static release.
+def nearest_releases(ticks: DataFrame, releases: DataFrame, minutes: int) -> Callable[[DataFrame], DataFrame]:
+    """What a micro-batch of ticks (event_id, ts) becomes: each with the nearest release (release_id, release_ts)
+    at most ``minutes`` away, the earlier of two equally near, and how many there are in its window.
 
-    Windows are laid over hours, so the join has an equality and no tick meets
-    every release.
+    Only the last release before and the first one after can be nearest, and a count is a difference
+    of running counts, so a tick never meets all releases. Of the releases only those around the
+    batch's own time are read.
     """
-    w = minutes * 60_000_000
-    hour = 3_600_000_000
-    us = F.unix_micros("release_ts")
-    spans = releases.withColumn("_h", F.explode(F.sequence(F.floor((us - w) / hour), F.floor((us + w) / hour))))
-    t = F.unix_micros("ts")
-    return ticks.withColumn("_h", F.floor(t / hour)).join(spans, "_h").filter(
-        F.abs(t - F.unix_micros("release_ts")) <= w).drop("_h")
+    us = minutes * 60_000_000
+    gap = F.expr(f"INTERVAL {minutes} MINUTES")
+
+    def of_batch(batch: DataFrame) -> DataFrame:
+        batch = stored(batch.select(*ticks.columns))
+        span = batch.agg((F.min("ts") - gap).alias("_from"), (F.max("ts") + gap).alias("_to"))
+        near = releases.crossJoin(F.broadcast(span)).filter(F.col("release_ts").between(F.col("_from"), F.col("_to"))).select(
+            F.col("release_ts").alias("ts"), "release_id")
+        near = stored(near)
+        hit = nearest_within(batch, near, [], "ts", "event_id", ["release_id"], us).filter(F.col("release_id").isNotNull())
+        counts = band_counts(batch, near.select("ts"), "ts", us).select("event_id", F.col("n_near").alias("n_releases"))
+        return hit.select("event_id", "release_id", "distance_us").join(counts, "event_id")
+
+    return of_batch
+
+
+def run_each_batch(stream: DataFrame, name: str, of_batch: Callable[[DataFrame], DataFrame], place: str | None = None) -> DataFrame:
+    """Run a batch job over every micro-batch of the present input and return all its rows.
+
+    A micro-batch writes its own folder anew, so one that is run again leaves its rows once;
+    with the ``place`` of an earlier run it goes on where that one ended.
+    """
+    spark = stream.sparkSession
+    place = place or scratch_path(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        of_batch(batch).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{place}/out").drop("batch")
 
 
 def stream_interval_join(left: DataFrame, right: DataFrame, key: str, minutes: int, delay: str) -> DataFrame:

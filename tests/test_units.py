@@ -484,6 +484,37 @@ def test_decay_series_is_silent_in_warm_up(spark):
         assert r["decayed"] and r["first_n"] > 10 and r["max_posterior"] > 0.9
 
 
+def test_nearest_releases_in_five_batches_with_a_restart(spark):
+    from tapeloom.session import scratch_path
+
+    t0 = ts("2024-01-01 00:00:00")
+    rng = np.random.default_rng(14)
+    at = np.sort(rng.integers(0, 5 * 3600, 200))
+    ticks = spark.createDataFrame([(i, t0 + dt.timedelta(seconds=int(a))) for i, a in enumerate(at)], "event_id long, ts timestamp")
+    rel_at = np.unique(rng.integers(0, 6 * 3600, 40))
+    rel = spark.createDataFrame([(1000 + i, t0 + dt.timedelta(seconds=int(a))) for i, a in enumerate(rel_at)], "release_id long, release_ts timestamp")
+    path, place = scratch_path(spark, "ticks"), scratch_path(spark, "near")
+
+    def add(hours):
+        for h in hours:
+            ticks.filter(F.hour("ts") == h).coalesce(1).write.mode("append").parquet(path)
+
+    def live(files):
+        return spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+    add(range(3))
+    streams.run_each_batch(live(1), "near", streams.nearest_releases(ticks, rel, 5), place)
+    add(range(3, 5))
+    five = streams.run_each_batch(live(1), "near", streams.nearest_releases(ticks, rel, 5), place)
+    one = streams.run_each_batch(live(99), "near", streams.nearest_releases(ticks, rel, 5))
+    want = []
+    for i, a in enumerate(at):
+        d = min((abs(int(r) - int(a)), int(r), k) for k, r in enumerate(rel_at))
+        if d[0] <= 300:
+            want.append((i, 1000 + d[2], d[0] * 1_000_000, int((abs(rel_at - a) <= 300).sum())))
+    assert sorted(map(tuple, five.collect())) == sorted(map(tuple, one.collect())) == want and len(want) > 50
+
+
 def test_late_ticks_are_dropped_from_stream_bars(spark):
     from tapeloom.session import scratch_path
 
