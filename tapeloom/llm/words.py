@@ -7,6 +7,7 @@ chunk (or one document, where that is longer), not the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +24,8 @@ _SEPARATES = np.zeros(256, dtype=bool)
 _SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
+# From this length on a word's code is a digest: a polynomial modulo 2**64 loses bits of long words that alternate regularly.
+DIGEST_BYTES = 32
 # Every ASCII byte but letters and digits, for comparisons that ignore punctuation.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 # A random 64-bit value for each byte, from a fixed seed.
@@ -120,7 +123,11 @@ def words(chunk: Chunk, fold: bool = True, cut: np.ndarray | None = None, blanks
         np.cumsum(VALUE[_FOLD[part] if fold else part] * up[:-1], out=run[1:])
         code[i:j] = (run[end[i:j] - a] - run[start[i:j] - a]) * down[start[i:j] - a]
         i = j
-    return Words(start, end, mix(code), np.searchsorted(start, off))
+    code = mix(code)
+    for k in np.flatnonzero(end - start >= DIGEST_BYTES).tolist():
+        part = buf[start[k]:end[k]]
+        code[k] = int.from_bytes(blake2b((_FOLD[part] if fold else part).tobytes(), digest_size=8).digest(), "little")
+    return Words(start, end, code, np.searchsorted(start, off))
 
 
 def folded(buf: np.ndarray) -> np.ndarray:
