@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.scan import POS, number_rows, prefix
+from tapeloom.operators.scan import POS, number_rows, prefix, stored
 
 
 def floored_equity(df: DataFrame, keys: Sequence[str], order: Sequence[str], pnl: str, start: float) -> DataFrame:
@@ -56,24 +56,39 @@ def inventory_breaches(trades: DataFrame, keys: Sequence[str], amount: Column, c
     return d.filter((F.col("_k") == 1) & (F.col("open_amount") > cap)).select(*keys, *key_cols, "open_amount")
 
 
-def circuit_breaker(trades: DataFrame, period: Column, order: Sequence[str], threshold: float, start: float,
-                    ratchet: bool = True) -> DataFrame:
-    """Entries after the P&L of their period fell below ``threshold`` of its opening equity.
+def with_losses(trades: DataFrame, periods: dict[str, Column], order: Sequence[str], start: float) -> DataFrame:
+    """The ledger with, for each period, the P&L of that period before the entry (lost_*) and the equity at its start (open_*).
 
-    One account holds all trades, so the running sum is a scan over all of them.
+    One account holds all trades, so the running sum is one scan over all of them; every
+    period reads it.
     """
-    d = trades.withColumn("_p", period)
-    run = prefix(number_rows(d, [], order), [], {"_before": ("sum", F.col("pnl"))}, inclusive=False)
     from pyspark.sql import Window
 
-    # One row per period: a calendar bounds this window.
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    opening = d.groupBy("_p").agg(F.sum("pnl").alias("_s")).select(
-        "_p", F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_earlier"))
-    j = run.join(F.broadcast(opening), "_p")
-    lost = F.coalesce("_before", F.lit(0.0)) - F.col("_earlier")
-    base = F.lit(start) + F.col("_earlier") if ratchet else F.lit(start)
-    return j.filter(lost < threshold * base).drop("_p", "_before", "_earlier", POS)
+    d = trades.withColumns({f"_p_{k}": p for k, p in periods.items()})
+    run = prefix(number_rows(d, [], order), [], {"_before": ("sum", F.col("pnl"))}, inclusive=False)
+    for k in periods:
+        # One row per period: a calendar bounds this window.
+        w = Window.orderBy(f"_p_{k}").rowsBetween(Window.unboundedPreceding, -1)
+        opening = d.groupBy(f"_p_{k}").agg(F.sum("pnl").alias("_s")).select(
+            f"_p_{k}", F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_earlier"))
+        run = run.join(F.broadcast(opening), f"_p_{k}").withColumns({
+            f"lost_{k}": F.coalesce("_before", F.lit(0.0)) - F.col("_earlier"), f"open_{k}": F.lit(start) + F.col("_earlier")}).drop("_earlier")
+    return run.drop("_before", POS, *[f"_p_{k}" for k in periods])
+
+
+def circuit_breaker(trades: DataFrame, period: Column, order: Sequence[str], threshold: float, start: float,
+                    ratchet: bool = True) -> DataFrame:
+    """Entries after the P&L of their period fell below ``threshold`` of its opening equity (of ``start`` unless ``ratchet``)."""
+    d = with_losses(trades, {"one": period}, order, start)
+    base = F.col("open_one") if ratchet else F.lit(start)
+    return d.filter(F.col("lost_one") < threshold * base).drop("lost_one", "open_one")
+
+
+def circuit_breakers(trades: DataFrame, limits: dict[str, tuple[Column, float]], order: Sequence[str], start: float) -> dict[str, DataFrame]:
+    """Entries after each (period, threshold) was broken; the ledger is ordered once for all."""
+    d = stored(with_losses(trades, {k: p for k, (p, _) in limits.items()}, order, start))
+    extra = [f"{a}_{k}" for k in limits for a in ("lost", "open")]
+    return {k: d.filter(F.col(f"lost_{k}") < limit * F.col(f"open_{k}")).drop(*extra) for k, (_, limit) in limits.items()}
 
 
 def adverse_entries(trades: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -270,6 +270,15 @@ RULE_SQL = {
 }
 
 
+def _loss_sql(period, threshold):
+    return f"""SELECT {{k}} FROM (SELECT *, sum(x) OVER (ORDER BY entry_ts, {TK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+      sum(x) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(x) OVER (PARTITION BY p) AS e FROM (SELECT *, round(pnl) AS x, {period} AS p FROM tr))
+    WHERE coalesce(b, 0) - e < {threshold} * (100000 + e)"""
+
+
+RULE_SQL |= {"daily_breaker": _loss_sql("session", -0.02), "weekly_breaker": _loss_sql("isoyear(session) * 100 + week(session)", -0.05)}
+
+
 def rules(t):
     return {
         "stop": risk.stop_breaches(t),
@@ -278,7 +287,8 @@ def rules(t):
         "same_side": risk.same_side_overlaps(t, ORDER),
         "size_cap": t.filter("size > 48"),
         "adverse": risk.adverse_entries(t),
-    }
+    } | {f"{k}_breaker": v for k, v in risk.circuit_breakers(t.withColumn("pnl", F.round("pnl")), {
+        "daily": (F.col("session"), -0.02), "weekly": (clock.iso_week_id("session"), -0.05)}, ORDER, 100_000.0).items()}
 
 
 def _adjacent(t):
