@@ -27,6 +27,14 @@ _STATE = "doc_id long, version string, alive boolean, source string, lang string
 _DELTA = "source string, lang string, version string, n_docs long, n_tokens long"
 _COMMIT = "batch_id string, seq long"
 _RANKS: dict = {}
+_WORDS: dict = {}
+
+
+def _word_encoder(name: str) -> WordEncoder:
+    """The word tokenizer, once per worker: what one task has learned of the words serves the next."""
+    if name not in _WORDS:
+        _WORDS[name] = WordEncoder(name)
+    return _WORDS[name]
 
 
 def _rank_encoder(name: str):
@@ -51,7 +59,7 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None if tokenizer.endswith(".tiktoken") else WordEncoder(tokenizer)
+        words = None if tokenizer.endswith(".tiktoken") else _word_encoder(tokenizer)
         for batch in batches:
             parts = [np.zeros(0, np.int64)]
             for chunk in chunks(batch.column(3)):
