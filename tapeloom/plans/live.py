@@ -12,7 +12,7 @@ from tapeloom.plans.registry import cte, query
 from tapeloom.plans.windows import TOUCH_SQL
 from tapeloom.session import load
 from tapeloom.streaming import streams as st
-from tapeloom.streaming.state import Detector, StepUp
+from tapeloom.streaming.state import Detector, Limits, StepUp
 
 TK = ", ".join(TRADE_KEY)
 
@@ -235,6 +235,50 @@ def w7(spark, sf):
     return st.run_to_table(s, "breakers").drop("entry_ts")
 
 
+LIMITS = Limits(start=20_000.0, caps=(("AF", 45.0), ("RF", 40.0)), cap=48.0)
+# One round of the recursion is one entry of every account: what has ended by then is realised, then the rules are asked in order.
+GUARD_SQL = once(cte("ledger", num=f"""SELECT CAST(k4 % 50 AS BIGINT) AS account, symbol, {TK}, size, round(pnl) AS x, entry_ts, exit_ts, session AS es, isoyear(session) * 100 + week(session) AS ew,
+    CAST(exit_ts AS DATE) AS xs, isoyear(CAST(exit_ts AS DATE)) * 100 + week(CAST(exit_ts AS DATE)) AS xw,
+    row_number() OVER (PARTITION BY k4 % 50 ORDER BY entry_ts, {TK}) AS n FROM ledger"""), "num") + f""",
+  gd(account, n, o, eq, es, e0, ep, ew, w0, wp, {TK}, reason) AS (
+    SELECT DISTINCT account, 0::BIGINT, [{{'t': NULL::TIMESTAMP, 'y': '', 'x': 0::DOUBLE, 's': NULL::DATE, 'w': 0::BIGINT}}][1:0], {LIMITS.start}::DOUBLE, NULL::DATE, 0::DOUBLE, 0::DOUBLE, -1::BIGINT, 0::DOUBLE, 0::DOUBLE,
+      {", ".join(f"any_value({k}) OVER ()" for k in TRADE_KEY)}, '' FROM num
+    UNION ALL SELECT account, n, CASE WHEN reason = '' THEN list_append(o, {{'t': exit_ts, 'y': symbol, 'x': x, 's': xs, 'w': xw}}) ELSE o END, eq, es, e0, ep, ew, w0, wp, {TK}, reason
+    FROM (SELECT *, CASE WHEN len(list_filter(o, lambda p: p.y = symbol)) > 0 THEN 'open' WHEN size > CASE symbol WHEN 'AF' THEN 45 WHEN 'RF' THEN 40 ELSE 48 END THEN 'cap'
+        WHEN ep < {LIMITS.daily} * e0 THEN 'daily' WHEN wp < {LIMITS.weekly} * w0 THEN 'weekly' ELSE '' END AS reason
+      FROM (SELECT account, n, {TK}, symbol, size, x, exit_ts, xs, xw, list_filter(o, lambda p: p.t > entry_ts) AS o, eq + coalesce(list_sum(list_transform(c, lambda p: p.x)), 0) AS eq, es, ew,
+          CASE WHEN es = es_ THEN e0 ELSE eq + coalesce(list_sum(list_transform(list_filter(c, lambda p: p.s < es), lambda p: p.x)), 0) END AS e0,
+          CASE WHEN es = es_ THEN ep ELSE 0 END + coalesce(list_sum(list_transform(list_filter(c, lambda p: p.s = es), lambda p: p.x)), 0) AS ep,
+          CASE WHEN ew = ew_ THEN w0 ELSE eq + coalesce(list_sum(list_transform(list_filter(c, lambda p: p.w < ew), lambda p: p.x)), 0) END AS w0,
+          CASE WHEN ew = ew_ THEN wp ELSE 0 END + coalesce(list_sum(list_transform(list_filter(c, lambda p: p.w = ew), lambda p: p.x)), 0) AS wp
+        FROM (SELECT t.*, g.o, g.eq, g.e0, g.ep, g.w0, g.wp, g.es AS es_, g.ew AS ew_, list_filter(g.o, lambda p: p.t <= t.entry_ts) AS c
+          FROM gd g JOIN num t ON t.account = g.account AND t.n = g.n + 1)))),
+  guarded AS (SELECT account, {TK}, reason FROM gd WHERE n > 0)
+"""
+
+
+def guarded_trades(spark, sf):
+    gone = F.to_date("exit_ts")
+    return ledger(spark, sf).select(
+        (F.col("k4") % 50).cast("long").alias("account"), "symbol", "entry_ts", "exit_ts", *TRADE_KEY, "session", clock.iso_week_id("session").alias("week"),
+        gone.alias("exit_session"), clock.iso_week_id(gone).alias("exit_week"), F.round("pnl").alias("pnl"), "size")
+
+
+@query("w7_stream_guard", GUARD_SQL + "SELECT * FROM guarded")
+def w7_guard(spark, sf):
+    """Entries of every account with the first rule that blocks them, from a stream of years."""
+    t = guarded_trades(spark, sf)
+    s = st.stream_guard(st.frame_stream(t, "guard", ["account"], F.year("session")), ["entry_ts", *TRADE_KEY], LIMITS)
+    return st.run_to_table(s, "guarded")
+
+
+@query("w7_trigger_counts", GUARD_SQL + """SELECT account, count(*) FILTER (WHERE reason = '') AS entered, count(*) FILTER (WHERE reason = 'open') AS n_open,
+  count(*) FILTER (WHERE reason = 'cap') AS n_cap, count(*) FILTER (WHERE reason = 'daily') AS n_daily, count(*) FILTER (WHERE reason = 'weekly') AS n_weekly,
+  bool_or(reason <> '') AS active FROM guarded GROUP BY 1""")
+def w7_counts(spark, sf):
+    return st.trigger_counts(st.batch_guard(guarded_trades(spark, sf), ["entry_ts", *TRADE_KEY], LIMITS), LIMITS)
+
+
 @query("w8_stream_levels", f"""
 WITH t AS (SELECT *, count(*) FILTER (WHERE kind = 'penetrate') OVER (PARTITION BY level, fold ORDER BY ts, event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dead FROM ({TOUCH_SQL})),

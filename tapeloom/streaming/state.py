@@ -7,6 +7,7 @@ the state, routes the keys and replays lost work.
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 import math
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
@@ -245,3 +246,75 @@ def ladder_step(st: dict, x: float, cfg: StepUp) -> tuple[dict, str]:
 def new_ladder(cfg: StepUp) -> dict:
     return {"recent": [], "n": 0, "path": 0, "run": fresh(cfg.detector), "decayed": False,
             "idx": cfg.grid.index(cfg.start), "checked": 0}
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Entry rules of one account, checked in the order of ``rules``; the first that fires is the reason.
+
+    ``open``: the symbol has a position; ``cap``: the size is above the symbol's cap (``cap`` where
+    ``caps`` has none); ``daily``/``weekly``: the realised P&L of the session or week is below that
+    share of the equity it began with.
+    """
+
+    start: float = 100_000.0
+    rules: tuple[str, ...] = ("open", "cap", "daily", "weekly")
+    caps: tuple[tuple[str, float], ...] = ()
+    cap: float = 1.0
+    daily: float = -0.02
+    weekly: float = -0.05
+
+    def __post_init__(self):
+        if not set(self.rules) <= {"open", "cap", "daily", "weekly"} or len(set(self.rules)) < len(self.rules):
+            raise ValueError("rules are some of open, cap, daily and weekly, each once")
+        if self.daily >= 0 or self.weekly >= 0 or self.start <= 0:
+            raise ValueError("limits are negative shares of a positive equity")
+
+
+@dataclass(frozen=True)
+class Account:
+    """Equity, the running session and week, and the open positions (exit_us, number, symbol, pnl, session, week)."""
+
+    equity: float
+    session: dt.date | None = None
+    session_equity: float = 0.0
+    session_pnl: float = 0.0
+    week: int = -1
+    week_equity: float = 0.0
+    week_pnl: float = 0.0
+    number: int = 0
+    positions: tuple = ()
+
+
+def _at(acc: Account, session: dt.date, week: int) -> Account:
+    """The account when something happens in a session and week; a new one starts from the equity so far."""
+    if session != acc.session:
+        acc = replace(acc, session=session, session_equity=acc.equity, session_pnl=0.0)
+    if week != acc.week:
+        acc = replace(acc, week=week, week_equity=acc.equity, week_pnl=0.0)
+    return acc
+
+
+def guard_entries(acc: Account, trades: list[tuple], cfg: Limits) -> tuple[Account, list[str]]:
+    """The reason each entry is blocked ("" if it is let in).
+
+    ``trades``: (entry_us, exit_us, symbol, size, pnl, entry session and week, exit session and week) by
+    entry time. Positions that end at or before an entry are realised first, in their exit session.
+    Blocked trades open nothing and realise nothing.
+    """
+    caps, heap, out = dict(cfg.caps), list(acc.positions), []
+    heapq.heapify(heap)
+    for entry, exit_, symbol, size, pnl, session, week, exit_session, exit_week in trades:
+        while heap and heap[0][0] <= entry:
+            _, _, _, made, s, w = heapq.heappop(heap)
+            acc = _at(acc, s, w)
+            acc = replace(acc, equity=acc.equity + made, session_pnl=acc.session_pnl + made, week_pnl=acc.week_pnl + made)
+        acc = _at(acc, session, week)
+        fires = {"open": any(h[2] == symbol for h in heap), "cap": size > caps.get(symbol, cfg.cap),
+                 "daily": acc.session_pnl < cfg.daily * acc.session_equity, "weekly": acc.week_pnl < cfg.weekly * acc.week_equity}
+        reason = next((r for r in cfg.rules if fires[r]), "")
+        if not reason:
+            heapq.heappush(heap, (exit_, acc.number, symbol, pnl, exit_session, exit_week))
+            acc = replace(acc, number=acc.number + 1)
+        out.append(reason)
+    return replace(acc, positions=tuple(heap)), out

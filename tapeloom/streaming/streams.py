@@ -20,7 +20,7 @@ from tapeloom.operators.joins import band_counts, nearest_within
 from tapeloom.operators.scan import stored
 from tapeloom.session import load, scratch_path
 from tapeloom.streaming.state import (
-    PAUSE_COLUMNS, Detector, Pause, StepUp, decay_path, ladder_step, new_ladder, new_pause, pause_rows,
+    PAUSE_COLUMNS, Account, Detector, Limits, Pause, StepUp, decay_path, guard_entries, ladder_step, new_ladder, new_pause, pause_rows,
 )
 
 
@@ -375,6 +375,88 @@ def stream_breakers(trades: DataFrame, order: list[str], start: float, daily: fl
     return trades.groupBy("account").applyInPandasWithState(step, schema, state_schema, "append", "NoTimeout")
 
 
+_GUARDED = ["symbol", "size", "pnl", "session", "week", "exit_session", "exit_week"]
+
+
+def _guard_frame(account, pdf: pd.DataFrame, acc: Account, order: list[str], cfg: Limits) -> tuple[Account, pd.DataFrame]:
+    at = [pdf[c].astype("int64") for c in ("entry_us", "exit_us")]
+    acc, reasons = guard_entries(acc, list(zip(*at, *(pdf[c] for c in _GUARDED))), cfg)
+    out = pdf[[c for c in order if c != "entry_us"]].copy()
+    out.insert(0, "account", account)
+    out["reason"] = reasons
+    return acc, out
+
+
+class _GuardProcessor(StatefulProcessor):
+    """One account: its open positions are a map in the state store, its sums one value."""
+
+    def __init__(self, cfg: Limits, order: list[str]) -> None:
+        self.cfg, self.order = cfg, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.positions = handle.getMapState("positions", "number long", "exit_us long, symbol string, pnl double, session date, week long")
+        self.sums = handle.getValueState("sums", "equity double, session date, session_equity double, session_pnl double, week long, "
+                                                 "week_equity double, week_pnl double, number long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pdf = _ordered(rows, self.order)
+        if pdf.empty:
+            return
+        before = {}
+        acc = Account(self.cfg.start)
+        if self.sums.exists():
+            before = {k[0]: v for k, v in self.positions.iterator()}
+            acc = Account(*self.sums.get(), tuple((v[0], k, *v[1:]) for k, v in before.items()))
+        acc, out = _guard_frame(key[0], pdf, acc, self.order, self.cfg)
+        after = {p[1]: (p[0], *p[2:]) for p in acc.positions}
+        for k in before.keys() - after.keys():
+            self.positions.removeKey((k,))
+        for k in after.keys() - before.keys():
+            self.positions.updateValue((k,), after[k])
+        self.sums.update((acc.equity, acc.session, acc.session_equity, acc.session_pnl, acc.week, acc.week_equity, acc.week_pnl, acc.number))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _guard_input(trades: DataFrame, order: list[str]) -> tuple[DataFrame, list[str], T.StructType]:
+    keep = [c for c in order if c != "entry_ts"]
+    rows = trades.select("account", F.unix_micros("entry_ts").alias("entry_us"), F.unix_micros("exit_ts").alias("exit_us"), *keep,
+                         *[F.col(c).cast("double").alias(c) if c in ("size", "pnl") else F.col(c).cast("long").alias(c) if "week" in c else F.col(c) for c in _GUARDED])
+    schema = T.StructType([trades.schema["account"], *[rows.schema[c] for c in keep], T.StructField("reason", T.StringType())])
+    return rows, ["entry_us", *keep], schema
+
+
+def stream_guard(trades: DataFrame, order: list[str], cfg: Limits) -> DataFrame:
+    """Reason each entry of an account is blocked: open position, size cap of the symbol, daily, weekly loss.
+
+    ``trades`` has account, symbol, entry_ts, exit_ts, size, pnl, session, week, exit_session and
+    exit_week; ``order`` (entry_ts first) is total. An account's trades arrive in entry order over
+    the micro-batches; a micro-batch hands a task no more of an account than it holds itself.
+    """
+    rows, by, schema = _guard_input(trades, order)
+    return rows.groupBy("account").transformWithStateInPandas(_GuardProcessor(cfg, by), schema, "append", "None")
+
+
+def batch_guard(trades: DataFrame, order: list[str], cfg: Limits) -> DataFrame:
+    """Batch twin over the whole ledger of each account."""
+    rows, by, schema = _guard_input(trades, order)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by, kind="stable")
+        return _guard_frame(pdf["account"].iloc[0], pdf, Account(cfg.start), by, cfg)[1]
+
+    return rows.groupBy("account").applyInPandas(run, schema)
+
+
+def trigger_counts(guarded: DataFrame, cfg: Limits) -> DataFrame:
+    """Per account: entries let in, blocked by each rule, and whether any rule fired."""
+    return guarded.groupBy("account").agg(
+        F.count_if(F.col("reason") == "").alias("entered"), *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in cfg.rules],
+        F.bool_or(F.col("reason") != "").alias("active"))
+
+
 def stream_levels(touches: DataFrame, r_max: int) -> DataFrame:
     """Rejections, kills and permission per level; the state is a count and a flag."""
     out_schema = "level long, fold string, event_id long, rejections long, killed boolean, error boolean, permitted boolean"

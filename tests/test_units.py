@@ -548,3 +548,79 @@ def test_numbering_has_no_gaps_for_many_keys(spark):
     df = spark.range(5000).select((F.col("id") % 37).alias("k"), F.col("id").alias("t"))
     n = number_rows(df, ["k"], ["t"]).groupBy("k").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count_distinct("pos").alias("c"))
     assert n.filter("a <> 0 OR b + 1 <> c").count() == 0
+
+
+@pytest.mark.parametrize("rules", [("open", "cap", "daily", "weekly"), ("cap", "weekly"), ("daily",)])
+def test_guard_in_one_and_five_batches_with_a_restart(spark, rules):
+    """Stream, restarted stream and batch twin against a plain walk over the entries."""
+    from tapeloom.session import scratch_path
+    from tapeloom.streaming.state import Limits
+
+    rng = np.random.default_rng(17)
+    t0 = ts("2024-01-01 00:00:00")
+    rows = []
+    for i in range(400):
+        a = t0 + dt.timedelta(minutes=int(rng.integers(0, 5 * 7 * 1440)))
+        b = a + dt.timedelta(minutes=int(rng.integers(0, 2 * 1440)))
+        rows.append((f"acc{i % 3}", f"s{rng.integers(0, 4)}", a, b, i, float(rng.integers(1, 6)), float(rng.integers(-300, 200)),
+                     a.date(), a.isocalendar()[0] * 100 + a.isocalendar()[1], b.date(), b.isocalendar()[0] * 100 + b.isocalendar()[1]))
+    df = spark.createDataFrame(rows, "account string, symbol string, entry_ts timestamp, exit_ts timestamp, id long, size double, pnl double, "
+                                     "session date, week long, exit_session date, exit_week long")
+    cfg = Limits(start=10_000.0, rules=rules, caps=(("s1", 2.0),), cap=4.0, daily=-0.01, weekly=-0.02)
+
+    want = {}
+    for name in ("acc0", "acc1", "acc2"):
+        held, done = [], []
+        for r in sorted((r for r in rows if r[0] == name), key=lambda r: (r[2], r[4])):
+            now = r[2]
+            done += sorted((h for h in held if h[3] <= now), key=lambda h: h[3])
+            held = [h for h in held if h[3] > now]
+            past = lambda k, v: 10_000.0 + sum(h[6] for h in done if h[k] < v)
+            lost = lambda k, v: sum(h[6] for h in done if h[k] == v)
+            fires = {"open": any(h[1] == r[1] for h in held), "cap": r[5] > (2.0 if r[1] == "s1" else 4.0),
+                     "daily": lost(9, r[7]) < -0.01 * past(9, r[7]), "weekly": lost(10, r[8]) < -0.02 * past(10, r[8])}
+            want[r[4]] = next((k for k in rules if fires[k]), "")
+            if not want[r[4]]:
+                held.append(r)
+    assert {w for w in want.values()} == {"", *rules}
+
+    path, place = scratch_path(spark, "trades"), scratch_path(spark, "guard")
+
+    def add(weeks):
+        for w in weeks:
+            lo, hi = t0 + dt.timedelta(days=7 * w), t0 + dt.timedelta(days=7 * w + 7)
+            df.filter((F.col("entry_ts") >= lo) & (F.col("entry_ts") < hi)).coalesce(1).write.mode("append").parquet(path)
+
+    def live(files):
+        src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+        return streams.stream_guard(src, ["entry_ts", "id"], cfg)
+
+    add(range(3))
+    streams.run_to_table(live(1), "guard", place)
+    add(range(3, 5))
+    five = {r["id"]: r["reason"] for r in streams.run_to_table(live(1), "guard", place).collect()}
+    one = {r["id"]: r["reason"] for r in streams.run_to_table(live(99), "guard").collect()}
+    batch = streams.batch_guard(df, ["entry_ts", "id"], cfg)
+    assert five == one == {r["id"]: r["reason"] for r in batch.collect()} == want
+    counts = streams.trigger_counts(batch, cfg).collect()
+    assert sum(r["entered"] for r in counts) == sum(not v for v in want.values()) and all(r["active"] for r in counts)
+
+
+def test_limits_are_checked():
+    from tapeloom.streaming.state import Limits
+
+    for bad in ({"rules": ("open", "open")}, {"rules": ("other",)}, {"daily": 0.1}, {"start": 0}):
+        with pytest.raises(ValueError):
+            Limits(**bad)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tapeloom.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        sc = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None)
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(sparkContext=sc))
