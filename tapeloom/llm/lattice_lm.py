@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.subwords import Table, tokenizer_file
-from tapeloom.llm.words import POWERS, VALUE, Words, chunks, folded, mix, ragged, row_of, words
+from tapeloom.llm.words import POWERS, VALUE, Words, chunks, folded, mix, ragged, row_of, with_digests, words
 from tapeloom.session import cut_lineage
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -372,7 +372,7 @@ def word_codes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         np.cumsum(VALUE[flat[a:b]] * up[:-1], out=run[1:])
         out[i:j] = (run[end[i:j] - a] - run[start[i:j] - a]) * down[start[i:j] - a]
         i = j
-    return mix(out)
+    return with_digests(mix(out), flat, start, end)
 
 
 def text_parts(docs: DataFrame, model: tuple, hot: tuple[np.ndarray, np.ndarray], n: int) -> DataFrame:

@@ -123,11 +123,16 @@ def words(chunk: Chunk, fold: bool = True, cut: np.ndarray | None = None, blanks
         np.cumsum(VALUE[_FOLD[part] if fold else part] * up[:-1], out=run[1:])
         code[i:j] = (run[end[i:j] - a] - run[start[i:j] - a]) * down[start[i:j] - a]
         i = j
-    code = mix(code)
+    code = with_digests(mix(code), buf, start, end, fold)
+    return Words(start, end, code, np.searchsorted(start, off))
+
+
+def with_digests(code: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+    """The codes, those of words of DIGEST_BYTES and more replaced by a digest of their bytes."""
     for k in np.flatnonzero(end - start >= DIGEST_BYTES).tolist():
         part = buf[start[k]:end[k]]
         code[k] = int.from_bytes(blake2b((_FOLD[part] if fold else part).tobytes(), digest_size=8).digest(), "little")
-    return Words(start, end, code, np.searchsorted(start, off))
+    return code
 
 
 def folded(buf: np.ndarray) -> np.ndarray:
