@@ -30,6 +30,8 @@ from tapeloom.session import cut_lineage
 
 # N-grams that a bucket stands for on average, and that a task holds before it passes them on.
 BUCKET_GRAMS, FLUSH_GRAMS = 3_000_000, 500_000
+# Ids of copies that are broadcast at most (about 32 MB).
+SPARE_IDS = 4_000_000
 # An n-gram in at least this share of all texts is hot: it is ranked last and never gathered.
 HOT_SHARE = 1 / 256
 _HOT_COUNT = np.int32(2**31 - 1)
@@ -348,6 +350,20 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(verified(rest, nodes, percent))
 
 
+def without_copies(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for documents whose every set (doc_id, node in ``member``) has a smaller document.
+
+    One document speaks for a set, so copies don't send its n-grams again. A list of ids that is
+    short by count is sent to the tasks; a longer one meets the rows by a shuffle, which moves
+    less than the n-grams of so many copies would.
+    """
+    speaks = member.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    spare = cut_lineage(member.select("doc_id").distinct().join(speaks, "doc_id", "left_anti").select(F.col("doc_id").alias("_id")))
+    if spare.count() <= SPARE_IDS:
+        spare = F.broadcast(spare)
+    return docs.join(spare, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+
+
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is the least id reachable by links.
 
@@ -364,10 +380,10 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         F.col("t") >= max(64, size["rows"] * HOT_SHARE)).select("code").collect()
     hot = np.array([r["code"] for r in frequent], dtype=np.int64).view(np.uint64)
 
-    shared = shared_grams(gram_parts(docs, n, buckets, hot), buckets)
+    member = rows.filter("n > 0 and doc_id is not null").select("doc_id", "node").distinct()
+    shared = shared_grams(gram_parts(without_copies(docs, member), n, buckets, hot), buckets)
     nodes = cut_lineage(prefixes(shared, percent))
     # A document with several sets under its id ties their nodes together.
-    member = rows.filter("n > 0 and doc_id is not null").select("doc_id", "node").distinct()
     tied = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_hi")).filter("b < _hi")
     ties = member.join(tied, "doc_id").select(F.col("node").alias("a"), "b")
     found = components(links(nodes, percent).unionByName(ties))

@@ -103,3 +103,18 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i - 1) for i in range(1, 300)] + [(900, 901), (902, 901)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(300), 0), 900: 900, 901: 900, 902: 900}
+
+
+@pytest.mark.parametrize("limit", [0, 1_000])
+def test_copies_are_spoken_for(spark, monkeypatch, limit):
+    """Ids with a set of their own, or the least of a set, stay; groups are the same by broadcast and by shuffle."""
+    monkeypatch.setattr(nj, "SPARE_IDS", limit)
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    texts, ids = [a, a, b, b, a, None, "", a + " x", a], [5, 3, 4, 8, 9, 10, 11, 12, None]
+    docs = documents(spark, texts + [b], ids + [9])
+    member = nj.signatures(docs, 3).filter("n > 0 and doc_id is not null").select("doc_id", "node").distinct()
+    left = nj.without_copies(docs, member)
+    assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [3, 4, 10, 11, 12]
+    assert left.filter("doc_id is null").count() == 1
+    got = {r["doc_id"]: r["component_id"] for r in nj.similar_groups(docs, 3, 90).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 4: 3, 8: 3, 10: 10, 11: 11, 12: 3, None: None}
