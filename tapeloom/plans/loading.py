@@ -129,7 +129,7 @@ def a7(spark, sf):
 SELECT symbol, CAST(bar_ts AS DATE) AS day, count(*) AS n, sum(volume) AS volume, max(high) AS high FROM bars GROUP BY 1, 2""", f8="high", i8="volume", dt="day")
 def a8(spark, sf):
     path, schema = _stored_bars(spark, sf)
-    return spark.read.schema(schema).parquet(path).groupBy("symbol", "day").agg(
+    return files.read_published(spark, path, schema).groupBy("symbol", "day").agg(
         F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"), F.max("high").alias("high"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,6 @@ from pyspark.sql import types as T
 
 from tapeloom.functions.clock import root_symbol
 from tapeloom.operators.quality import check_schema, rule_counts
-from tapeloom.session import scratch_path
 
 # Product roots, long before short by length.
 ROOTS = ["ES", "NQ", "MES", "MNQ", "MCL", "MGC", "SIL"]
@@ -113,35 +113,76 @@ def read_sidecars(spark: SparkSession, path: str, metrics: Sequence[str], multi_
 
 # --- partitioned tables -------------------------------------------------------------
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path as it names it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    """Names of the published manifests, oldest first."""
+    fs, where = _folder(spark, f"{path}/manifest")
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def publish(spark: SparkSession, staged: str, path: str, number: int) -> None:
+    """Make a staged manifest the newest one: one rename, which readers see wholly or not at all."""
+    fs, target = _folder(spark, f"{path}/manifest/{number:08d}")
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(_folder(spark, staged)[1], target):
+        raise ValueError(f"manifest {number} of {path} was published by another writer")
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str],
                       schema: T.StructType | None = None, rules: dict[str, Column] | None = None) -> int:
-    """Write to a staging folder, read it back and check it, then replace the touched partitions.
+    """Write the partitions of ``df`` as a new version, check what was written, then publish it.
 
-    Rows are range-partitioned on partition and sort columns, so that a partition
-    that holds a third of all rows is written by several tasks.
+    Rows are range-partitioned once on partition and sort columns, so that a partition that
+    holds a third of all rows is written by several tasks. A manifest lists the version of every
+    partition; a new one takes the touched partitions from the new version and the others from
+    where they were. A writer that dies before publishing leaves readers the old table. One
+    writer at a time; a second one is refused when it publishes.
     """
-    spark = df.sparkSession
-    staging = scratch_path(spark, "staging")
-    keys = [*by, *sort]
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(*by).parquet(staging)
-    back = spark.read.schema(df.schema).parquet(staging)
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    keys, data = [*by, *sort], f"{path}/data/version={version}"
+    published = _manifests(spark, path)
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(*by).parquet(data)
+    back = spark.read.schema(df.schema).parquet(data)
     problems = check_schema(back, schema) if schema is not None else []
     if rules:
         problems += [f"{r['rule']}: {r['violations']}" for r in rule_counts(back, rules).filter("violations > 0").collect()]
     if problems:
+        fs, where = _folder(spark, data)
+        fs.delete(where, True)
         raise ValueError("staged data was not published: " + "; ".join(problems))
     n = back.count()
-    (back.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(*by)
-     .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
+    entries = back.select(*by).distinct().withColumn("version", F.lit(version))
+    if published:
+        old, new = spark.read.parquet(f"{path}/manifest/{published[-1]}").alias("o"), entries.alias("n")
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in by]
+        entries = entries.unionByName(old.join(new, same, "left_anti"))
+    staged = f"{path}/staged-{version}"
+    entries.coalesce(1).write.parquet(staged)
+    publish(spark, staged, path, int(published[-1]) + 1 if published else 0)
     return n
 
 
+def read_published(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table as the newest manifest lists it; filters on partition columns prune folders."""
+    published = _manifests(spark, path)
+    if not published:
+        raise ValueError(f"nothing is published at {path}")
+    entries = spark.read.parquet(f"{path}/manifest/{published[-1]}").alias("m")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.StringType())])).parquet(f"{path}/data").alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in entries.columns if c != "version"]
+    return rows.join(entries, [F.col("d.version") == F.col("m.version"), *same], "left_semi").drop("version")
+
+
 def load_bars(spark: SparkSession, path: str, symbols: Sequence[str], start: str, end: str, columns: Sequence[str],
-              ts: str = "bar_ts", schema: T.StructType | None = None) -> DataFrame:
-    """Bars of some symbols and an inclusive time range; symbols prune partitions, the
-    range skips row groups, and only the named columns are read."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path).filter(
+              schema: T.StructType, ts: str = "bar_ts") -> DataFrame:
+    """Bars of some symbols and an inclusive time range from a published table; symbols prune
+    partitions, the range skips row groups, and only the named columns are read."""
+    return read_published(spark, path, schema).filter(
         F.col("symbol").isin(list(symbols)) & F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     ).select("symbol", ts, *columns)
 

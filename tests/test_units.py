@@ -351,13 +351,37 @@ def test_survey_vintages_and_index(spark, tmp_path):
     assert [x["close"] for x in files.read_daily_index(spark, str(i)).collect()] == [13.2]
 
 
-def test_bad_rows_are_not_published(spark, tmp_path):
-    df = spark.createDataFrame([("s", "2024-01-01", 1.0, -5)], "symbol string, day string, open double, volume long")
+def test_only_checked_and_published_versions_are_read(spark, tmp_path, monkeypatch):
+    """A failed check and a writer that dies before publishing leave readers what they had."""
+    path, shape = str(tmp_path / "t"), "symbol string, day string, open double, volume long"
+    rules = {"volume": F.col("volume") >= 0}
+
+    def put(*rows):
+        return files.write_partitioned(spark.createDataFrame(list(rows), shape), path, ["symbol"], ["day"], rules=rules)
+
+    def read():
+        schema = spark.createDataFrame([], shape).schema
+        return sorted((r["symbol"] or "", r["day"], r["volume"]) for r in files.read_published(spark, path, schema).collect())
+
+    with pytest.raises(ValueError):
+        put(("s", "2024-01-01", 1.0, -5))
+    with pytest.raises(ValueError):
+        read()
+    assert put(("s", "2024-01-01", 1.0, 5), ("t", "2024-01-01", 1.0, 6), (None, "2024-01-01", 1.0, 7)) == 3
+    first = [("", "2024-01-01", 7), ("s", "2024-01-01", 5), ("t", "2024-01-01", 6)]
+    assert read() == first
+    with monkeypatch.context() as m:
+        def dies(*args):
+            raise RuntimeError("lost")
+
+        m.setattr(files, "publish", dies)
+        with pytest.raises(RuntimeError):
+            put(("s", "2024-01-02", 1.0, 8))
+    assert read() == first
+    assert put(("s", "2024-01-03", 1.0, 9), (None, "2024-01-03", 1.0, 10)) == 2
+    assert read() == [("", "2024-01-03", 10), ("s", "2024-01-03", 9), ("t", "2024-01-01", 6)]
     with pytest.raises(ValueError):
-        files.write_partitioned(df, str(tmp_path / "t"), ["symbol"], ["day"], rules={"volume": F.col("volume") >= 0})
-    assert not (tmp_path / "t").exists()
-    good = df.withColumn("volume", F.lit(5).cast("long"))
-    assert files.write_partitioned(good, str(tmp_path / "t"), ["symbol"], ["day"], rules={"volume": F.col("volume") >= 0}) == 1
+        files.publish(spark, path + "/data", path, 1)
 
 
 def test_checksums_and_unknown_fields(spark, tmp_path):
