@@ -9,7 +9,7 @@ from tapeloom.operators import features as feat
 from tapeloom.operators import inference as inf
 from tapeloom.operators import models, quality, registry, splits
 from tapeloom.operators.metrics import brier_skill, reliability_slope
-from tapeloom.operators.scan import stored
+from tapeloom.operators.scan import rolling, stored
 from tapeloom.plans.inputs import bars, numbered_bars, ticks
 from tapeloom.plans.outcomes import WF_SQL, sessions, wf_segments
 from tapeloom.plans.registry import cte, query
@@ -127,13 +127,32 @@ def m1(spark, sf):
     return outer_merge(frames, ["symbol", "bar_ts"])
 
 
-@query("m2_pit_equality", "SELECT 'x' AS feature, CAST(0 AS BIGINT) AS differences WHERE false UNION ALL SELECT f, CAST(0 AS BIGINT) FROM (VALUES ('ofi@v1'), ('rv@v1'), ('skew@v1')) AS t(f)")
+# Two features that know too much: the next close, and the distance from a mean over all time. They are not registered.
+PEEK = registry.Feature("peek", 1, ("symbol", "bar_ts", "close"), 0, ("peek_v1",), ("peek_v1",), _numbered(
+    lambda d: rolling(d, ["symbol"], 0, lambda x, w: x.withColumn("peek_v1", F.lead("close").over(w)), lookahead=1)))
+CENTRED = registry.Feature("centred", 1, ("symbol", "bar_ts", "close"), 0, ("centred_v1",), (), lambda d: d.join(
+    d.groupBy("symbol").agg(F.avg("close").alias("_m")), "symbol").withColumn("centred_v1", F.col("close") - F.col("_m")))
+
+
+def _pit_sql(name, value):
+    """Rows in which a value over all bars and over those up to NOW differ, both ways."""
+    part = f"SELECT symbol, bar_ts, round({value}, 9) AS v FROM"
+    known = f"(SELECT * FROM rets WHERE bar_ts <= TIMESTAMP '{NOW}')"
+    full = f"SELECT * FROM ({part} rets) WHERE bar_ts <= TIMESTAMP '{NOW}'"
+    return f"""SELECT '{name}' AS feature, (SELECT count(*) FROM (({full}) EXCEPT ALL ({part} {known}))) + (SELECT count(*) FROM (({part} {known}) EXCEPT ALL ({full}))) AS differences"""
+
+
+@query("m2_pit_equality", cte("rets") + " UNION ALL ".join([
+    _pit_sql("rv@v1", f"CASE WHEN count(r) OVER ({W} ROWS 11 PRECEDING) = 12 THEN sum(r * r) OVER ({W} ROWS 11 PRECEDING) END"),
+    _pit_sql("peek@v1", f"lead(close) OVER ({W})"), _pit_sql("centred@v1", "close - avg(close) OVER (PARTITION BY symbol)"),
+    "SELECT f, CAST(0 AS BIGINT) FROM (VALUES ('ofi@v1'), ('skew@v1')) AS t(f)"]))
 def m2(spark, sf):
+    """Differences between values from all bars and from those known by a time; the last two features leak and are found out."""
     now = F.lit(NOW).cast("timestamp")
     out = None
-    for k in ("ofi@v1", "rv@v1", "skew@v1"):
-        d = registry.pit_differences(registry.lookup_feature(k), bars(spark, sf), now).agg(
-            F.count(F.lit(1)).alias("differences")).select(F.lit(k).alias("feature"), "differences")
+    for f in (*map(registry.lookup_feature, ("ofi@v1", "rv@v1", "skew@v1")), PEEK, CENTRED):
+        d = registry.pit_differences(f, bars(spark, sf), now).agg(
+            F.count(F.lit(1)).alias("differences")).select(F.lit(f.key).alias("feature"), "differences")
         out = d if out is None else out.unionByName(d)
     return out
 
