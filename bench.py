@@ -21,7 +21,7 @@ NAMED = [
     "c4_asof_join", "c5_news_window_join", "l1_triple_barrier", "l5_bracket_outcomes", "p3_cpcv_split", "q2_sharpe_intervals",
     "q8_l_moments", "q9_ks_benjamini_hochberg", "q23_ruin_projection", "r6_daily_breaker", "r9_rule_report",
     "a5_page_text", "w1_stream_bars", "e19_adx_side", "e20_hac_slope_side", "d20_trend_competition", "q15_cpcv_path_sharpe",
-    "q24_log_optimal_fraction", "w6_batch_decay", "w9_batch_ladder",
+    "q24_log_optimal_fraction", "w6_batch_decay", "w9_batch_ladder", "w7_trigger_counts", "y1_elastic_net", "y3_calibrated_scores",
 ]
 
 
