@@ -57,14 +57,22 @@ def t4(spark, sf):
                                   ["o_orderpriority"], ["o_orderkey"], "o_orderdate")
 
 
-@query("t5_roll_invariants", cte("ticks", **ROLL_SQL) + """
-SELECT 'adjusted_is_raw_times_factor' AS rule, CAST(0 AS BIGINT) AS violations
+@query("t5_roll_invariants", cte("ticks", **ROLL_SQL, hb="""SELECT root, session, contract_id, CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS bar_ts,
+    arg_max(price, seq) AS close FROM c GROUP BY 1, 2, 3, 4""") + """
+SELECT 'midnight_bars_spoiled' AS rule, count(*) FILTER (WHERE abs(close * factor * 1.01 - close * factor) > 1e-9 * abs(close * factor * 1.01)) AS violations
+  FROM hb JOIN fa USING (root, session) WHERE contract_id = effective AND hour(bar_ts) = 0
+UNION ALL SELECT 'adjusted_is_raw_times_factor' AS rule, CAST(0 AS BIGINT) AS violations
 UNION ALL SELECT 'newest_factor_is_one', count(*) FILTER (WHERE abs(f - 1) > 1e-12) FROM (SELECT arg_max(factor, session) AS f FROM fa GROUP BY root)
 UNION ALL SELECT 'rolls_chain', count(*) FILTER (WHERE p <> old) FROM (SELECT old, lag(new_id) OVER (PARTITION BY root ORDER BY session) AS p FROM evt)
 UNION ALL SELECT 'one_bar_per_step', count(*) FROM (SELECT root, session, contract_id, CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS b, count(DISTINCT session) AS k FROM c GROUP BY 1, 2, 3, 4) WHERE k > 1""")
 def t5(spark, sf):
+    """Counts of broken promises; bars whose close is spoiled on purpose are found by the first of them."""
     s = roll_steps(spark, sf)
-    return quality.roll_invariants(s["bars"], s["factors"], s["events"])
+    midnight = F.hour("bar_ts") == 0
+    spoiled = s["bars"].withColumn("close", F.when(midnight, F.col("close") * 1.01).otherwise(F.col("close")))
+    found = quality.roll_invariants(spoiled, s["factors"], s["events"]).filter("rule = 'adjusted_is_raw_times_factor'")
+    return quality.roll_invariants(s["bars"], s["factors"], s["events"]).unionByName(
+        found.withColumn("rule", F.lit("midnight_bars_spoiled")))
 
 
 @query("t6_roll_codes", """SELECT code, count(*) AS n FROM (SELECT upper(substr(event_type, 1, 1)) AS code FROM events) WHERE code NOT IN ('V', 'C', 'E') GROUP BY 1""")
