@@ -34,7 +34,9 @@ SELECT symbol, end_ts, sum(r2) AS rv, count(*) AS n FROM k WHERE end_ts <= (SELE
 def w2(spark, sf):
     r2 = with_log_return(numbered_bars(spark, sf)).filter(F.col("r").isNotNull()).select(
         "symbol", "bar_ts", (F.col("r") * F.col("r")).alias("r2"))
-    return st.run_to_table(st.stream_sliding_variance(st.frame_stream(r2, "r2"), "6 hours", "1 hour", "2 hours"), "sliding")
+    # A week arrives at a time, so windows close as the watermark moves.
+    weeks = st.frame_stream(r2, "r2", ["symbol"], F.date_trunc("week", "bar_ts"))
+    return st.run_to_table(st.stream_sliding_variance(weeks, "6 hours", "1 hour", "2 hours"), "sliding")
 
 
 @query("w3_stream_gap_sessions", """
