@@ -233,7 +233,7 @@ SELECT symbol AS account, {TK}, CASE WHEN size > 45 THEN 'size_cap' WHEN cum - d
 def w7(spark, sf):
     t = ledger(spark, sf).select(F.col("symbol").alias("account"), "entry_ts", *TRADE_KEY, "session",
                                  clock.iso_week_id("session").alias("week"), F.round("pnl").alias("pnl"), "size")
-    s = st.stream_breakers(st.frame_stream(t, "trades", ["account"], F.year("session")), ["entry_ts", *TRADE_KEY], 100_000.0, -0.01, -0.02, 45.0)
+    s = st.stream_breakers(st.frame_stream(t, "trades", ["account"], F.year("session"), F.to_date("entry_ts")), ["entry_ts", *TRADE_KEY], 100_000.0, -0.01, -0.02, 45.0)
     return st.run_to_table(s, "breakers").drop("entry_ts")
 
 
@@ -270,7 +270,7 @@ def guarded_trades(spark, sf):
 def w7_guard(spark, sf):
     """Entries of every account with the first rule that blocks them, from a stream of years."""
     t = guarded_trades(spark, sf)
-    s = st.stream_guard(st.frame_stream(t, "guard", ["account"], F.year("session")), ["entry_ts", *TRADE_KEY], LIMITS)
+    s = st.stream_guard(st.frame_stream(t, "guard", ["account"], F.year("session"), F.to_date("entry_ts")), ["entry_ts", *TRADE_KEY], LIMITS)
     return st.run_to_table(s, "guarded")
 
 

@@ -30,12 +30,32 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
-def frame_stream(df: DataFrame, name: str, by: list[str] | None = None, slices: Column | None = None) -> DataFrame:
+# Rows of a slice that a micro-batch takes; a longer slice is cut at its finer calendar.
+SLICE_ROWS = 2_000_000
+
+
+def _arrivals(sizes: list[tuple], rows: int) -> list[tuple]:
+    """(slice, first, last) of each arrival: consecutive parts of a slice with up to ``rows`` rows in all, or one part."""
+    out: list[list] = []
+    held = 0
+    for s, part, n in sizes:
+        if out and out[-1][0] == s and held + n <= rows:
+            out[-1][2], held = part, held + n
+        else:
+            out.append([s, part, part])
+            held = n
+    return [tuple(o) for o in out]
+
+
+def frame_stream(df: DataFrame, name: str, by: list[str] | None = None, slices: Column | None = None,
+                 finer: Column | None = None, rows: int | None = None) -> DataFrame:
     """A batch frame written out and read again as a stream.
 
     With ``slices`` (a calendar column) the frame arrives slice after slice, the rows
-    of a key in one file per slice, and a micro-batch takes one slice's number of
-    files: a key keeps its order and never hands more than about a slice to a task.
+    of a key in one file per arrival. A slice with more than ``rows`` rows arrives in several
+    parts, cut where ``finer`` (a finer calendar column) changes, so its rows don't grow with the
+    table. A micro-batch takes as many files as the largest arrival has: a key keeps its order
+    and never hands more than about two arrivals to a task.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -43,10 +63,20 @@ def frame_stream(df: DataFrame, name: str, by: list[str] | None = None, slices:
     if slices is None:
         df.write.parquet(path)
         return reader.parquet(path)
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = stored(df.withColumn("_slice", slices))
-    for s in sorted(r[0] for r in kept.select("_slice").distinct().collect()):
-        kept.filter(F.col("_slice") == s).drop("_slice").repartition(files, *by).write.mode("append").parquet(path)
+    parts = ["_slice", "_part"]
+    whole = df.withColumns({"_slice": slices, "_part": slices if finer is None else finer})
+    # Ordered by calendar, so that an arrival reads only its own files.
+    held = scratch_path(spark, f"{name}-held")
+    whole.repartitionByRange(*parts).sortWithinPartitions(*parts).write.parquet(held)
+    kept = spark.read.schema(whole.schema).parquet(held)
+    sizes = [tuple(r) for r in kept.groupBy(*parts).count().orderBy(*parts).collect()]
+    files, seen = 1, 0
+    for s, first, last in _arrivals(sizes, rows or SLICE_ROWS):
+        here = kept.filter((F.col("_slice") == F.lit(s)) & F.col("_part").between(F.lit(first), F.lit(last)))
+        here.drop(*parts).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).write.mode("append").parquet(path)
+        # Keys leave some of the partitions empty, and those have no file.
+        now = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+        files, seen = max(files, now - seen), now
     return reader.option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -159,7 +189,15 @@ def stream_interval_join(left: DataFrame, right: DataFrame, key: str, minutes: i
 def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     """The rows of one key in a micro-batch, in time order."""
     parts = list(batches)
-    return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
+    return _sorted(pd.concat(parts), by) if parts else pd.DataFrame()
+
+
+def _sorted(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    keys = [pdf[c].to_numpy() for c in by]
+    if any(k.dtype.kind not in "iufM" for k in keys):
+        return pdf.sort_values(by, kind="stable")
+    # Numbers and instants need no codes of their own.
+    return pdf.iloc[np.lexsort(keys[::-1])]
 
 
 DECAY_OUT = ("symbol string, session date, posterior double, paused boolean, event string, entered date, "
@@ -338,7 +376,9 @@ def stream_breakers(trades: DataFrame, order: list[str], start: float, daily: fl
     """
     keep = [f for f in trades.schema.fields if f.name in order]
     schema = T.StructType([T.StructField("account", T.StringType()), *keep, T.StructField("reason", T.StringType())])
-    state_schema = "equity double, session string, session_start double, session_pnl double, " \
+    # Days as numbers: a date would be an object of its own in the worker.
+    trades = trades.withColumn("session", F.unix_date("session"))
+    state_schema = "equity double, session long, session_start double, session_pnl double, " \
                    "week long, week_start double, week_pnl double"
 
     def running(pnl, period, first, before, opening, equity0):
@@ -357,15 +397,15 @@ def stream_breakers(trades: DataFrame, order: list[str], start: float, daily: fl
         pdf = _ordered(batches, order)
         if pdf.empty:
             return
-        st = state.get if state.exists else (start, "", start, 0.0, -1, start, 0.0)
+        st = state.get if state.exists else (start, None, start, 0.0, -1, start, 0.0)
         equity, ses, ses0, ses_pnl, wk, wk0, wk_pnl = st
         pnl = pdf["pnl"].to_numpy(float)
-        day, week = pdf["session"].astype(str).to_numpy(), pdf["week"].to_numpy("int64")
+        day, week = pdf["session"].to_numpy("int64"), pdf["week"].to_numpy("int64")
         lost_d, open_d = running(pnl, day, ses, ses_pnl, ses0, equity)
         lost_w, open_w = running(pnl, week, wk, wk_pnl, wk0, equity)
         reason = np.where(pdf["size"].to_numpy(float) > size_cap, "size_cap",
                           np.where(lost_d < daily * open_d, "daily", np.where(lost_w < weekly * open_w, "weekly", "")))
-        state.update((float(equity + pnl.sum()), str(day[-1]), float(open_d[-1]), float(lost_d[-1] + pnl[-1]),
+        state.update((float(equity + pnl.sum()), int(day[-1]), float(open_d[-1]), float(lost_d[-1] + pnl[-1]),
                       int(week[-1]), float(open_w[-1]), float(lost_w[-1] + pnl[-1])))
         out = pdf[order].copy()
         out.insert(0, "account", key[0])

@@ -653,3 +653,25 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         sc = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None)
         with pytest.raises(ValueError):
             shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+def test_a_stream_of_slices_takes_one_slice_at_a_time(spark):
+    """A slice of few keys has fewer files than there are partitions; a long slice is cut at its days."""
+    from pathlib import Path
+
+    from tapeloom.session import scratch_path
+
+    day = dt.date(2020, 12, 1)
+    rows = [("one", day + dt.timedelta(days=d), i) for d in range(60) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, session date, i long")
+
+    def batches(**cut):
+        place = scratch_path(spark, "slices")
+        src = streams.frame_stream(df, "slices", ["k"], F.year("session"), **cut)
+        out = streams.run_to_table(src, "slices", place)
+        assert sorted(map(tuple, out.collect())) == sorted(rows)
+        return len([p for p in Path(place.removeprefix("file:"), "log", "offsets").iterdir() if p.name.isdigit()])
+
+    assert batches() == 2
+    # 31 days of 10 rows, then 29: four arrivals of up to 100 rows, and three.
+    assert batches(finer=F.col("session"), rows=100) == 7
