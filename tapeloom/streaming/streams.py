@@ -480,14 +480,24 @@ def stream_guard(trades: DataFrame, order: list[str], cfg: Limits) -> DataFrame:
 
 
 def batch_guard(trades: DataFrame, order: list[str], cfg: Limits) -> DataFrame:
-    """Batch twin over the whole ledger of each account."""
+    """Batch twin over the whole ledger of each account.
+
+    Spark sorts the accounts' trades; a worker holds one Arrow batch of them and the open positions.
+    """
     rows, by, schema = _guard_input(trades, order)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="stable")
-        return _guard_frame(pdf["account"].iloc[0], pdf, Account(cfg.start), by, cfg)[1]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, acc = None, None
+        for batch in batches:
+            for account, pdf in batch.groupby("account", sort=False, dropna=False):
+                # A null account is NaN or None here.
+                account = None if pd.isna(account) else account
+                if acc is None or account != last:
+                    last, acc = account, Account(cfg.start)
+                acc, out = _guard_frame(account, pdf, acc, by, cfg)
+                yield out
 
-    return rows.groupBy("account").applyInPandas(run, schema)
+    return rows.repartition("account").sortWithinPartitions("account", *by).mapInPandas(run, schema)
 
 
 def trigger_counts(guarded: DataFrame, cfg: Limits) -> DataFrame:
@@ -497,27 +507,52 @@ def trigger_counts(guarded: DataFrame, cfg: Limits) -> DataFrame:
         F.bool_or(F.col("reason") != "").alias("active"))
 
 
+# Groups of levels that share a state: a call of the worker takes many levels at once.
+LEVEL_BUCKETS = 1024
+
+
 def stream_levels(touches: DataFrame, r_max: int) -> DataFrame:
-    """Rejections, kills and permission per level; the state is a count and a flag."""
-    out_schema = "level long, fold string, event_id long, rejections long, killed boolean, error boolean, permitted boolean"
+    """Rejections, kills and permission per level; the state is a count and a flag of each.
+
+    Levels are dealt to a fixed number of states, and the touches of a state are counted as
+    columns, so the calls of the worker don't grow with the levels.
+    """
+    out_schema = ("level long, fold string, _none boolean, event_id long, rejections long, killed boolean, error boolean, permitted boolean")
+    state_schema = "level array<long>, none array<boolean>, fold array<string>, count array<long>, dead array<boolean>"
+    rows = touches.select(F.coalesce(F.col("level").cast("long"), F.lit(0)).alias("level"), "fold", F.col("level").isNull().alias("_none"),
+                          "event_id", "ts", "kind", F.pmod(F.xxhash64("level", "fold"), F.lit(LEVEL_BUCKETS)).alias("_bucket"))
 
     def step(key, batches, state):
         pdf = _ordered(batches, ["ts", "event_id"])
         if pdf.empty:
             return
-        count, dead = state.get if state.exists else (0, False)
+        code = pdf.groupby(["level", "_none", "fold"], sort=False, dropna=False).ngroup().to_numpy()
+        at = np.argsort(code, kind="stable")
+        pdf, code = pdf.iloc[at], code[at]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        final = np.r_[first[1:], len(code)] - 1
+        known = {k[:3]: k[3:] for k in zip(*state.get)} if state.exists else {}
+        names = list(zip(*(pdf[c].iloc[first].tolist() for c in ("level", "_none", "fold"))))
+        count, dead = (np.array(v) for v in zip(*(known.get(n, (0, False)) for n in names)))
+
+        def running(flags):
+            """Flags seen up to each row, in its level."""
+            seen = np.cumsum(flags)
+            return seen - (seen - flags)[first][code]
+
         pen = (pdf["kind"] == "penetrate").to_numpy()
-        before = dead | (np.cumsum(pen) - pen > 0)
+        before = dead[code] | (running(pen) - pen > 0)
         error = before & ~pen
-        rejections = count + np.cumsum(~pen & ~error)
+        rejections = count[code] + running(~pen & ~error)
         killed = before | pen
-        state.update((int(rejections[-1]), bool(killed[-1])))
-        yield pd.DataFrame({"level": key[0], "fold": key[1], "event_id": pdf["event_id"].to_numpy(),
-                            "rejections": rejections.astype("int64"), "killed": killed, "error": error,
-                            "permitted": ~killed & (rejections <= r_max)})
-
-    return touches.groupBy("level", "fold").applyInPandasWithState(
-        step, out_schema, "rejections long, killed boolean", "append", "NoTimeout")
+        known.update(zip(names, zip(rejections[final].tolist(), killed[final].tolist())))
+        state.update(tuple(list(c) for c in zip(*(k + tuple(v) for k, v in known.items()))))
+        yield pd.DataFrame({"level": pdf["level"].to_numpy(), "fold": pdf["fold"].to_numpy(), "_none": pdf["_none"].to_numpy(),
+                            "event_id": pdf["event_id"].to_numpy(), "rejections": rejections.astype("int64"), "killed": killed,
+                            "error": error, "permitted": ~killed & (rejections <= r_max)})
+
+    out = rows.groupBy("_bucket").applyInPandasWithState(step, out_schema, state_schema, "append", "NoTimeout")
+    return out.withColumn("level", F.when(~F.col("_none"), F.col("level"))).drop("_none")
 
 
 def stream_table(spark: SparkSession, sf: str, name: str, build, out: str) -> DataFrame:
