@@ -133,12 +133,11 @@ def overlap_counts(trades: DataFrame, keys: Sequence[str], key_cols: Sequence[st
 
     Running numbers of entries and exits replace the pairwise self-join.
     """
-    rows = trades.select(*keys, *key_cols, F.explode(F.array(
-        F.struct(F.col("entry_ts").alias("t"), F.lit(1).alias("kind")),
-        F.struct(F.col("exit_ts").alias("t"), F.lit(0).alias("kind")))).alias("_e")).select(
-        *keys, *key_cols, F.col("_e.t").alias("_t"), F.col("_e.kind").alias("_kind"))
-    rows = number_rows(rows, keys, ["_t", "_kind", *key_cols])
-    rows = prefix(rows, keys, {"_open": ("sum", F.when(F.col("_kind") == 1, 1).otherwise(-1))}, inclusive=False)
+    ins = trades.select(*keys, *key_cols, F.col("entry_ts").alias("_t"), F.lit(1).alias("_kind"), F.lit(1).cast("long").alias("_n"))
+    # Exits of one instant are one number.
+    outs = trades.groupBy(*keys, F.col("exit_ts").alias("_t")).agg((-F.count(F.lit(1))).alias("_n")).withColumn("_kind", F.lit(0))
+    rows = number_rows(ins.unionByName(outs, allowMissingColumns=True), keys, ["_t", "_kind", *key_cols])
+    rows = prefix(rows, keys, {"_open": ("sum", F.col("_n"))}, inclusive=False)
     return rows.filter(F.col("_kind") == 1).select(*keys, *key_cols, F.coalesce("_open", F.lit(0)).alias("open_before"))
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tapeloom.session import cut_lineage
 
 BLOCK = 65_536
+# Starts of keys in tasks that are sent to all tasks; more of them are joined.
+FEW = 50_000
 POS = "pos"
 
 
@@ -68,14 +70,16 @@ def number_rows(
     )
     # One row per (task, key): tasks hold consecutive rows, so the start of a key
     # in a task is the count of that key in the tasks before it.
-    parts = spread.groupBy(*keys, "_part").agg(
+    parts = cut_lineage(spread.groupBy(*keys, "_part").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first")
-    )
+    ))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(
         *keys, "_part", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
-    joined = spread.join(starts, [*keys, "_part"])
+    # Few keys: the starts go to the rows, which are not shuffled once more.
+    few = parts.count() <= FEW
+    joined = spread.join(F.broadcast(starts) if few else starts, [*keys, "_part"])
     out = joined.withColumn(pos, F.col("_start") + F.col("_at") - F.col("_first")).drop(
         "_part", "_at", "_first", "_start"
     )

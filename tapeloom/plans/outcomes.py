@@ -253,13 +253,34 @@ TRADE_SQL = cte("ledger", tr="""SELECT *, CASE k2 % 3 WHEN 0 THEN 'stop_hit' WHE
 
 
 def trades(spark, sf):
+    return _traded(ledger(spark, sf))
+
+
+def _traded(t):
     why = F.when(F.col("k2") % 3 == 0, "stop_hit").when(F.col("k2") % 3 == 1, "gap_through_stop").otherwise("eod_flatten")
-    return ledger(spark, sf).withColumns({
+    return t.withColumns({
         "exit_reason": why, "trend_sign": F.col("k3") % 3 - 1, "fill_price": F.col("price"),
         "bar_open": F.col("price") * (1 + (F.col("k4") % 5 - 2) / F.lit(100.0)), "atr": F.col("price") * 0.02})
 
 
 ORDER = ["entry_ts", *TRADE_KEY]
+
+
+def _stored_trades(spark, sf):
+    """The trades from a stored ledger, which holds nothing that its other columns give."""
+    t = stored(ledger(spark, sf).drop("price", "ret"))
+    return _traded(t.withColumn("price", F.col("k5") / F.col("size")))
+
+
+def _narrow(t, *more):
+    """What an ordered scan of trades needs: every column that it carries is sorted and stored."""
+    return t.select(*ORDER, *more)
+
+
+def _losses(t):
+    return _narrow(t, "session", F.round("pnl").alias("pnl"))
+
+
 RULE_SQL = {
     "stop": "SELECT {k} FROM tr WHERE (exit_reason = 'stop_hit' AND r_multiple < -1.05) OR (exit_reason = 'gap_through_stop' AND r_multiple < -3)",
     "time_stop": "SELECT {k} FROM tr WHERE r_multiple < 0 AND exit_ts - entry_ts > INTERVAL 241 MINUTE",
@@ -284,17 +305,21 @@ def rules(t):
         "stop": risk.stop_breaches(t),
         "time_stop": risk.time_stop_breaches(t, 240),
         "overlap": _adjacent(t),
-        "same_side": risk.same_side_overlaps(t, ORDER),
+        "same_side": _same_side(t),
         "size_cap": t.filter("size > 48"),
         "adverse": risk.adverse_entries(t),
-    } | {f"{k}_breaker": v for k, v in risk.circuit_breakers(t.withColumn("pnl", F.round("pnl")), {
+    } | {f"{k}_breaker": v for k, v in risk.circuit_breakers(_losses(t), {
         "daily": (F.col("session"), -0.02), "weekly": (clock.iso_week_id("session"), -0.05)}, ORDER, 100_000.0).items()}
 
 
 def _adjacent(t):
     from tapeloom.operators.joins import overlapping_adjacent
 
-    return overlapping_adjacent(number_rows(t, ["symbol"], ORDER), ["symbol"])
+    return overlapping_adjacent(number_rows(_narrow(t, "symbol", "exit_ts"), ["symbol"], ORDER), ["symbol"])
+
+
+def _same_side(t):
+    return risk.same_side_overlaps(_narrow(t, "symbol", "side", "exit_ts"), ORDER)
 
 
 def _keys(df):
@@ -318,7 +343,7 @@ def r3(spark, sf):
 
 @query("r3_overlap_same_side", TRADE_SQL + RULE_SQL["same_side"].format(k=TK))
 def r3_side(spark, sf):
-    return _keys(risk.same_side_overlaps(trades(spark, sf), ORDER))
+    return _keys(_same_side(trades(spark, sf)))
 
 
 @query("r4_static_position_cap", TRADE_SQL + RULE_SQL["size_cap"].format(k=TK))
@@ -351,14 +376,12 @@ SELECT {TK} FROM p JOIN o USING (p) WHERE coalesce(b, 0) - coalesce(e, 0) < {thr
 
 @query("r6_daily_breaker", _breaker_sql("session", -0.02))
 def r6(spark, sf):
-    t = trades(spark, sf).withColumn("pnl", F.round("pnl"))
-    return _keys(risk.circuit_breaker(t, F.col("session"), ORDER, -0.02, 100_000.0))
+    return _keys(risk.circuit_breaker(_losses(trades(spark, sf)), F.col("session"), ORDER, -0.02, 100_000.0))
 
 
 @query("r6_weekly_breaker", _breaker_sql("isoyear(session) * 100 + week(session)", -0.05))
 def r6_week(spark, sf):
-    t = trades(spark, sf).withColumn("pnl", F.round("pnl"))
-    return _keys(risk.circuit_breaker(t, clock.iso_week_id("session"), ORDER, -0.05, 100_000.0))
+    return _keys(risk.circuit_breaker(_losses(trades(spark, sf)), clock.iso_week_id("session"), ORDER, -0.05, 100_000.0))
 
 
 @query("r7_adverse_entries", TRADE_SQL + RULE_SQL["adverse"].format(k=TK))
@@ -378,10 +401,10 @@ def r8(spark, sf):
     f"SELECT '{r}' AS rule, (SELECT count(*) FROM ({s.format(k='k1')})) AS n_violations, n_checked, (SELECT count(*) FROM ({s.format(k='k1')})) = 0 AS passed FROM n"
     for r, s in RULE_SQL.items()))
 def r9(spark, sf):
-    t = stored(trades(spark, sf))
+    t = _stored_trades(spark, sf)
     return risk.rule_report(t, rules(t))
 
 
 @query("r9_rule_violations", TRADE_SQL + " UNION ALL ".join(f"SELECT '{r}' AS rule, {TK} FROM ({s.format(k=TK)})" for r, s in RULE_SQL.items()))
 def r9_rows(spark, sf):
-    return risk.rule_violations(rules(stored(trades(spark, sf))), TRADE_KEY)
+    return risk.rule_violations(rules(_stored_trades(spark, sf)), TRADE_KEY)
