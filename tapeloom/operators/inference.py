@@ -63,6 +63,12 @@ def profit_factor(pnl: str) -> Column:
     return F.when(down > 0, up / down).when(up > 0, F.lit(float("inf"))).otherwise(0.0)
 
 
+def gain_loss_ratio(pnl: str) -> Column:
+    """Gains over losses; null unless there are both."""
+    c = F.col(pnl)
+    return F.sum(F.when(c > 0, c)) / -F.sum(F.when(c < 0, c))
+
+
 def l_moments(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """L-moments 1 to 3 and L-skewness from value cells.
 
