@@ -26,7 +26,7 @@ SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS bar_ts, arg_min(price, seq)
   min(price) AS low, arg_max(price, seq) AS close, sum(size) AS volume, count(*) AS n FROM ticks GROUP BY 1, 2""",
        f8="open high low close", i8="volume")
 def d1_left(spark, sf):
-    return ops.resample_ohlcv(ticks(spark, sf), 5, label="left", closed="left")
+    return ops.resample_ohlcv(ticks(spark, sf), 5, label="left", closed="left", at="seq")
 
 
 @query("d2_session_ohlc", cte("ticks") + f"""
@@ -34,14 +34,14 @@ SELECT symbol, {DAY} AS session, arg_min(price, seq) AS open, max(price) AS high
   arg_max(price, seq) AS close, sum(size) AS volume, count(*) AS n
 FROM ticks GROUP BY 1, 2 HAVING count(*) >= 65""", f8="open high low close", i8="volume", dt="session")
 def d2(spark, sf):
-    return ops.session_ohlc(ticks(spark, sf), 65, F.to_date("ts"), tie=None)
+    return ops.session_ohlc(ticks(spark, sf), 65, F.to_date("ts"), tie=None, at="seq")
 
 
 @query("d3_daily_close", cte("ticks") + f"""
 SELECT symbol, {DAY} AS session, arg_max(price, seq) AS close, count(*) AS n_bars FROM ticks WHERE hour(ts) <= 20
 GROUP BY 1, 2""", f8="close", dt="session")
 def d3(spark, sf):
-    return ops.daily_close(ticks(spark, sf), 20, tie=None)
+    return ops.daily_close(ticks(spark, sf), 20, tie=None, at="seq")
 
 
 @query("d4_session_vwap", cte("ticks") + f"""
