@@ -12,7 +12,6 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -104,22 +103,38 @@ def boosted_trees(trees: int, depth: int, y: str = "y", seed: int = 7) -> GBTReg
     return GBTRegressor(featuresCol="features", labelCol=y, maxIter=trees, maxDepth=depth, seed=seed)
 
 
+# Cells that one task holds of a table of cells.
+CELL_ROWS = 50_000
+
+
+def _cells(df: DataFrame, features: Sequence[str], y: str, block: Column) -> DataFrame:
+    """Rows of one block with equal features as one row: mean of y, ``_w`` rows, ``_within`` squares around the mean.
+
+    A fit by squared error sees no difference, as every split keeps such rows together; the squares
+    belong to the error of any model. Features that never repeat leave the rows as they are.
+    """
+    spark = df.sparkSession
+    d = cut_lineage(df.select(*features, F.col(y).cast("double").alias(y), block.alias("_b")).groupBy(*features, "_b").agg(
+        F.avg(y).alias("_m"), F.count(y).cast("double").alias("_w"), (F.var_pop(y) * F.count(y)).alias("_within"))
+        .filter("_w > 0").withColumnRenamed("_m", y))
+    # Every fit reads the cells again: spread over all tasks where they are many.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(d.repartition(min(tasks, -(-d.count() // CELL_ROWS) or 1)))
+
+
 def purged_grid_search(df: DataFrame, features: Sequence[str], y: str, block: Column, blocks: int,
                        makers: dict[str, Callable[[], object]]) -> tuple[str, DataFrame]:
     """Mean squared error of every grid cell over contiguous blocks, with the blocks
     next to the test block left out of training; the best cell by name order on ties."""
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Every fit reads these rows again: spread over all tasks, and stored.
-    d = cut_lineage(df.select(*features, y, block.alias("_b")).repartition(tasks))
-    score = RegressionEvaluator(labelCol=y, predictionCol="prediction", metricName="mse")
+    d = _cells(df, features, y, block)
+    scored = F.pow(F.col("prediction") - F.col(y), 2) * F.col("_w") + F.col("_within")
     rows = []
     for name, make in makers.items():
         errors = []
         for k in range(blocks):
             train, test = d.filter(F.abs(F.col("_b") - k) > 1), d.filter(F.col("_b") == k)
-            model = _scaled(features, make()).fit(train)
-            errors.append(score.evaluate(model.transform(test)))
+            model = _scaled(features, make().setWeightCol("_w")).fit(train)
+            errors.append(model.transform(test).agg(F.sum(scored) / F.sum("_w")).first()[0])
         rows.append((name, float(sum(errors) / len(errors))))
     best = min(rows, key=lambda r: (r[1] if math.isfinite(r[1]) else math.inf, r[0]))[0]
     return best, df.sparkSession.createDataFrame(
