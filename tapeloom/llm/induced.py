@@ -28,6 +28,14 @@ def _types(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return small, left
 
 
+def _preceded(kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether the suffix before each one is of the kind and in its shard; the last entry stands for no suffix (-1)."""
+    out = np.zeros(len(kind) + 1, dtype=bool)
+    out[1:-1] = kind[:-1]
+    out[first] = False
+    return out
+
+
 def _induce(order: np.ndarray, bucket: np.ndarray, counts: np.ndarray, off: np.ndarray, small: np.ndarray) -> np.ndarray:
     """Suffix arrays from leftmost smaller suffixes in ``order`` (by shard); shards descend in length."""
     size = np.diff(off)
@@ -42,31 +50,32 @@ def _induce(order: np.ndarray, bucket: np.ndarray, counts: np.ndarray, off: np.n
     ends = off[1:] - 1
     sa[first] = ends  # the end mark sorts first
     active = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="left")  # shards longer than k
+    active = active.tolist()
     large = ~small
+    before = np.zeros(len(bucket), dtype=np.intp)
+    before[1:] = bucket[:-1]
+    goes = _preceded(large, first)
     head = heads.copy()
     for k in range(int(size[0])):
-        a = active[k]
-        j = sa[first[:a] + k]
-        p = j[j > first[:a]] - 1
-        p = p[large[p]]
-        b = bucket[p]
-        at = head[b]
-        sa[at] = p
+        j = sa.take(first[:active[k]] + k)
+        j = j.compress(goes.take(j)).astype(np.intp)
+        b = before.take(j)
+        at = head.take(b)
+        sa[at] = j - 1
         head[b] = at + 1
     kept = sa >= 0
     kept[kept] = large[sa[kept]]
     sa[~kept] = -1
     sa[first] = ends
-    tail = tails.copy()
+    goes = _preceded(small, first)
+    tail = tails - 1
     for k in range(int(size[0]) - 1, -1, -1):
-        a = active[k]
-        j = sa[first[:a] + k]
-        p = j[j > first[:a]] - 1
-        p = p[small[p]]
-        b = bucket[p]
-        at = tail[b] - 1
-        sa[at] = p
-        tail[b] = at
+        j = sa.take(first[:active[k]] + k)
+        j = j.compress(goes.take(j)).astype(np.intp)
+        b = before.take(j)
+        at = tail.take(b)
+        sa[at] = j - 1
+        tail[b] = at - 1
     return sa
 
 

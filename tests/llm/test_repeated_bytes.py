@@ -73,3 +73,10 @@ def test_rows_and_their_copies_repeat_one_another(spark):
     got = sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in rb.dedupe(docs, keep_text=True).collect())
     assert got == [(1, 300, b""), (1, 300, b""), (2, 0, b"short")]
     assert rb.dedupe(docs.limit(0)).count() == 0
+
+
+def test_no_suffix_comes_before_the_first_of_a_shard():
+    """op5: the steps of the induced sort look up once whether a place is induced; -1 stands for no suffix."""
+    kind, first = np.array([True, False, True, True, False]), np.array([0, 3])
+    assert sa._preceded(kind, first).tolist() == [False, True, False, False, True, False]
+    assert not sa._preceded(kind, first)[-1]
