@@ -30,7 +30,7 @@ from tapeloom.session import cut_lineage
 
 # N-grams that a bucket stands for on average, and that a task holds before it passes them on.
 BUCKET_GRAMS, FLUSH_GRAMS = 3_000_000, 500_000
-# Ids of copies that are broadcast at most (about 32 MB).
+# Ids of copies or of dropped documents that are broadcast at most (about 32 MB).
 SPARE_IDS = 4_000_000
 # An n-gram in at least this share of all texts is hot: it is ranked last and never gathered.
 HOT_SHARE = 1 / 256
@@ -350,6 +350,11 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(verified(rest, nodes, percent))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Stored ids, sent to the tasks if they are few by count, so that the texts they meet aren't shuffled."""
+    return F.broadcast(ids) if ids.count() <= SPARE_IDS else ids
+
+
 def without_copies(docs: DataFrame, member: DataFrame) -> DataFrame:
     """The rows of ``docs`` but for documents whose every set (doc_id, node in ``member``) has a smaller document.
 
@@ -359,9 +364,7 @@ def without_copies(docs: DataFrame, member: DataFrame) -> DataFrame:
     """
     speaks = member.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     spare = cut_lineage(member.select("doc_id").distinct().join(speaks, "doc_id", "left_anti").select(F.col("doc_id").alias("_id")))
-    if spare.count() <= SPARE_IDS:
-        spare = F.broadcast(spare)
-    return docs.join(spare, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    return docs.join(_sent(spare), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -404,5 +407,5 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"), F.min("component_id").alias("_least"))
     groups = cut_lineage(groups.filter("_id != _least or _rows > 1"))
     same = docs["doc_id"].cast("long") == F.col("_id")
-    again = docs.join(groups.filter("_id = _least").select("_id"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(groups.select("_id"), same, "left_anti").union(again)
+    again = docs.join(_sent(groups.filter("_id = _least").select("_id")), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(_sent(groups.select("_id")), same, "left_anti").union(again)

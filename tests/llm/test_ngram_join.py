@@ -118,3 +118,18 @@ def test_copies_are_spoken_for(spark, monkeypatch, limit):
     assert left.filter("doc_id is null").count() == 1
     got = {r["doc_id"]: r["component_id"] for r in nj.similar_groups(docs, 3, 90).collect()}
     assert got == {3: 3, 5: 3, 9: 3, 4: 3, 8: 3, 10: 10, 11: 11, 12: 3, None: None}
+
+
+def test_dropped_copies_are_not_joined_by_a_shuffle_of_the_texts(spark):
+    """Pipeline, near_duplicates: every text was shuffled twice to meet a few ids, 2 x the input on disk."""
+    rows = [(i, " ".join(f"w{(i // 2) * 50 + k}" for k in range(30))) for i in range(10)] + [(0, "again"), (0, "again")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = nj.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+        plan = kept._jdf.queryExecution().toString()
+        assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+        assert sorted((r["doc_id"], r["text"][:5]) for r in kept.collect()) == sorted(
+            [(i, rows[i][1][:5]) for i in range(0, 10, 2)] + [(0, "again")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
