@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.scan import POS, number_rows, prefix
+from tapeloom.operators.scan import POS, day_of, number_rows, prefix, running
+from tapeloom.session import cut_lineage
 
 
 def _stacked(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, tie: str,
@@ -128,17 +129,34 @@ def overlapping_adjacent(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.filter(F.col("entry_ts") < F.col("_prev")).drop("_prev")
 
 
+def exits_and_cells(trades: DataFrame, keys: Sequence[str], amount: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """What ends at each instant of a key (_t, _k = 0, _d < 0) as one row, and the ``chunk_cells`` of a running sum
+    ``name`` over single entries and these exits.
+
+    Nothing is asked of exits one by one, so both are read from one stored table of sums by instant;
+    only the entries themselves are shuffled with all their columns.
+    """
+    ends = F.explode(F.array(F.struct(F.col("entry_ts").alias("_t"), F.lit(1).alias("_k")),
+                             F.struct(F.col("exit_ts").alias("_t"), F.lit(0).alias("_k"))))
+    sums = cut_lineage(trades.select(*keys, amount.alias("_d"), ends.alias("_e")).groupBy(*keys, "_e._t", "_e._k").agg(
+        F.sum("_d").alias("_d"), F.count(F.lit(1)).alias("_n")))
+    sums = sums.withColumn("_d", F.when(F.col("_k") == 1, F.col("_d")).otherwise(-F.col("_d")))
+    cells = sums.groupBy(*keys, day_of("_t").alias("_blk")).agg(
+        F.sum(F.when(F.col("_k") == 1, F.col("_n")).otherwise(1)).alias("_size"), F.sum("_d").alias(f"_bl_{name}"))
+    return sums.filter("_k = 0").drop("_n"), cells
+
+
 def overlap_counts(trades: DataFrame, keys: Sequence[str], key_cols: Sequence[str]) -> DataFrame:
     """How many earlier trades of the key are still open at each entry.
 
     Running numbers of entries and exits replace the pairwise self-join.
     """
-    ins = trades.select(*keys, *key_cols, F.col("entry_ts").alias("_t"), F.lit(1).alias("_kind"), F.lit(1).cast("long").alias("_n"))
-    # Exits of one instant are one number.
-    outs = trades.groupBy(*keys, F.col("exit_ts").alias("_t")).agg((-F.count(F.lit(1))).alias("_n")).withColumn("_kind", F.lit(0))
-    rows = number_rows(ins.unionByName(outs, allowMissingColumns=True), keys, ["_t", "_kind", *key_cols])
-    rows = prefix(rows, keys, {"_open": ("sum", F.col("_n"))}, inclusive=False)
-    return rows.filter(F.col("_kind") == 1).select(*keys, *key_cols, F.coalesce("_open", F.lit(0)).alias("open_before"))
+    one = F.lit(1).cast("long")
+    ins = trades.select(*keys, *key_cols, F.col("entry_ts").alias("_t"), F.lit(1).alias("_k"), one.alias("_d"))
+    outs, cells = exits_and_cells(trades, keys, one, "_open")
+    rows = running(ins.unionByName(outs, allowMissingColumns=True), keys, ["_t", "_k", *key_cols],
+                   {"_open": ("sum", F.col("_d"))}, day_of("_t"), inclusive=False, cells=cells)
+    return rows.filter(F.col("_k") == 1).select(*keys, *key_cols, F.coalesce("_open", F.lit(0)).alias("open_before"))
 
 
 def left_coalesce(left: DataFrame, right: DataFrame, keys: Sequence[str], out: str, cols: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ number, and worked on block by block:
                  its neighbours, and the copies are dropped afterwards;
 * ``prefix``     running sum / max / min / count / last value; a scan inside the
                  block plus the carry of all earlier blocks;
+* ``running``    the same by calendar chunks that a count finds short, without
+                 numbering the rows first;
 * ``recurrence`` y[t] = a*y[t-1] + x[t], 0 < a < 1, the same two levels.
 
 So a symbol that holds a third of all rows is spread over as many tasks as it
@@ -214,6 +216,50 @@ def prefix(
     return out.drop("_blk", *[f"_in_{k}" for k in specs], *[f"_ca_{k}" for k in specs])
 
 
+def day_of(ts: str) -> Column:
+    """The calendar chunk of an instant; rows without one come first, as they sort."""
+    return F.coalesce(F.unix_date(F.to_date(ts)), F.lit(-(2**31)))
+
+
+def chunk_cells(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, Column]], chunk: Column, *finer: str) -> DataFrame:
+    """Rows and totals of every key and chunk (and ``finer`` columns, if any), stored; what ``running`` carries."""
+    return cut_lineage(df.groupBy(*keys, chunk.alias("_blk"), *finer).agg(
+        F.count(F.lit(1)).alias("_size"), *[_INSIDE[fn](c).alias(f"_bl_{k}") for k, (fn, c) in specs.items()]))
+
+
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    specs: Mapping[str, tuple[str, Column]],
+    chunk: Column,
+    inclusive: bool = True,
+    cells: DataFrame | None = None,
+) -> DataFrame:
+    """Running sums, maxima, minima or counts along the order of each key (no last values), without positions.
+
+    ``chunk`` is a coarse, monotone image of the order (a day, say). If no chunk of a key has
+    more than four blocks of rows, by count, rows are shuffled once, to their chunks, and the
+    chunks before are a carry. Otherwise they are numbered and cut into blocks.
+    ``cells`` are the ``chunk_cells`` of the frame where a caller has them.
+    """
+    keys = list(keys)
+    cells = chunk_cells(df, keys, specs, chunk) if cells is None else cells
+    both = {k: "sum" if fn == "count" else fn for k, (fn, _) in specs.items()}
+    blocks = cells.groupBy(*keys, "_blk").agg(
+        F.sum("_size").alias("_size"), *[_INSIDE[fn](F.col(f"_bl_{k}")).alias(f"_bl_{k}") for k, fn in both.items()])
+    seen = blocks.agg(F.count(F.lit(1)).alias("many"), F.max("_size").alias("longest")).first()
+    if (seen["longest"] or 0) > 4 * BLOCK:
+        return prefix(number_rows(df, keys, order), keys, specs, inclusive=inclusive).drop(POS)
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select(*keys, "_blk", *[_INSIDE[fn](F.col(f"_bl_{k}")).over(before).alias(f"_ca_{k}") for k, fn in both.items()])
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = df.withColumn("_blk", chunk).withColumns({f"_in_{k}": _INSIDE[fn](c).over(w) for k, (fn, c) in specs.items()})
+    out = inner.join(F.broadcast(carry) if seen["many"] <= FEW else carry, [*keys, "_blk"]).withColumns(
+        {k: _join_carry(fn, F.col(f"_ca_{k}"), F.col(f"_in_{k}")) for k, (fn, _) in specs.items()})
+    return out.drop("_blk", *[f"_{p}_{k}" for p in ("in", "ca") for k in specs])
+
+
 def recurrence(
     df: DataFrame,
     keys: Sequence[str],
