@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.subwords import TOKENIZER, WordEncoder
-from tapeloom.llm.words import chunks
+from tapeloom.llm.words import SMALL_CHUNK, chunks
 from tapeloom.session import cut_lineage
 
 CAPACITY = 2048
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = WordEncoder(tokenizer)  # of this task alone: a reused worker would go on holding it
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), SMALL_CHUNK):
                 ids, at = enc.with_end(chunk, end_id)
                 raw = ids.astype("<u4").tobytes()
                 rows, pieces, starts, sizes, sums = [], [], [], [], []

@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.components import components
-from tapeloom.llm.words import chunks, combine, mix, ragged, row_of, words
+from tapeloom.llm.words import SMALL_CHUNK, chunks, combine, mix, ragged, row_of, words
 from tapeloom.session import cut_lineage
 
 # N-grams that a bucket stands for on average, and that a task holds before it passes them on.
 BUCKET_GRAMS, FLUSH_GRAMS = 3_000_000, 500_000
+# A bucket's n-grams are compared in 2 ** SLICE_BITS parts, by their first bits, so that only one part is sorted at a time.
+SLICE_BITS = 4
 # Ids of copies or of dropped documents that are broadcast at most (about 32 MB).
 SPARE_IDS = 4_000_000
 # An n-gram in at least this share of all texts is hot: it is ranked last and never gathered.
@@ -108,7 +110,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             return pa.record_batch([none, none, none, pa.array(code[own].view(np.int64)), pa.array(times[own])], names=names)
 
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), SMALL_CHUNK):
                 code, at = gram_sets(chunk, n)
                 size, node = _nodes(code, at)
                 held.append(code)
@@ -156,7 +158,8 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _flat(table: pa.Table, column: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table[column].to_pylist()), dtype=dtype)
+    views = [np.frombuffer(x.as_buffer(), dtype=dtype) for x in table[column]]
+    return np.concatenate(views) if views else np.zeros(0, dtype)
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -191,7 +194,7 @@ def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFr
             held.clear()
 
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), SMALL_CHUNK):
                 code, at = gram_sets(chunk, n)
                 ids = batch.column(0).slice(chunk.first, len(at) - 1)
                 size = np.diff(at)
@@ -221,6 +224,20 @@ def _distinct(ids: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[new], code[new]
 
 
+def _shared(ids: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of codes that two ids or more have, by code and id, with how many have them."""
+    order = np.argsort(code, kind="stable")
+    times = _times(code[order])
+    many = np.repeat(times > 1, times)
+    ids, code = _distinct(ids[order[many]], code[order[many]])
+    order = np.argsort(code, kind="stable")
+    ids, code = ids[order], code[order]
+    times = _times(code)
+    count = np.repeat(times, times)
+    many = count > 1
+    return ids[many], code[many], count[many].astype(np.int32)
+
+
 def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
     """Entries of n-grams that two sets or more have, with how many have them, by bucket of the node; others pass through."""
 
@@ -228,16 +245,11 @@ def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
         own = table.filter(pc.equal(table["kind"], 0))
         ids, code = _ids(own), _flat(own, "codes", np.uint64)
         del own
-        order = np.argsort(code, kind="stable")
-        times = _times(code[order])
-        many = np.repeat(times > 1, times)
-        ids, code = _distinct(ids[order[many]], code[order[many]])
-        order = np.argsort(code, kind="stable")
-        ids, code = ids[order], code[order]
-        times = _times(code)
-        count = np.repeat(times, times)
-        many = count > 1
-        ids, code, count = ids[many], code[many], count[many].astype(np.int32)
+        part = (code >> np.uint64(64 - SLICE_BITS)).astype(np.uint8)
+        found = [_shared(ids[at], code[at]) for at in (np.flatnonzero(part == k) for k in range(1 << SLICE_BITS))]
+        del ids, code, part
+        ids, code, count = (np.concatenate(x) for x in zip(*found))
+        del found
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         out = _parts(1, _bucket(ids, buckets), buckets, ids, code[order], count[order])

@@ -16,8 +16,9 @@ from tapeloom.llm.words import Chunk, folded, ragged, words
 TOKENIZER = "word_bpe_49k.json"
 # Words that a worker remembers before it starts over (about 150 MB).
 REMEMBERED = 2_000_000
-_SLOTS = 1 << 22
-_ASK = 20_000
+# Slots to begin with; the table grows with the words it holds.
+_SLOTS = 1 << 16
+_ASK = 5_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True

@@ -1,6 +1,6 @@
 """Words and fingerprints of Arrow text columns, whole batches at a time.
 
-A batch is worked on in chunks of about one megabyte, so memory follows the
+A batch is worked on in chunks of a megabyte or less, so memory follows the
 chunk (or one document, where that is longer), not the batch.
 """
 
@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+# For steps whose workers go on to others: a word's arrays take about 30 times the bytes of its chunk.
+SMALL_CHUNK = 1 << 18
 
 # Odd multipliers of the published 64-bit finaliser and a base for polynomials.
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -47,7 +49,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, CHUNK_BYTES + 1)
+            size = max(n, 2 * len(self.up))
             inverse = pow(_BASE, -1, 1 << 64)
             out = []
             for base in (_BASE, inverse):
