@@ -29,7 +29,7 @@ from tapeloom.llm.words import SMALL_CHUNK, chunks, combine, mix, ragged, row_of
 from tapeloom.session import cut_lineage
 
 # N-grams that a bucket stands for on average, and that a task holds before it passes them on.
-BUCKET_GRAMS, FLUSH_GRAMS = 3_000_000, 500_000
+BUCKET_GRAMS, FLUSH_GRAMS = 3_000_000, 640_000
 # A bucket's n-grams are compared in 2 ** SLICE_BITS parts, by their first bits, so that only one part is sorted at a time.
 SLICE_BITS = 4
 # Ids of copies or of dropped documents that are broadcast at most (about 32 MB).
@@ -157,13 +157,14 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(values.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _flat(table: pa.Table, column: str, dtype) -> np.ndarray:
-    views = [np.frombuffer(x.as_buffer(), dtype=dtype) for x in table[column]]
+def _flat(table: pa.Table, column: str, dtype, kind: int | None = None) -> np.ndarray:
+    """The values of all rows, or of those of one kind, without a copy of the rows."""
+    views = [np.frombuffer(x.as_buffer(), dtype=dtype) for x, k in zip(table[column], table["kind"].to_pylist()) if kind is None or k == kind]
     return np.concatenate(views) if views else np.zeros(0, dtype)
 
 
-def _ids(table: pa.Table) -> np.ndarray:
-    return np.repeat(_flat(table, "ids", np.int64), _flat(table, "runs", np.int32))
+def _ids(table: pa.Table, kind: int | None = None) -> np.ndarray:
+    return np.repeat(_flat(table, "ids", np.int64, kind), _flat(table, "runs", np.int32, kind))
 
 
 def gram_parts(docs: DataFrame, n: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -242,9 +243,7 @@ def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
     """Entries of n-grams that two sets or more have, with how many have them, by bucket of the node; others pass through."""
 
     def run(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.equal(table["kind"], 0))
-        ids, code = _ids(own), _flat(own, "codes", np.uint64)
-        del own
+        ids, code = _ids(table, 0), _flat(table, "codes", np.uint64, 0)
         part = (code >> np.uint64(64 - SLICE_BITS)).astype(np.uint8)
         found = [_shared(ids[at], code[at]) for at in (np.flatnonzero(part == k) for k in range(1 << SLICE_BITS))]
         del ids, code, part
