@@ -234,7 +234,7 @@ def w7(spark, sf):
     t = ledger(spark, sf).select(F.col("symbol").alias("account"), "entry_ts", *TRADE_KEY, "session",
                                  clock.iso_week_id("session").alias("week"), F.round("pnl").alias("pnl"), "size")
     s = st.stream_breakers(st.frame_stream(t, "trades", ["account"], F.year("session"), F.to_date("entry_ts")), ["entry_ts", *TRADE_KEY], 100_000.0, -0.01, -0.02, 45.0)
-    return st.run_to_table(s, "breakers").drop("entry_ts")
+    return st.run_to_table(s, "breakers", states=st.ARRIVAL_PARTS).drop("entry_ts")
 
 
 LIMITS = Limits(start=20_000.0, caps=(("AF", 45.0), ("RF", 40.0)), cap=48.0)
@@ -271,7 +271,7 @@ def w7_guard(spark, sf):
     """Entries of every account with the first rule that blocks them, from a stream of years."""
     t = guarded_trades(spark, sf)
     s = st.stream_guard(st.frame_stream(t, "guard", ["account"], F.year("session"), F.to_date("entry_ts")), ["entry_ts", *TRADE_KEY], LIMITS)
-    return st.run_to_table(s, "guarded")
+    return st.run_to_table(s, "guarded", states=st.ARRIVAL_PARTS)
 
 
 @query("w7_trigger_counts", GUARD_SQL + """SELECT account, count(*) FILTER (WHERE reason = '') AS entered, count(*) FILTER (WHERE reason = 'open') AS n_open,

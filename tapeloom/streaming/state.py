@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import heapq
 import math
+from collections import Counter
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
@@ -286,15 +287,6 @@ class Account:
     positions: tuple = ()
 
 
-def _at(acc: Account, session: dt.date, week: int) -> Account:
-    """The account when something happens in a session and week; a new one starts from the equity so far."""
-    if session != acc.session:
-        acc = replace(acc, session=session, session_equity=acc.equity, session_pnl=0.0)
-    if week != acc.week:
-        acc = replace(acc, week=week, week_equity=acc.equity, week_pnl=0.0)
-    return acc
-
-
 def guard_entries(acc: Account, trades: list[tuple], cfg: Limits) -> tuple[Account, list[str]]:
     """The reason each entry is blocked ("" if it is let in).
 
@@ -304,17 +296,42 @@ def guard_entries(acc: Account, trades: list[tuple], cfg: Limits) -> tuple[Accou
     """
     caps, heap, out = dict(cfg.caps), list(acc.positions), []
     heapq.heapify(heap)
+    held = Counter(h[2] for h in heap)
+    # Plain names: the walk touches them for every trade.
+    equity, number = acc.equity, acc.number
+    day, day_equity, day_pnl = acc.session, acc.session_equity, acc.session_pnl
+    wk, wk_equity, wk_pnl = acc.week, acc.week_equity, acc.week_pnl
+    rules, cap, daily, weekly = cfg.rules, cfg.cap, cfg.daily, cfg.weekly
     for entry, exit_, symbol, size, pnl, session, week, exit_session, exit_week in trades:
         while heap and heap[0][0] <= entry:
-            _, _, _, made, s, w = heapq.heappop(heap)
-            acc = _at(acc, s, w)
-            acc = replace(acc, equity=acc.equity + made, session_pnl=acc.session_pnl + made, week_pnl=acc.week_pnl + made)
-        acc = _at(acc, session, week)
-        fires = {"open": any(h[2] == symbol for h in heap), "cap": size > caps.get(symbol, cfg.cap),
-                 "daily": acc.session_pnl < cfg.daily * acc.session_equity, "weekly": acc.week_pnl < cfg.weekly * acc.week_equity}
-        reason = next((r for r in cfg.rules if fires[r]), "")
-        if not reason:
-            heapq.heappush(heap, (exit_, acc.number, symbol, pnl, exit_session, exit_week))
-            acc = replace(acc, number=acc.number + 1)
+            _, _, gone, made, s, w = heapq.heappop(heap)
+            held[gone] -= 1
+            # A new session or week starts from the equity so far.
+            if s != day:
+                day, day_equity, day_pnl = s, equity, 0.0
+            if w != wk:
+                wk, wk_equity, wk_pnl = w, equity, 0.0
+            equity, day_pnl, wk_pnl = equity + made, day_pnl + made, wk_pnl + made
+        if session != day:
+            day, day_equity, day_pnl = session, equity, 0.0
+        if week != wk:
+            wk, wk_equity, wk_pnl = week, equity, 0.0
+        reason = ""
+        for rule in rules:
+            if rule == "open":
+                fires = held[symbol] > 0
+            elif rule == "cap":
+                fires = size > caps.get(symbol, cap)
+            elif rule == "daily":
+                fires = day_pnl < daily * day_equity
+            else:
+                fires = wk_pnl < weekly * wk_equity
+            if fires:
+                reason = rule
+                break
+        else:
+            heapq.heappush(heap, (exit_, number, symbol, pnl, exit_session, exit_week))
+            held[symbol] += 1
+            number += 1
         out.append(reason)
-    return replace(acc, positions=tuple(heap)), out
+    return Account(equity, day, day_equity, day_pnl, wk, wk_equity, wk_pnl, number, tuple(heap)), out

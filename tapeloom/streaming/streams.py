@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,9 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # Rows of a slice that a micro-batch takes; a longer slice is cut at its finer calendar.
 SLICE_ROWS = 2_000_000
+# Rows of an arrival have a bound, so it is dealt to few files, and the keys of its accounts to few states:
+# each is a task of every micro-batch.
+ARRIVAL_PARTS = 24
 
 
 def _arrivals(sizes: list[tuple], rows: int) -> list[tuple]:
@@ -70,31 +74,37 @@ def frame_stream(df: DataFrame, name: str, by: list[str] | None = None, slices:
     whole.repartitionByRange(*parts).sortWithinPartitions(*parts).write.parquet(held)
     kept = spark.read.schema(whole.schema).parquet(held)
     sizes = [tuple(r) for r in kept.groupBy(*parts).count().orderBy(*parts).collect()]
-    files, seen = 1, 0
+    files, seen, tasks = 1, 0, min(ARRIVAL_PARTS, int(spark.conf.get(_PARTITIONS)))
     for s, first, last in _arrivals(sizes, rows or SLICE_ROWS):
         here = kept.filter((F.col("_slice") == F.lit(s)) & F.col("_part").between(F.lit(first), F.lit(last)))
-        here.drop(*parts).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).write.mode("append").parquet(path)
+        here.drop(*parts).repartition(tasks, *by).write.mode("append").parquet(path)
         # Keys leave some of the partitions empty, and those have no file.
         now = len(spark.read.schema(df.schema).parquet(path).inputFiles())
         files, seen = max(files, now - seen), now
     return reader.option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, place: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, place: str | None = None, states: int | None = None) -> DataFrame:
     """Run a stream over all present input and return its output table.
 
-    With the ``place`` of an earlier run it goes on where that one ended.
+    With the ``place`` of an earlier run it goes on where that one ended. ``states`` bounds the
+    partitions of the state where keys are few: a micro-batch commits each of them, used or not.
     """
     spark = stream.sparkSession
     place = place or scratch_path(spark, name)
-    before = spark.conf.get(_PROVIDER, None)
-    # State that is kept in parts (lists, values) needs this store; the caller's setting comes back after the start.
-    spark.conf.set(_PROVIDER, _ROCKS)
+    # State that is kept in parts (lists, values) needs this store; the caller's settings come back after the start.
+    conf = {_PROVIDER: _ROCKS}
+    if states is not None:
+        conf[_PARTITIONS] = str(min(states, int(spark.conf.get(_PARTITIONS))))
+    before = {k: spark.conf.get(k, None) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         q = (stream.writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start(f"{place}/out"))
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
@@ -204,6 +214,7 @@ DECAY_OUT = ("symbol string, session date, posterior double, paused boolean, eve
              "entered_posterior double, duration int")
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def _decay_frame(symbol: str, rows: list[tuple]) -> pd.DataFrame:
@@ -419,8 +430,8 @@ _GUARDED = ["symbol", "size", "pnl", "session", "week", "exit_session", "exit_we
 
 
 def _guard_frame(account, pdf: pd.DataFrame, acc: Account, order: list[str], cfg: Limits) -> tuple[Account, pd.DataFrame]:
-    at = [pdf[c].astype("int64") for c in ("entry_us", "exit_us")]
-    acc, reasons = guard_entries(acc, list(zip(*at, *(pdf[c] for c in _GUARDED))), cfg)
+    at = [pdf[c].astype("int64").tolist() for c in ("entry_us", "exit_us")]
+    acc, reasons = guard_entries(acc, zip(*at, *(pdf[c].tolist() for c in _GUARDED)), cfg)
     out = pdf[[c for c in order if c != "entry_us"]].copy()
     out.insert(0, "account", account)
     out["reason"] = reasons
@@ -439,9 +450,10 @@ class _GuardProcessor(StatefulProcessor):
                                                  "week_equity double, week_pnl double, number long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = _ordered(rows, self.order)
-        if pdf.empty:
+        trades = [pa.ipc.open_stream(b).read_all() for batch in rows for b in batch["trades"]]
+        if not trades:
             return
+        pdf = _sorted(pa.concat_tables(trades).to_pandas(), self.order)
         before = {}
         acc = Account(self.cfg.start)
         if self.sums.exists():
@@ -460,6 +472,30 @@ class _GuardProcessor(StatefulProcessor):
         pass
 
 
+def _packed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, trades): the rows of a key within an Arrow batch as one Arrow stream.
+
+    Spark hands a stateful processor its rows one by one as Python objects; whole packs
+    cost it nothing a row.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(key).dictionary_encode(null_encoding="encode")
+            code = keys.indices.to_numpy()
+            at = np.argsort(code, kind="stable")
+            batch, code = batch.take(pa.array(at)), code[at]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else code
+            packs = []
+            for a, b in zip(first, np.r_[first[1:], len(code)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(a, b - a))
+                packs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(code[first])), pa.array(packs, pa.binary())], [key, "trades"])
+
+    return rows.mapInArrow(pack, T.StructType([rows.schema[key], T.StructField("trades", T.BinaryType())]))
+
+
 def _guard_input(trades: DataFrame, order: list[str]) -> tuple[DataFrame, list[str], T.StructType]:
     keep = [c for c in order if c != "entry_ts"]
     rows = trades.select("account", F.unix_micros("entry_ts").alias("entry_us"), F.unix_micros("exit_ts").alias("exit_us"), *keep,
@@ -476,7 +512,7 @@ def stream_guard(trades: DataFrame, order: list[str], cfg: Limits) -> DataFrame:
     the micro-batches; a micro-batch hands a task no more of an account than it holds itself.
     """
     rows, by, schema = _guard_input(trades, order)
-    return rows.groupBy("account").transformWithStateInPandas(_GuardProcessor(cfg, by), schema, "append", "None")
+    return _packed(rows, "account").groupBy("account").transformWithStateInPandas(_GuardProcessor(cfg, by), schema, "append", "None")
 
 
 def batch_guard(trades: DataFrame, order: list[str], cfg: Limits) -> DataFrame:
