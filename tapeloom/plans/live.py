@@ -269,8 +269,9 @@ def guarded_trades(spark, sf):
 @query("w7_stream_guard", GUARD_SQL + "SELECT * FROM guarded")
 def w7_guard(spark, sf):
     """Entries of every account with the first rule that blocks them, from a stream of years."""
-    t = guarded_trades(spark, sf)
-    s = st.stream_guard(st.frame_stream(t, "guard", ["account"], F.year("session"), F.to_date("entry_ts")), ["entry_ts", *TRADE_KEY], LIMITS)
+    t, order = guarded_trades(spark, sf), ["entry_ts", *TRADE_KEY]
+    packs = st.frame_stream(t, "guard", ["account"], F.year("session"), F.to_date("entry_ts"), pack=lambda d: st.guard_packs(d, order))
+    s = st.stream_guard(t, order, LIMITS, packs)
     return st.run_to_table(s, "guarded", states=st.ARRIVAL_PARTS)
 
 

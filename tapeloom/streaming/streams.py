@@ -52,34 +52,38 @@ def _arrivals(sizes: list[tuple], rows: int) -> list[tuple]:
 
 
 def frame_stream(df: DataFrame, name: str, by: list[str] | None = None, slices: Column | None = None,
-                 finer: Column | None = None, rows: int | None = None) -> DataFrame:
+                 finer: Column | None = None, rows: int | None = None,
+                 pack: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A batch frame written out and read again as a stream.
 
     With ``slices`` (a calendar column) the frame arrives slice after slice, the rows
     of a key in one file per arrival. A slice with more than ``rows`` rows arrives in several
     parts, cut where ``finer`` (a finer calendar column) changes, so its rows don't grow with the
     table. A micro-batch takes as many files as the largest arrival has: a key keeps its order
-    and never hands more than about two arrivals to a task.
+    and never hands more than about two arrivals to a task. ``pack`` shapes the rows of an
+    arrival before they are dealt to its files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    reader = spark.readStream.schema(df.schema)
+    schema = pack(df).schema if pack and slices is not None else df.schema
+    reader = spark.readStream.schema(schema)
     if slices is None:
         df.write.parquet(path)
         return reader.parquet(path)
     parts = ["_slice", "_part"]
     whole = df.withColumns({"_slice": slices, "_part": slices if finer is None else finer})
-    # Ordered by calendar, so that an arrival reads only its own files.
+    # Every file is ordered by calendar: an arrival reads its own pages, and all tasks have some of them.
     held = scratch_path(spark, f"{name}-held")
-    whole.repartitionByRange(*parts).sortWithinPartitions(*parts).write.parquet(held)
+    whole.repartition(*(by or []), *parts).sortWithinPartitions(*parts).write.parquet(held)
     kept = spark.read.schema(whole.schema).parquet(held)
     sizes = [tuple(r) for r in kept.groupBy(*parts).count().orderBy(*parts).collect()]
     files, seen, tasks = 1, 0, min(ARRIVAL_PARTS, int(spark.conf.get(_PARTITIONS)))
     for s, first, last in _arrivals(sizes, rows or SLICE_ROWS):
         here = kept.filter((F.col("_slice") == F.lit(s)) & F.col("_part").between(F.lit(first), F.lit(last)))
-        here.drop(*parts).repartition(tasks, *by).write.mode("append").parquet(path)
+        here = here.drop(*parts)
+        (pack(here) if pack else here).repartition(tasks, *by).write.mode("append").parquet(path)
         # Keys leave some of the partitions empty, and those have no file.
-        now = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+        now = len(spark.read.schema(schema).parquet(path).inputFiles())
         files, seen = max(files, now - seen), now
     return reader.option("maxFilesPerTrigger", files).parquet(path)
 
@@ -504,15 +508,22 @@ def _guard_input(trades: DataFrame, order: list[str]) -> tuple[DataFrame, list[s
     return rows, ["entry_us", *keep], schema
 
 
-def stream_guard(trades: DataFrame, order: list[str], cfg: Limits) -> DataFrame:
+def guard_packs(trades: DataFrame, order: list[str]) -> DataFrame:
+    """What ``stream_guard`` makes of trades before it deals them to accounts."""
+    return _packed(_guard_input(trades, order)[0], "account")
+
+
+def stream_guard(trades: DataFrame, order: list[str], cfg: Limits, packs: DataFrame | None = None) -> DataFrame:
     """Reason each entry of an account is blocked: open position, size cap of the symbol, daily, weekly loss.
 
     ``trades`` has account, symbol, entry_ts, exit_ts, size, pnl, session, week, exit_session and
     exit_week; ``order`` (entry_ts first) is total. An account's trades arrive in entry order over
     the micro-batches; a micro-batch hands a task no more of an account than it holds itself.
+    Where they arrive as ``guard_packs``, ``packs`` is the stream and ``trades`` names the columns.
     """
-    rows, by, schema = _guard_input(trades, order)
-    return _packed(rows, "account").groupBy("account").transformWithStateInPandas(_GuardProcessor(cfg, by), schema, "append", "None")
+    _, by, schema = _guard_input(trades, order)
+    packs = guard_packs(trades, order) if packs is None else packs
+    return packs.groupBy("account").transformWithStateInPandas(_GuardProcessor(cfg, by), schema, "append", "None")
 
 
 def batch_guard(trades: DataFrame, order: list[str], cfg: Limits) -> DataFrame:
